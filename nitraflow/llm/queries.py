@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mil_quality, quality_rules, secret_scan, token_files
+from . import jaccard_join, mil_quality, quality_rules, secret_scan, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir), settings=jaccard_join.JaccardSettings(n=3, percent=90))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_token_files, op7_mil_quality, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_secret_scan, op6_token_files, op7_mil_quality, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
