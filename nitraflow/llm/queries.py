@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mil_quality, quality_rules, secret_scan, token_files
+from . import decontaminate, jaccard_join, mil_quality, mixing, quality_rules, secret_scan, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(_documents(spark, sf_dir), settings=mixing.MixSettings(block_words=128))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir), settings=jaccard_join.JaccardSettings(n=3, percent=90))
 
@@ -31,6 +35,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
@@ -59,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_secret_scan, op6_token_files, op7_mil_quality, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op6_token_files, op7_mil_quality, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
