@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mil_quality, mixing, quality_rules, secret_scan, token_files
+from . import decontaminate, hmm_lm, jaccard_join, mil_quality, mixing, quality_rules, secret_scan, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -60,6 +60,12 @@ def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score_quality(docs, model).select("doc_id", part.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("quality.n_passages").alias("n_passages"))
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.coalesce(hash_part("doc_id", 5) == 1, F.lit(False))
+    scored = hmm_lm.hmm_scores(_documents(spark, sf_dir), ~part)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.repetition_coverage(_documents(spark, sf_dir).select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op6_token_files, op7_mil_quality, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op6_token_files, op7_mil_quality, op8_hmm_scores, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
