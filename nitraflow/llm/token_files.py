@@ -14,9 +14,9 @@ document ends with `end_id`. Repeated ids are kept as rows of their own.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TIGHT = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+from .wordhash import RAW, SPACE, row_ranges, span_hashes, utf8
+
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
@@ -47,43 +47,115 @@ class TokenLayout:
 class ChunkEncoder:
     """Encodes texts with a byte-level tokenizer, chunk by chunk.
 
-    The tokenizer's own splitting always starts a new piece at a single space between two
-    non-space characters, so the ids of a text are those of its chunks cut there, in order. Chunks
-    recur; their ids are kept, up to `held` chunks in each of two generations.
+    The tokenizer's own splitting always starts a new piece at a space before a non-space, between
+    a letter and a full stop, comma or the like, and around a single line end. So the ids of a text
+    are those of its chunks cut there, in order. Chunks recur: each is encoded once and found again
+    by its 64-bit hash, up to `held` chunks.
     """
 
-    def __init__(self, path: str, held: int = 300_000) -> None:
+    def __init__(self, path: str, held: int = 2_000_000, fresh: int = 100_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.held, self.new, self.old = held, {}, {}
-
-    def chunks(self, text: str) -> list[str]:
-        if _TIGHT.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new, old = self.new, self.old
-        missing = []
-        for chunks in cut:
-            for c in chunks:
-                if c not in new:
-                    new[c] = old.get(c)
-                    if new[c] is None:
-                        missing.append(c)
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[c] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([new[c] for c in chunks]) for chunks in cut]
-        if len(new) > self.held:
-            self.old, self.new = new, {}
+        self.tokenizer, self.held, self.fresh = Tokenizer.from_file(path), held, fresh
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]  # hashes, index: all but the latest, and these
+        self.ids = np.zeros(1 << 20, np.int32)
+        self.at = np.zeros(1, np.int64)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The index of each chunk, or -1."""
+        out = np.full(len(hashes), -1)
+        for keys, index in self.levels:
+            if len(keys):
+                spot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[spot] == hashes
+                out[hit] = index[spot[hit]]
+        return out
+
+    def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        begin = len(self.at) - 1
+        for lo in range(0, len(chunks), 5_000):
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 5_000], add_special_tokens=False)]
+            ends = self.at[-1] + np.cumsum([len(x) for x in parts])
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.at[-1] : ends[-1]] = np.fromiter(chain.from_iterable(parts), np.int32, int(ends[-1] - self.at[-1]))
+            self.at = np.concatenate([self.at, ends])
+        old, new = self.levels
+        new = _merged(new, (hashes, np.arange(begin, begin + len(hashes))))
+        self.levels = [_merged(old, new), (hashes[:0], self.at[:0])] if len(new[0]) > self.fresh else [old, new]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of row d, end_id last, are ids[first[d]:first[d+1]]."""
+        if len(self.at) > self.held:
+            self.clear()
+        starts = np.flatnonzero(_cuts(data, offsets))
+        ends = np.append(starts[1:], len(data))
+        hashes, back = np.unique(span_hashes(data, starts, ends, RAW), return_inverse=True)
+        index = self.known(hashes)
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            example = np.zeros(len(hashes), np.int64)
+            example[back] = np.arange(len(starts))
+            text = data.tobytes()
+            self.learn(hashes[missing], [text[a:b].decode() for a, b in zip(starts[example[missing]].tolist(), ends[example[missing]].tolist(), strict=True)])
+            index = self.known(hashes)
+        index = index[back]
+        lengths = self.at[index + 1] - self.at[index]
+        n = np.concatenate([[0], np.cumsum(lengths)])
+        held = self.ids[np.repeat(self.at[index] - n[:-1], lengths) + np.arange(n[-1])]
+        first = n[np.searchsorted(starts, offsets)] + np.arange(len(offsets))  # with an end id for each row before
+        out = np.full(int(first[-1]), end_id, np.int32)
+        inner = np.ones(len(out), bool)
+        inner[first[1:] - 1] = False
+        out[inner] = held
+        return out, first
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    keys, index = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys)
+    return keys[order], index[order]
+
+
+_WHITE = SPACE.copy()
+_WHITE[[0x1C, 0x1D, 0x1E, 0x1F]] = True
+_MAYBE_WHITE = _WHITE.copy()  # also the first bytes of other white space
+_MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x7F] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True where a chunk starts."""
+    n = len(data)
+    out = np.zeros(n, bool)
+    if not n:
         return out
+    before, after = np.empty_like(data), np.empty_like(data)
+    before[0], before[1:], after[-1], after[:-1] = 0x20, data[:-1], 0x20, data[1:]
+    two = np.empty_like(data)
+    two[:2], two[2:] = 0, data[:-2]
+    accented = (two == 0xC3) & (before != 0x97) & (before != 0xB7)  # the letters of U+00C0 to U+00FF
+    solid = _PLAIN[before] | accented
+    line = (data == 10) & solid  # a line end after a visible character
+    out |= (data == 0x20) & ~_MAYBE_WHITE[after]
+    out |= _STOP[data] & (_LETTER[before] | accented)
+    out |= line
+    out[1:] |= line[:-1] & ~_MAYBE_WHITE[data[1:]]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    # rules that look across the end of a row: undone, then the row's first byte starts a chunk
+    out[edge - 1] &= ~((data[edge - 1] == 0x20))
+    out[0] = True
+    out[edge] = True
+    return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -102,18 +174,16 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, key: str = "doc_
 
     def encoded(batches):
         shard, at = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [x + end for x in encoder(tokenizer).encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), np.frombuffer(b"".join(ids), "<i4"))
+            data, offsets = utf8(b.column(1))
+            for lo, hi in row_ranges(offsets, 2 << 20):
+                ids, first = encoder(tokenizer).encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id)
+                n = hi - lo
+                lists = pa.ListArray.from_arrays(first.astype(np.int32), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"]
+                    [b.column(0).slice(lo, n), pa.array(np.full(n, shard, np.int32)), pa.array(at + first[:-1]), pa.array(np.diff(first)), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"]
                 )
-                at += int(n.sum())
+                at += int(first[-1])
 
     rows = ordered.mapInArrow(encoded, "doc_id long, shard int, local_start long, n_tokens long, ids array<int>")
     rows.write.options(**layout.options()).parquet(f"{path}/tokens")
