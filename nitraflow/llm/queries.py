@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, jaccard_join, mil_quality, mixing, quality_rules, secret_scan, token_files
+from . import decontaminate, hmm_lm, jaccard_join, license_scan, line_dedup, mil_quality, mixing, quality_rules, secret_scan, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -39,6 +39,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    gone = ~F.col("kept")
+    counts = line_dedup.line_groups(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(gone.cast("long")).alias("n_removed"), F.sum((gone & ~F.col("exact")).cast("long")).alias("n_removed_fuzzy"))
+    return docs.select("doc_id").join(counts, "doc_id", "left").fillna(0)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
@@ -66,6 +73,14 @@ def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = license_scan.scan_licenses(docs, license_scan.fit_licenses(docs))
+    hits = F.col("licenses.hits")
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["family"]))), ",")
+    return found.select("doc_id", F.col("licenses.n_segments").alias("n_segments"), F.size(hits).cast("long").alias("n_notices"), families.alias("families"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules.repetition_coverage(_documents(spark, sf_dir).select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,7 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op6_token_files, op7_mil_quality, op8_hmm_scores, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op5_line_dedup, op6_token_files, op7_mil_quality, op8_hmm_scores, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
