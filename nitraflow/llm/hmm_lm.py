@@ -37,6 +37,7 @@ class HmmSettings:
     shapes: int = 512
     heavy: int = 262_144
     rounds: int = 4
+    start_docs: int = 256
     segment: int = 128
     pool: int = 4096
     seed: int = 5
@@ -80,11 +81,26 @@ class HmmModel:
     emit: np.ndarray  # class by state
 
     @staticmethod
-    def start(class_counts: np.ndarray, settings: HmmSettings) -> HmmModel:
-        rng, k = np.random.default_rng(settings.seed), settings.states
-        emit = (class_counts[:, None] + 0.5) * rng.uniform(0.3, 1.7, (len(class_counts), k))
-        step = rng.uniform(0.5, 1.5, (k, k))
-        return HmmModel(np.full(k, 1 / k), np.full(k, 1 / k), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+    def start(class_counts: np.ndarray, sample: list[np.ndarray], settings: HmmSettings) -> HmmModel:
+        """Emissions from groups of sample documents that differ most from each other (by the angle
+        between their class counts), mixed with the overall counts; without a sample, from those."""
+        k, n = settings.states, len(class_counts)
+        overall = (class_counts + 0.5) / (class_counts + 0.5).sum()
+        emit = np.repeat(overall[:, None], k, axis=1) * np.random.default_rng(settings.seed).uniform(0.5, 1.5, (n, k))
+        if sample:
+            held = np.stack([np.bincount(x, minlength=n) for x in sample]).astype(float)
+            unit = np.sqrt(held / held.sum(1, keepdims=True))
+            picked, far = [0], 1 - unit @ unit[0]
+            while len(picked) < min(k, len(sample)):
+                picked.append(int(far.argmax()))
+                far = np.minimum(far, 1 - unit @ unit[picked[-1]])
+            group = (unit @ unit[picked].T).argmax(1)
+            for i in range(len(picked)):
+                own = held[group == i].sum(0) + 20 * overall
+                emit[:, i] = 0.3 * overall + 0.7 * own / own.sum()
+        step = np.full((k, k), 0.5 / max(1, k - 1))
+        np.fill_diagonal(step, 0.5 if k > 1 else 1.0)
+        return HmmModel(np.full(k, 1 / k), np.full(k, 1 / k), step, emit / emit.sum(0))
 
     def counts(self, sequences: list[np.ndarray], settings: HmmSettings) -> np.ndarray:
         """Expected counts (first, later, step, emit) over the sequences, as one vector."""
@@ -189,8 +205,10 @@ _LONG = 4000
 
 
 def train(rows: DataFrame, class_counts: np.ndarray, settings: HmmSettings) -> HmmModel:
-    """Baum-Welch over rows.classes (16-bit class numbers, binary)."""
-    model, n = HmmModel.start(class_counts, settings), len(class_counts)
+    """Baum-Welch over rows.classes (16-bit class numbers, binary). It starts from a bounded sample of
+    documents of ordinary length; every round takes all of them."""
+    sample = rows.where(F.col("n_tokens").between(64, 4096)).orderBy(F.xxhash64("doc_id"), F.xxhash64("classes")).select("classes").limit(settings.start_docs).toArrow()
+    model, n = HmmModel.start(class_counts, [np.frombuffer(x, np.uint16) for x in sample.column("classes").to_pylist()], settings), len(class_counts)
     sc = rows.sparkSession.sparkContext
     for _ in range(settings.rounds):
         shared = sc.broadcast(model)
