@@ -2,7 +2,9 @@
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number
 turn into typed placeholders; the other words are lower-cased and lose punctuation. Windows of
-`window` template words are hash-joined between benchmark and documents. A document holds an item
+`window` template words are hash-joined between benchmark and documents. A window of an item without
+a slot equals the same words in a document, so those are matched on the document's plain words; the
+template windows of the documents are made if some item has slots. A document holds an item
 when it holds at least `coverage` of the item's windows, and when the values in the slots are
 consistent: on one alignment, equal item values stand for equal document values and the reverse. So a
 question with other numbers or names is caught, and a passage that merely has the same shape isn't.
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import let, written
 
 NUMBER = r"(?<!\S)[^\s\p{L}\p{N}]*\p{N}[\p{N}.,:/-]*[^\s\p{L}\p{N}]*(?!\S)"
 NAME = r"(?<=[\p{L}\p{N},;]\x20)\p{Lu}\p{Ll}\S*"
@@ -31,6 +33,8 @@ NAME = r"(?<=[\p{L}\p{N},;]\x20)\p{Lu}\p{Ll}\S*"
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr hours minutes seconds days weeks months years meters metres kilometers kilometres miles grams kilograms liters litres percent dollars euros cents degrees mph kph".split()
 NUM, NAMED, UNIT = "⟦num⟧", "⟦name⟧", "⟦unit⟧"
 SLOTS = (NUM, NAMED, UNIT)
+#: The characters that a word loses.
+PUNCTUATION = r"""[.,;:!?"'()\[\]{}<>|*#$%&@/\\^~`+=_\-“”‘’„«»–—…¿¡·]+"""
 
 
 @dataclass(frozen=True)
@@ -41,35 +45,54 @@ class TemplateSettings:
     broadcast_rows: int = 2_000_000
 
 
-def template_words(text: str | Column) -> Column:
-    """The template as an array of words; white space runs are cuts, words without a letter or digit vanish."""
-    c = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), NUMBER, NUM)
+def _bare(text: Column) -> Column:
+    """Lower case, without punctuation, cut at white space; words that vanish leave no place."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, PUNCTUATION, "")), r"\s+"), "")
+
+
+def plain_words(text: str) -> Column:
+    return _bare(F.coalesce(text, F.lit("")))
+
+
+def template_words(text: str) -> Column:
+    """The template as an array of words, aligned with plain_words and raw_words."""
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), NUMBER, NUM)
     c = F.regexp_replace(c, rf"(?<={NUM}\x20)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])\S*", UNIT)
-    c = F.regexp_replace(c, NAME, NAMED)
-    c = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}⟦⟧\s]+", ""))
-    return F.array_remove(F.split(c, r"\s+"), "")
+    return _bare(F.regexp_replace(c, NAME, NAMED))
 
 
 def raw_words(text: str) -> Column:
-    """The words as they stand, aligned with template_words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    """The words as they stand."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, PUNCTUATION, "") != "")
+
+
+def window_hashes(words: Column, size: int) -> Column:
+    """The hashes of all windows of that size, by position: of two words, of two such pairs, and so on."""
+
+    def joined(h: Column, step: int) -> Column:
+        return let(h, lambda a: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
 
+    def hashed(w: Column) -> Column:
+        h, span = F.transform(w, lambda x: F.xxhash64(x)), 1
+        while 2 * span <= size:
+            h, span = joined(h, span), 2 * span
+        if span < size:
+            h = joined(h, size - span)
+        return F.when(F.size(w) >= size, F.slice(h, 1, F.greatest(F.size(w) - size + 1, F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
-def _windows(words: Column, size: int) -> Column:
-    """The hashes of all windows of that size, by position."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(hashed, i, size)))).otherwise(F.array().cast("array<long>"))
+    return let(words, hashed)
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str, settings: TemplateSettings) -> DataFrame:
     """(item_id, size, ipos, hash, slots, n_windows) of every window of every item."""
     words = items.select(F.col(key).alias("item_id"), template_words(text).alias("words")).where(F.size("words") >= settings.least_words)
-    words = words.withColumn("size", F.least(F.size("words"), F.lit(settings.window)))
-    at = words.withColumn("n_windows", F.size("words") - F.col("size") + 1).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.col("n_windows"))))
-    held = at.withColumn("held", F.slice("words", F.col("ipos"), F.col("size")))
-    slots = F.size(F.filter("held", lambda w: w.isin(*SLOTS)))
-    held = held.withColumn("slots", slots).where(2 * F.col("slots") <= F.col("size"))
-    return held.select("item_id", "size", "ipos", F.xxhash64(F.transform("held", lambda w: F.xxhash64(w))).alias("hash"), "slots", "n_windows")
+    words = words.withColumn("size", F.least(F.size("words"), F.lit(settings.window))).withColumn("n_windows", F.size("words") - F.col("size") + 1)
+    hashes = F.lit(None)
+    for size in range(settings.least_words, settings.window + 1):
+        hashes = F.when(F.col("size") == size, window_hashes(F.col("words"), size)).otherwise(hashes)
+    at = words.select("item_id", "words", "size", "n_windows", F.posexplode(hashes).alias("p", "hash")).withColumn("ipos", F.col("p") + 1)
+    slots = F.size(F.filter(F.slice("words", F.col("ipos"), F.col("size")), lambda w: w.isin(*SLOTS)))
+    return at.withColumn("slots", slots).where(2 * F.col("slots") <= F.col("size")).select("item_id", "size", "ipos", "hash", "slots", "n_windows")
 
 
 def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", settings: TemplateSettings | None = None) -> DataFrame:
@@ -79,14 +102,16 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
     bench = written(benchmark_windows(items, item_key, item_text, settings), "benchmark-windows")
     n, sizes = bench.count(), sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `window` sizes
     docs = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    words = docs.select("text_hash", template_words("text").alias("words"))
-    found = F.concat(*[F.transform(_windows(F.col("words"), s), lambda h, i, s=s: F.struct(F.lit(s).alias("size"), (i + 1).alias("dpos"), h.alias("hash"))) for s in sizes]) if sizes else None
-    if found is None:
-        return words.select("text_hash", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("n_windows", "long"), ("item_windows", "long"), ("coverage", "double"), ("n_slots", "long"), ("changed_slots", "long"))]).limit(0)
-    if len(sizes) == 1:
-        rows = words.select("text_hash", F.posexplode(_windows(F.col("words"), sizes[0])).alias("p", "hash")).select("text_hash", F.lit(sizes[0]).alias("size"), (F.col("p") + 1).alias("dpos"), "hash")
-    else:
-        rows = words.select("text_hash", F.inline(found))
+    if not sizes:
+        empty = "text_hash long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, changed_slots long"
+        return df.sparkSession.createDataFrame([], empty)
+    makers = [plain_words] if bench.where("slots > 0").isEmpty() else [plain_words, template_words]
+    rows = None
+    for maker in makers:
+        for size in sizes:
+            part = docs.select("text_hash", F.posexplode(window_hashes(maker("text"), size)).alias("p", "hash"))
+            part = part.select("text_hash", F.lit(size).alias("size"), (F.col("p") + 1).alias("dpos"), "hash")
+            rows = part if rows is None else rows.unionByName(part)
     hits = rows.join(F.broadcast(bench) if n <= settings.broadcast_rows else bench, ["size", "hash"]).select("text_hash", "item_id", "dpos", "ipos", "size", "slots", F.col("n_windows").alias("item_windows"))
     hits = written(hits.distinct(), "template-hits")
     cover = hits.groupBy("text_hash", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"))

@@ -60,3 +60,9 @@ def hash_part(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     c = F.col(key) if isinstance(key, str) else key
     return F.crc32(c.cast("string").cast("binary")) % n
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: named only in a lambda's body, an expression would be
+    computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
