@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import WORD, written
+from .frames import WORD, let, written
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class MixSettings:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most_passes: int = 3
     shard_slots: int = 4096
-    bucket_rows: int = 4096
+    bucket_rows: int = 1024
     rounds: int = 24
     seed: int = 20240607
 
@@ -170,12 +170,12 @@ def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source
     listed = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     first, last = F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("_size") - 1) / width)
 
-    def piece(b: Column) -> Column:
+    def piece(b: Column, words: Column) -> Column:
         begin = F.greatest(b * width - F.col("_start"), F.lit(0)).cast("int")
         end = F.least((b + 1) * width - F.col("_start"), F.col("_size")).cast("int")
-        return F.struct(b.alias("block"), F.array_join(F.slice(F.col("_words"), begin + 1, end - begin), "").alias("text"))
+        return F.struct(b.alias("block"), F.array_join(F.slice(words, begin + 1, end - begin), "").alias("text"))
 
-    cut = whole.withColumn("_words", listed).withColumn("_piece", F.explode(F.transform(F.sequence(first, last), piece)))
+    cut = whole.withColumn("_piece", F.explode(let(listed, lambda words: F.transform(F.sequence(first, last), lambda b: piece(b, words)))))
     plan = slot_plan(sources, settings).select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), "shard", "slot")
     kept = [F.col("_text").alias(c) if c == text else F.col(c) for c in df.columns if c not in ("shard", "slot")]
     named = cut.select(*[c for c in df.columns if c != text and c not in ("shard", "slot")], "_sid", F.col("_piece.block").alias("_block"), F.col("_piece.text").alias("_text"))
