@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import written
+from .routing import hash_filter, linked_in_groups, passes, shared_key_edges, tiled_groups
 from .wordhash import LOWERED, U, mix, row_ranges, utf8, windows, words
 
 EMPTY_GROUP = 0x5851F42D4C957F2D
@@ -50,6 +51,7 @@ class JaccardSettings:
     tile_sets: int = 8192
     tile_shingles: int = 4 << 20
     bucket_keys: int = 1 << 20
+    filter_bits: int = 1 << 26
 
 
 # ---------------------------------------------------------------- sets
@@ -252,129 +254,43 @@ def _input(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidate_edges(df: DataFrame, n_buckets: int, settings: JaccardSettings) -> DataFrame:
-    """(a, b): set ids that share a group's content, as stars.
-
-    Keys are combined before the shuffle: of each batch only the smallest set id of a key travels,
-    packed with the other keys of its bucket; the others are tied to it at once. So a key that a
-    third of all documents share sends one entry a batch.
-    """
+    """(a, b): set ids that share a group's content, as stars."""
     n, bands = settings.n, Bands(settings)
-    schema = "bucket int, keys binary, sets binary"
 
-    def packed(batches):
-        for b in batches:
-            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, _, sets in _sets_of(b.column(1), n):
-                for s in sets:
-                    if len(s):
-                        k = bands.keys(s)
-                        keys.append(k), owners.append(np.full(len(k), signature(s)))
-            k, s = np.concatenate(keys), np.concatenate(owners)
-            k, s, tied = _stars(k, s)
-            bucket = ((k >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
-            at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            rows = [(i, k[x:y].tobytes(), s[x:y].tobytes()) for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
-            if len(tied[0]):
-                rows.append((-1, tied[0].tobytes(), tied[1].tobytes()))
-            for lo in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "sets"])
-
-    def matched(table: pa.Table) -> pa.Table:
-        _, _, (a, b) = _stars(*(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("sets", np.int64))))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def unpacked(batches):
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
-
-    rows = df.mapInArrow(packed, schema)
-    # one pass over the texts: tied pairs ride along in a bucket of their own, spread by their content
-    spread = rows.withColumn("spot", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(max(16, n_buckets)))).otherwise(F.col("bucket").cast("long")))
-
-    def either(table: pa.Table) -> pa.Table:
-        if table.column("spot")[0].as_py() >= 0:
-            return matched(table)
-        found = list(unpacked(table.select(["keys", "sets"]).to_batches()))
-        pairs = np.unique(np.stack([np.concatenate([np.asarray(x.column(i)) for x in found]) for i in (0, 1)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return spread.groupBy("spot").applyInArrow(either, "a long, b long").distinct()
-
-
-def _stars(keys: np.ndarray, owners: np.ndarray):
-    """(keys, smallest owner of each, (others, their smallest)), by ascending key."""
-    order = np.lexsort((owners, keys))
-    k, s = keys[order], owners[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    pivot = s[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else s
-    tied = s != pivot
-    pairs = np.unique(np.stack([s[tied], pivot[tied]]), axis=1)
-    return k[new], s[new], (pairs[0], pairs[1])
-
-
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each id's hash: a bounded filter (bits / 8 bytes) ahead of the exact join."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    held = ids.select((spot / 32).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) % 32 as int))").alias("x"))
-    found = held.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    out = np.zeros(bits // 32, np.uint32)
-    out[found.column("w").to_numpy()] = found.column("x").to_numpy().astype(np.uint32)
-    return out
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, sets in _sets_of(batch.column(1), n):
+            for s in sets:
+                if len(s):
+                    keys.append(bands.keys(s))
+                    owners.append(np.full(len(keys[-1]), signature(s)))
+        return np.concatenate(keys), np.concatenate(owners)
 
+    return shared_key_edges(df, keyed, n_buckets)
 
-def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings, bits: int = 1 << 26) -> DataFrame:
-    """(set_id, grp, n, shingles) of the wanted sets; wanted has set_id, doc_id, root."""
-    n, spark = settings.n, df.sparkSession
-    filter_bits = spark.sparkContext.broadcast(_bitmap(wanted.select("doc_id"), bits))
+
+def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """(set_id, shingles) of the wanted sets; wanted has set_id and the doc_id of one document that has it."""
+    n, bits = settings.n, settings.filter_bits
+    held = df.sparkSession.sparkContext.broadcast(hash_filter(wanted, "doc_id", bits))
 
     def run(batches):
         for b in batches:
-            spot = b.column(2).to_numpy()
-            take = np.flatnonzero((filter_bits.value[spot // 32] >> (spot % 32).astype(np.uint32)) & 1)
-            part = b.column(1).take(pa.array(take))
+            part = b.column(1).take(pa.array(np.flatnonzero(passes(held.value, b.column(2).to_numpy()))))
             for _, _, sets in _sets_of(part, n):
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(signature(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "n", "shingles"]
-                )
-
-    rows = df.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("spot"))
-    sets = rows.mapInArrow(run, "set_id long, n long, shingles binary")
-    per = wanted.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"))
-    tiles = F.greatest(F.ceil(F.col("m") / settings.tile_sets), F.ceil(F.col("weight") / settings.tile_shingles)).cast("int")
-    placed = wanted.join(per.select("root", tiles.alias("tiles")), "root").select("set_id", "root", "tiles", F.pmod(F.xxhash64("set_id", F.lit(1)), "tiles").cast("int").alias("tile"))
-    with_root = sets.join(placed, "set_id").dropDuplicates(["set_id"])
-    # one tile: one group. More: a group for each pair of tiles.
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != F.col("tile"))))
-    grouped = with_root.withColumn("other", other)
-    grp = F.when(F.col("tiles") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
-    return grouped.select(grp.alias("grp"), "set_id", "shingles")
-
-
-def linked_sets(groups: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """(a, b): the verified components within each group, as stars."""
-
-    def flush(ids, blobs):
-        root = link_sets([np.frombuffer(x, np.uint64) for x in blobs], settings)
-        ids = np.array(ids, np.int64)
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[root[tied]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(signature(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "shingles"])
+
+    rows = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("spot"))
+    sets = rows.mapInArrow(run, "set_id long, shingles binary")
+    return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
-    def run(batches):
-        grp, ids, blobs = None, [], []
-        for b in batches:
-            for g, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if g != grp:
-                    if len(ids) > 1:
-                        yield flush(ids, blobs)
-                    grp, ids, blobs = g, [], []
-                ids.append(i), blobs.append(x)
-        if len(ids) > 1:
-            yield flush(ids, blobs)
 
-    return groups.repartition("grp").sortWithinPartitions("grp", "set_id").mapInArrow(run, "a long, b long")
+def linked_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """(a, b): the verified components within each group of candidates, as stars."""
+    members = wanted.select("set_id", "root", F.col("n_shingles").alias("weight"))
+    groups = tiled_groups(members, "set_id", settings.tile_sets, settings.tile_shingles).join(candidate_sets(df, wanted, settings), "set_id")
+    return linked_in_groups(groups.select("grp", "set_id", "shingles"), "set_id", lambda rows: link_sets([np.frombuffer(r[0], np.uint64) for r in rows], settings))
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings | None = None) -> DataFrame:
@@ -387,10 +303,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     docs = _input(df, key, text).where("doc_id is not null")
     routes = connected_components(candidate_edges(docs, n_buckets, settings))
     wanted = written(firsts.join(routes.withColumnRenamed("node", "set_id"), "set_id"), "candidates")
-    links = connected_components(linked_sets(candidate_sets(docs, wanted, settings), settings)).withColumnRenamed("node", "set_id")
+    links = connected_components(linked_sets(docs, wanted, settings)).withColumnRenamed("node", "set_id")
     least = links.join(firsts, "set_id").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = links.join(least, "root").select("set_id", "component_id")
-    alone = firsts.join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # written, so that the join below can split the rows of a set that very many documents share
+    alone = written(firsts.join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id")), "set-components")
     joined = sets.where("doc_id is not null").join(alone, "set_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
         sets.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))

@@ -93,10 +93,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters:
         lo = int(starts[i])
         j = int(np.searchsorted(ends, lo + _PIECE, "right"))
         if j <= i:  # one span longer than a piece
-            total, scale = U(0), 1
+            total, scale = 0, 1
             for at in range(lo, int(ends[i]), _PIECE):
                 part = value[data[at : min(at + _PIECE, int(ends[i]))]]
-                total = total + U(scale) * np.sum(part * _UP[: len(part)], dtype=np.uint64)
+                total = (total + scale * int(np.sum(part * _UP[: len(part)], dtype=np.uint64))) % 2**64
                 scale = scale * pow(_BASE, _PIECE, 2**64) % 2**64
             out[i] = total
             i += 1
