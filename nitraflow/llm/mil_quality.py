@@ -56,7 +56,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
     held, of_byte = data[at], np.repeat(of_word, lengths)
     after = np.zeros_like(held)
-    after[:-1] = held[1:]
+    after[:-1] = np.where(of_byte[1:] == of_byte[:-1], held[1:], 0)  # no pair reaches into the next passage
     pair = (held.astype(np.int64) * 37 + after.astype(np.int64) * 101) % PAIRS
     grams = np.bincount(of_byte * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS).astype(np.float32)
     n_bytes = np.maximum(grams.sum(1, keepdims=True), 1)

@@ -20,7 +20,7 @@ def test_quality_is_learned_and_holds_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     part = hash_part("doc_id", 3) == 1
     model = mil_quality.fit_quality(docs, labels.where(~part))
-    scored = mil_quality.score_quality(docs.where(part), model).join(labels, "doc_id").select("quality.score", labels["quality"]).collect()
+    scored = mil_quality.score_quality(docs.where(part), model, out="mil").join(labels, "doc_id").select("mil.score", "quality").collect()
     assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in scored]) > 0.95
     again = mil_quality.fit_quality(docs.repartition(5), labels.where(~part))
     assert all(np.allclose(model.w[k], again.w[k]) for k in model.w)
