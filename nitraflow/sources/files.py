@@ -21,10 +21,10 @@ def read_readings(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str, schema: T.StructType = schemas.SITES) -> tuple[DataFrame, DataFrame]:
-    """(good rows, a one-row frame with n_bad and n_keys): a row that doesn't fit the schema is left out and counted."""
+    """(good rows, a one-row frame with n_bad and the number of values of each column): a row that doesn't fit the schema is left out and counted."""
     held = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(held).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", columnPruning=False).csv(path)
-    return rows.where("_bad is null").drop("_bad"), rows.agg(F.count("_bad").alias("n_bad"), F.count(schema[0].name).alias("n_keys"))
+    rows = spark.read.schema(held).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").csv(path)
+    return rows.where("_bad is null").drop("_bad"), rows.agg(F.count("_bad").alias("n_bad"), *[F.count(f.name).alias(f"n_{f.name}") for f in schema.fields])
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
