@@ -9,9 +9,10 @@ the threshold are opened, and the pairs that survive are verified on the shingle
 How the work is spread: over a whole corpus the upper nodes of such a tree cover nearly the mean of
 every coordinate and prune nothing but sizes, so documents are first routed to the trees that can
 hold a partner. Within a band of set sizes two linked sets differ in at most d shingles; with the
-hash range cut into more than d groups, they agree in the whole content of at least one group. Sets
-that share a group's content are routed together (connected candidates), without loss. A routed set
-of candidates that is too large for one task is cut into tiles, and every pair of tiles gets a tree.
+hash range cut into more than d groups, they agree in the whole content of at least one group. The
+points of all sets that share a group's content form a tree, and sets whose bound reaches the
+threshold are candidates; connected candidates are then verified on their shingles, in a tree again.
+A tree that is too large for one task is cut into tiles, and every pair of tiles gets one.
 
 Equal sets are one node, so exact copies cost one row each. Within a tree, points that already belong
 to a component leave it, so a thousand near copies need a thousand searches and not a million pairs.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import written
-from .routing import hash_filter, linked_in_groups, passes, shared_key_edges, tiled_groups
+from .routing import by_shared_key, hash_filter, linked_in_groups, lists_by_key, passes, tiled_groups
 from .wordhash import LOWERED, U, mix, row_ranges, utf8, windows, words
 
 EMPTY_GROUP = 0x5851F42D4C957F2D
@@ -46,7 +47,7 @@ class JaccardSettings:
     n: int = 5
     percent: int = 80
     band_ratio: float = 1.5
-    coordinates: int = 32
+    coordinates: int = 64
     leaf: int = 16
     tile_sets: int = 8192
     tile_shingles: int = 4 << 20
@@ -181,13 +182,18 @@ class CountTree:
         return at[(100 + percent) * most >= percent * (size + self.sizes[at])]
 
 
-def link_sets(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
-    """For each set the index of the first set of its component."""
-    root = np.full(len(sets), -1)
+def points_of(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
+    """The counts of the shingle groups (by the low bits of the hashes)."""
     mask, width = U(settings.coordinates - 1), settings.coordinates
-    points = np.stack([np.bincount((s & mask).astype(np.int64), minlength=width) for s in sets])
+    return np.stack([np.bincount((s & mask).astype(np.int64), minlength=width) for s in sets])
+
+
+def link_sets(points: np.ndarray, sets: list[np.ndarray] | None, settings: JaccardSettings) -> np.ndarray:
+    """For each point the index of the first one of its component: by the bound, or, with the sets, by
+    the exact overlap."""
+    root = np.full(len(points), -1)
     tree = CountTree(points, settings.leaf)
-    for seed in range(len(sets)):
+    for seed in range(len(points)):
         if root[seed] >= 0:
             continue
         root[seed] = seed
@@ -196,13 +202,14 @@ def link_sets(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
         while queue and tree.count:
             q = queue.pop()
             near = tree.search(q, settings.percent)
-            for part in _parts(near, sets):
-                shared = overlaps(sets[q], [sets[i] for i in part])
-                union = len(sets[q]) + tree.sizes[part] - shared
-                linked = part[100 * shared >= settings.percent * union]
-                root[linked] = seed
-                tree.remove(linked)
-                queue += linked.tolist()
+            for part in [near] if sets is None else _parts(near, sets):
+                if sets is not None:
+                    shared = overlaps(sets[q], [sets[i] for i in part])
+                    union = len(sets[q]) + tree.sizes[part] - shared
+                    part = part[100 * shared >= settings.percent * union]
+                root[part] = seed
+                tree.remove(part)
+                queue += part.tolist()
     return root
 
 
@@ -235,26 +242,28 @@ def _sets_of(column: pa.Array, n: int):
 
 
 def set_table(df: DataFrame, key: str, text: str, settings: JaccardSettings) -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for an empty set."""
+    """(doc_id, n_shingles, set_id, point); set_id and point are null for an empty set."""
     n = settings.n
 
     def run(batches):
         for b in batches:
-            sizes, ids = [], []
+            sizes, ids, points = [], [], []
             for _, _, sets in _sets_of(b.column(1), n):
                 sizes += [len(s) for s in sets]
                 ids += [int(signature(s)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+                points += [p.astype(np.int32).tobytes() if p.any() else None for p in (points_of(sets, settings) if sets else [])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_id", "point"])
 
-    return _input(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return _input(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long, point binary")
 
 
 def _input(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def candidate_edges(df: DataFrame, n_buckets: int, settings: JaccardSettings) -> DataFrame:
-    """(a, b): set ids that share a group's content, as stars."""
+def candidate_edges(df: DataFrame, points: DataFrame, n_buckets: int, settings: JaccardSettings) -> DataFrame:
+    """(a, b): a forest of the sets that share a group's content and whose bound reaches the threshold;
+    points has set_id and point."""
     n, bands = settings.n, Bands(settings)
 
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +275,36 @@ def candidate_edges(df: DataFrame, n_buckets: int, settings: JaccardSettings) ->
                     owners.append(np.full(len(keys[-1]), signature(s)))
         return np.concatenate(keys), np.concatenate(owners)
 
-    return shared_key_edges(df, keyed, n_buckets)
+    lists = written(by_shared_key(df, keyed, n_buckets, lists_by_key).select(F.col("a").alias("root"), F.col("b").alias("set_id"), F.lit(1).alias("weight")), "shared-groups")
+    # first each list's members against its smallest; most lists are settled by that
+    pivots = lists.groupBy("root").agg(F.min("set_id").alias("pivot"), F.count("*").alias("m"))
+    pairs = lists.join(pivots, "root").where("set_id != pivot").select("set_id", "pivot").distinct()
+    held = written(points.join(lists.select("set_id").distinct(), "set_id", "left_semi"), "candidate-points")
+    pairs = pairs.join(held, "set_id").join(held.select(F.col("set_id").alias("pivot"), F.col("point").alias("other")), "pivot")
+    near = written(pairs.select("set_id", "pivot", "point", "other").mapInArrow(_near_pairs(settings), "a long, b long"), "near-sets")
+    # then the lists that still span several components, in trees
+    found = connected_components(near).withColumnRenamed("node", "set_id").withColumnRenamed("root", "part")
+    part = F.coalesce("part", "set_id")
+    spans = lists.join(pivots.where("m > 2").select("root"), "root").join(found, "set_id", "left").groupBy("root").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
+    still = lists.join(spans.where("lo < hi").select("root"), "root")
+    groups = tiled_groups(still, "set_id", settings.tile_sets, settings.tile_sets).join(held, "set_id")
+    rest = linked_in_groups(groups.select("grp", "set_id", "point"), "set_id", lambda rows: link_sets(np.stack([np.frombuffer(r[0], np.int32) for r in rows]), None, settings))
+    return near.unionByName(rest)
+
+
+def _near_pairs(settings: JaccardSettings):
+    """Keeps the pairs (set_id, pivot, point, other) whose bound reaches the threshold."""
+    width, p = settings.coordinates, settings.percent
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, width) for i in (2, 3))
+            keep = pa.array(np.flatnonzero((100 + p) * np.minimum(x, y).sum(1) >= p * (x.sum(1) + y.sum(1))))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+
+    return run
 
 
 def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -286,22 +324,27 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings)
     return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def _verified(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
+    return link_sets(points_of(sets, settings), sets, settings)
+
+
 def linked_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
     """(a, b): the verified components within each group of candidates, as stars."""
     members = wanted.select("set_id", "root", F.col("n_shingles").alias("weight"))
     groups = tiled_groups(members, "set_id", settings.tile_sets, settings.tile_shingles).join(candidate_sets(df, wanted, settings), "set_id")
-    return linked_in_groups(groups.select("grp", "set_id", "shingles"), "set_id", lambda rows: link_sets([np.frombuffer(r[0], np.uint64) for r in rows], settings))
+    return linked_in_groups(groups.select("grp", "set_id", "shingles"), "set_id", lambda rows: _verified([np.frombuffer(r[0], np.uint64) for r in rows], settings))
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links."""
     settings = settings or JaccardSettings()
     sets = written(set_table(df, key, text, settings), "shingle-sets")
-    firsts = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    firsts = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(8, int(total * 1.5 * (100 - settings.percent) / settings.percent * 1.3 / settings.bucket_keys))
     docs = _input(df, key, text).where("doc_id is not null")
-    routes = connected_components(candidate_edges(docs, n_buckets, settings))
+    points = sets.where("set_id is not null").select("set_id", "point").dropDuplicates(["set_id"])
+    routes = connected_components(candidate_edges(docs, points, n_buckets, settings))
     wanted = written(firsts.join(routes.withColumnRenamed("node", "set_id"), "set_id"), "candidates")
     links = connected_components(linked_sets(docs, wanted, settings)).withColumnRenamed("node", "set_id")
     least = links.join(firsts, "set_id").groupBy("root").agg(F.min("doc_id").alias("component_id"))

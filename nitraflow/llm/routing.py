@@ -11,46 +11,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordhash import U
+from .wordhash import U, mix
 
 Keyed = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
-def stars(keys: np.ndarray, owners: np.ndarray):
-    """(keys, smallest owner of each, (others, their smallest)), by ascending key."""
-    order = np.lexsort((owners, keys))
-    k, s = keys[order], owners[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    pivot = s[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else s
-    tied = s != pivot
-    pairs = np.unique(np.stack([s[tied], pivot[tied]]), axis=1)
-    return k[new], s[new], (pairs[0], pairs[1])
-
-
-def shared_key_edges(df: DataFrame, keyed: Keyed, n_buckets: int) -> DataFrame:
-    """(a, b): owners that share a key, as stars. keyed gives the keys of a batch and their owners.
-
-    Keys are combined before the shuffle: of each batch only the smallest owner of a key travels,
-    packed with the other keys of its bucket; the other owners are tied to it at once. So a key that
-    a third of all rows share sends one entry a batch.
-    """
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, by a and then b."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def linked_by_key(keys: np.ndarray, owners: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """(a, b): a forest of the owners that share a key and are near; near compares elementwise. Within
+    a key, an owner that already belongs to a component is searched from once and not compared again."""
+    k, s = distinct_pairs(keys, owners)
+    at = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else np.zeros(1, np.int64)
+    sizes = np.diff(at)
+    two = at[:-1][sizes == 2]
+    two = two[near(s[two], s[two + 1])]
+    a, b = [s[two]], [s[two + 1]]
+    for i in np.flatnonzero(sizes > 2).tolist():
+        free = s[at[i] : at[i + 1]]
+        while len(free):
+            queue, free = [free[0]], free[1:]
+            while queue and len(free):
+                q = queue.pop()
+                hit = near(np.full(len(free), q), free)
+                found, free = free[hit], free[~hit]
+                a.append(np.full(len(found), q))
+                b.append(found)
+                queue += found.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def lists_by_key(keys: np.ndarray, owners: np.ndarray):
+    """(list, owner): the distinct lists of two owners or more that share a key; a list is named by a
+    hash of its owners."""
+    k, s = distinct_pairs(keys, owners)
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(first)
+    sizes = np.diff(np.append(at, len(k)))
+    if not len(at):
+        return s, s
+    name = mix(np.add.reduceat(mix(s.view(np.uint64)), at) + sizes.astype(np.uint64)).view(np.int64)
+    _, one = np.unique(name, return_index=True)
+    one = one[sizes[one] > 1]
+    n = sizes[one]
+    spot = np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(name[one], n), s[spot]
+
+
+def by_shared_key(df: DataFrame, keyed: Keyed, n_buckets: int, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what pairs makes of the keys and owners of each bucket of keys. keyed gives the keys of a
+    batch and their owners; each travels once a batch, packed with the others of its bucket."""
 
     def packed(batches):
         for batch in batches:
-            k, s, tied = stars(*keyed(batch))
+            k, s = distinct_pairs(*keyed(batch))
             bucket = ((k >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
             at = np.searchsorted(bucket, np.arange(n_buckets + 1))
             rows = [(i, k[x:y].tobytes(), s[x:y].tobytes()) for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
-            if len(tied[0]):  # ride along in buckets of their own, spread by content
-                rows.append((-1 - int(tied[0][0]) % max(16, n_buckets), tied[0].tobytes(), tied[1].tobytes()))
             for lo in range(0, len(rows), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 1024], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "owners"])
 
     def matched(table: pa.Table) -> pa.Table:
-        tied = table.column("bucket")[0].as_py() < 0
-        k, s = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int64 if tied else np.uint64), ("owners", np.int64)))
-        a, b = np.unique(np.stack([k, s]), axis=1) if tied else stars(k, s)[2]
+        a, b = pairs(*(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("owners", np.int64))))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return df.mapInArrow(packed, "bucket long, keys binary, owners binary").groupBy("bucket").applyInArrow(matched, "a long, b long").distinct()
