@@ -70,6 +70,21 @@ def word_counts(df: DataFrame, settings: HmmSettings) -> DataFrame:
     return rows.groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
 
 
+def heavy_words(counts: DataFrame, most: int) -> pa.Table:
+    """The words whose count reaches a threshold, by falling count: the lowest threshold, in steps of
+    about a tenth, that at most `most` words reach (the bound of what is collected and broadcast)."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()  # a few hundred rows at most
+    least, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r["b"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["b"]
+    rows = counts.where(step >= least) if least is not None else counts.limit(0)
+    return rows.toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+
+
 # ---------------------------------------------------------------- the model
 
 
@@ -243,7 +258,7 @@ def hmm_scores(df: DataFrame, train_on: Column, key: str = "doc_id", text: str =
     n_docs = docs.where("train").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = sums[0] + n_docs, sums[1] + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(settings.heavy).toArrow()  # the bound of what is broadcast
+    top = heavy_words(counts, settings.heavy)
     own = min(settings.own_classes, len(top))
     heavy_h, heavy_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     heavy_shape = top.column("shape").to_numpy()

@@ -143,7 +143,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """Fits on the labelled documents: labels has one 0/1 label per key (of several, the smallest counts)."""
     s = settings or MilSettings()
     picked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("double").alias("_label"))
-    picked = picked.orderBy(F.xxhash64("_key"), "_key").limit(s.max_docs)  # the bound of the sample, and of the broadcast
+    # of a few times the sample by a hash, the first max_docs: the bound of the sample, and of the broadcast
+    share = min(1.0, 4 * s.max_docs / max(1, labels.count()))
+    picked = picked.where(F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("_key"), "_key").limit(s.max_docs)
     joined = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_key")
     size, most = s.passage_words, s.max_passages
 
