@@ -51,7 +51,7 @@ class JaccardSettings:
     leaf: int = 16
     tile_sets: int = 8192
     tile_shingles: int = 4 << 20
-    bucket_keys: int = 1 << 20
+    bucket_keys: int = 1 << 18
     filter_bits: int = 1 << 26
 
 

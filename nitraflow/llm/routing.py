@@ -71,7 +71,7 @@ def by_shared_key(df: DataFrame, keyed: Keyed, n_buckets: int, pairs: Callable[[
     batch and their owners; each travels once a batch, packed with the others of its bucket."""
 
     def packed(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
             k, s = distinct_pairs(*keyed(batch))
             bucket = ((k >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
             at = np.searchsorted(bucket, np.arange(n_buckets + 1))
