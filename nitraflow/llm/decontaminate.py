@@ -2,16 +2,17 @@
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number
 turn into typed placeholders; the other words are lower-cased and lose punctuation. Windows of
-`window` template words are hash-joined between benchmark and documents. A window of an item without
-a slot equals the same words in a document, so those are matched on the document's plain words; the
-template windows of the documents are made if some item has slots. A document holds an item
+`window` words are hash-joined between benchmark and documents: every window on its plain words, and
+windows of which a part are slots on their template too; the template windows of the documents are made
+if some item has slots. A document holds an item
 when it holds at least `coverage` of the item's windows, and when the values in the slots are
 consistent: on one alignment, equal item values stand for equal document values and the reverse. So a
 question with other numbers or names is caught, and a passage that merely has the same shape isn't.
 
 Items shorter than a window are matched whole; items of fewer than `least_words` words are skipped,
-as they can't be told from chance. Windows with fewer than half plain words never match by
-themselves. Results go by the text: equal texts get equal results. Null and empty texts hold nothing.
+as they can't be told from chance. Windows with fewer than half plain words match on their plain words
+only; coverage is over all windows, or over those that templates can match, whichever is more. What the
+plain words alone cover needs no slot check. Results go by the text: equal texts get equal results. Null and empty texts hold nothing.
 
 Scale: documents are scanned in place; their windows aren't shuffled as long as the benchmark's
 windows number at most `broadcast_rows` (the bound of the broadcast), else both sides are shuffled on
@@ -21,6 +22,7 @@ the window's hash. Slots are looked up only for texts with a hit on a window tha
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,15 +86,18 @@ def window_hashes(words: Column, size: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str, settings: TemplateSettings) -> DataFrame:
-    """(item_id, size, ipos, hash, slots, n_windows) of every window of every item."""
-    words = items.select(F.col(key).alias("item_id"), template_words(text).alias("words")).where(F.size("words") >= settings.least_words)
+    """(item_id, size, ipos, hash, slots, exact, n_windows, n_light) of every window of every item: on its plain
+    words (exact), and on its template if that has slots, but not more than plain words (light)."""
+    words = items.select(F.col(key).alias("item_id"), plain_words(text).alias("plain"), template_words(text).alias("words")).where(F.size("words") >= settings.least_words)
     words = words.withColumn("size", F.least(F.size("words"), F.lit(settings.window))).withColumn("n_windows", F.size("words") - F.col("size") + 1)
-    hashes = F.lit(None)
-    for size in range(settings.least_words, settings.window + 1):
-        hashes = F.when(F.col("size") == size, window_hashes(F.col("words"), size)).otherwise(hashes)
-    at = words.select("item_id", "words", "size", "n_windows", F.posexplode(hashes).alias("p", "hash")).withColumn("ipos", F.col("p") + 1)
-    slots = F.size(F.filter(F.slice("words", F.col("ipos"), F.col("size")), lambda w: w.isin(*SLOTS)))
-    return at.withColumn("slots", slots).where(2 * F.col("slots") <= F.col("size")).select("item_id", "size", "ipos", "hash", "slots", "n_windows")
+    at_size = lambda c: reduce(lambda rest, n: F.when(F.col("size") == n, window_hashes(F.col(c), n)).otherwise(rest), range(settings.least_words, settings.window + 1), F.lit(None))
+    slots = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.size(F.filter(F.slice("words", i, F.col("size")), lambda w: w.isin(*SLOTS))))
+    words = words.withColumn("slots", slots).withColumn("n_light", F.size(F.filter("slots", lambda n: 2 * n <= F.col("size"))))
+    every = F.arrays_zip(at_size("plain").alias("plain"), at_size("words").alias("template"), "slots")
+    at = words.select("item_id", "size", "n_windows", "n_light", F.posexplode(every).alias("p", "w")).select("item_id", "size", (F.col("p") + 1).alias("ipos"), "w.*", "n_windows", "n_light")
+    exact = at.withColumn("hash", F.col("plain")).withColumn("exact", F.lit(True))
+    light = at.where((F.col("slots") > 0) & (2 * F.col("slots") <= F.col("size"))).withColumn("hash", F.col("template")).withColumn("exact", F.lit(False))
+    return exact.unionByName(light).select("item_id", "size", "ipos", "hash", "slots", "exact", "n_windows", "n_light")
 
 
 def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", settings: TemplateSettings | None = None) -> DataFrame:
@@ -105,23 +110,32 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
     if not sizes:
         empty = "text_hash long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, changed_slots long"
         return df.sparkSession.createDataFrame([], empty)
-    makers = [plain_words] if bench.where("slots > 0").isEmpty() else [plain_words, template_words]
+    makers = [plain_words] if bench.where("not exact").isEmpty() else [plain_words, template_words]
     rows = None
     for maker in makers:
         for size in sizes:
             part = docs.select("text_hash", F.posexplode(window_hashes(maker("text"), size)).alias("p", "hash"))
-            part = part.select("text_hash", F.lit(size).alias("size"), (F.col("p") + 1).alias("dpos"), "hash")
+            part = part.select("text_hash", F.lit(size).alias("size"), F.lit(maker is plain_words).alias("exact"), (F.col("p") + 1).alias("dpos"), "hash")
             rows = part if rows is None else rows.unionByName(part)
-    hits = rows.join(F.broadcast(bench) if n <= settings.broadcast_rows else bench, ["size", "hash"]).select("text_hash", "item_id", "dpos", "ipos", "size", "slots", F.col("n_windows").alias("item_windows"))
+    hits = rows.join(F.broadcast(bench) if n <= settings.broadcast_rows else bench, ["size", "hash", "exact"]).select("text_hash", "item_id", "dpos", "ipos", "size", "slots", "exact", F.col("n_windows").alias("item_windows"), "n_light")
     hits = written(hits.distinct(), "template-hits")
-    cover = hits.groupBy("text_hash", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"))
-    cover = cover.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= settings.coverage)
+    cover = covered(hits, settings)
     slotted = hits.where("slots > 0").join(cover.select("text_hash", "item_id"), ["text_hash", "item_id"], "left_semi")
     if slotted.isEmpty():
         return cover.withColumn("n_slots", F.lit(0).cast("long")).withColumn("changed_slots", F.lit(0).cast("long"))
     checked = slot_check(docs, items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")), slotted, settings)
     best = cover.join(checked, ["text_hash", "item_id"], "left")
-    return best.where("consistent is null or consistent").drop("consistent").fillna(0, ["n_slots", "changed_slots"])
+    plain = covered(hits.where("exact"), settings).select("text_hash", "item_id", F.lit(True).alias("plain"))
+    best = best.join(plain, ["text_hash", "item_id"], "left").where("consistent is null or consistent or plain")
+    return best.drop("consistent", "plain").fillna(0, ["n_slots", "changed_slots"])
+
+
+def covered(hits: DataFrame, settings: TemplateSettings) -> DataFrame:
+    """(text_hash, item_id, n_windows, item_windows, coverage) of the items that hits cover enough of."""
+    light = F.countDistinct(F.when(2 * F.col("slots") <= F.col("size"), F.col("ipos")))
+    cover = hits.groupBy("text_hash", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), light.alias("light"), F.max("n_light").alias("n_light"))
+    share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.when(F.col("n_light") > 0, F.col("light") / F.col("n_light")))
+    return cover.withColumn("coverage", share).where(F.col("coverage") >= settings.coverage).drop("light", "n_light")
 
 
 def slot_check(docs: DataFrame, items: DataFrame, slotted: DataFrame, settings: TemplateSettings) -> DataFrame:

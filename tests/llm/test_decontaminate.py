@@ -59,3 +59,10 @@ def test_both_join_ways_agree(sample_docs, spark):
 def test_main_path_is_native(sample_docs, items):
     plan = D.without_benchmark(sample_docs, items)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_items_of_mostly_slots_are_caught(docs_of, spark):
+    sums, table = "Compute 12 + 7 - 3 * 4 + 9", "Values 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 of a long row of measured and rounded levels"
+    items = spark.createDataFrame([(1, sums), (2, table)], "item_id long, text string")
+    other = table.replace(" 3 ", " 33 ").replace(" 14 ", " 44 ")
+    assert [x[:2] for x in found(docs_of(["so: " + sums, table, other, "Compute 1 + 2 - 3 * 4 + 5"]), items)] == [(0, 1), (1, 2), (2, 2)]
