@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, with DataFrame operations only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number
+Texts become templates: numbers, names (capitalised words, at the start of a sentence too: the slot check tells) and units after a number
 turn into typed placeholders; the other words are lower-cased and lose punctuation. Windows of
 `window` words are hash-joined between benchmark and documents: every window on its plain words, and
 windows of which a part are slots on their template too; the template windows of the documents are made
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .frames import let, written
 
 NUMBER = r"(?<!\S)[^\s\p{L}\p{N}]*\p{N}[\p{N}.,:/-]*[^\s\p{L}\p{N}]*(?!\S)"
-NAME = r"(?<=[\p{L}\p{N},;]\x20)\p{Lu}\p{Ll}\S*"
+NAME = r"(?<!\S)[^\s\p{L}\p{N}]*\p{Lu}\p{Ll}\S*"
 #: Unit words that become a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr hours minutes seconds days weeks months years meters metres kilometers kilometres miles grams kilograms liters litres percent dollars euros cents degrees mph kph".split()
 NUM, NAMED, UNIT = "⟦num⟧", "⟦name⟧", "⟦unit⟧"

@@ -66,3 +66,11 @@ def test_items_of_mostly_slots_are_caught(docs_of, spark):
     items = spark.createDataFrame([(1, sums), (2, table)], "item_id long, text string")
     other = table.replace(" 3 ", " 33 ").replace(" 14 ", " 44 ")
     assert [x[:2] for x in found(docs_of(["so: " + sums, table, other, "Compute 1 + 2 - 3 * 4 + 5"]), items)] == [(0, 1), (1, 2), (2, 2)]
+
+
+def test_names_that_open_sentences_are_slots(docs_of, spark):
+    text = "Tom has 3 cats. Tom buys 4 dogs. Tom sells 2 birds. How many pets does Tom own now?"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    other = text.replace("Tom", "Jim").replace("3", "7")
+    texts = [other, '"' + other, text.lower(), other.replace("Jim sells", "Ann sells")]
+    assert [x[:2] for x in found(docs_of(texts), items)] == [(0, 1), (1, 1), (2, 1)]
