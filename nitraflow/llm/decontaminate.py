@@ -5,11 +5,13 @@ turn into typed placeholders; the other words are lower-cased and lose punctuati
 `window` words are hash-joined between benchmark and documents: every window on its plain words, and
 windows of which a part are slots on their template too; the template windows of the documents are made
 if some item has slots. A document holds an item
-when it holds at least `coverage` of the item's windows, and when the values in the slots are
+when it holds at least `coverage` of the item's windows, more than that share of its words inside matched
+windows, or `run_words` of its words in a row, and when the values in the slots are
 consistent: on one alignment, equal item values stand for equal document values and the reverse. So a
 question with other numbers or names is caught, and a passage that merely has the same shape isn't.
 
-Items shorter than a window are matched whole; items of fewer than `least_words` words are skipped,
+Items shorter than a window are matched whole; those of 11 words or more in which one changed word can
+break every window have windows of `short_window` words. Items of fewer than `least_words` words are skipped,
 as they can't be told from chance. Windows with fewer than half plain words match on their plain words
 only; coverage is over all windows, or over those that templates can match, whichever is more. What the
 plain words alone cover needs no slot check. Results go by the text: equal texts get equal results. Null and empty texts hold nothing.
@@ -24,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import let, written
@@ -43,6 +45,8 @@ PUNCTUATION = r"""[.,;:!?"'()\[\]{}<>|*#$%&@/\\^~`+=_\-“”‘’„«»–—
 class TemplateSettings:
     window: int = 8
     coverage: float = 0.5
+    run_words: int = 13
+    short_window: int = 5
     least_words: int = 5
     broadcast_rows: int = 2_000_000
 
@@ -85,11 +89,17 @@ def window_hashes(words: Column, size: int) -> Column:
     return let(words, hashed)
 
 
+def item_window(n: Column, settings: TemplateSettings) -> Column:
+    """The window of an item of n words: with one word changed, a shorter one still lies beside it."""
+    short = (n > 2 * settings.short_window) & (n <= 2 * settings.window)
+    return F.when(short, F.least(F.lit(settings.short_window), F.lit(settings.window))).otherwise(F.least(n, F.lit(settings.window)))
+
+
 def benchmark_windows(items: DataFrame, key: str, text: str, settings: TemplateSettings) -> DataFrame:
     """(item_id, size, ipos, hash, slots, exact, n_windows, n_light) of every window of every item: on its plain
     words (exact), and on its template if that has slots, but not more than plain words (light)."""
     words = items.select(F.col(key).alias("item_id"), plain_words(text).alias("plain"), template_words(text).alias("words")).where(F.size("words") >= settings.least_words)
-    words = words.withColumn("size", F.least(F.size("words"), F.lit(settings.window))).withColumn("n_windows", F.size("words") - F.col("size") + 1)
+    words = words.withColumn("size", item_window(F.size("words"), settings)).withColumn("n_windows", F.size("words") - F.col("size") + 1)
     at_size = lambda c: reduce(lambda rest, n: F.when(F.col("size") == n, window_hashes(F.col(c), n)).otherwise(rest), range(settings.least_words, settings.window + 1), F.lit(None))
     slots = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.size(F.filter(F.slice("words", i, F.col("size")), lambda w: w.isin(*SLOTS))))
     words = words.withColumn("slots", slots).withColumn("n_light", F.size(F.filter("slots", lambda n: 2 * n <= F.col("size"))))
@@ -133,9 +143,21 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
 def covered(hits: DataFrame, settings: TemplateSettings) -> DataFrame:
     """(text_hash, item_id, n_windows, item_windows, coverage) of the items that hits cover enough of."""
     light = F.countDistinct(F.when(2 * F.col("slots") <= F.col("size"), F.col("ipos")))
-    cover = hits.groupBy("text_hash", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), light.alias("light"), F.max("n_light").alias("n_light"))
+    cover = hits.groupBy("text_hash", "item_id").agg(F.countDistinct("ipos").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), light.alias("light"), F.max("n_light").alias("n_light"), F.max("size").alias("size"))
+    # words: each window adds those that the one before it doesn't hold; runs: windows next to each other on one alignment
+    shift = F.col("dpos") - F.col("ipos")
+    own = ("text_hash", "item_id")
+    places = hits.select(*own, "ipos", "size").distinct()
+    before = F.lag("ipos").over(Window.partitionBy(*own).orderBy("ipos"))
+    words = places.withColumn("new", F.coalesce(F.least("size", F.col("ipos") - before), "size")).groupBy(*own).agg(F.sum("new").alias("words"))
+    lined = hits.select(*own, "ipos", "size", shift.alias("shift")).distinct()
+    lined = lined.withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*own, "shift").orderBy("ipos")))
+    longest = lined.groupBy(*own, "shift", "run").agg((F.count("*") + F.max("size") - 1).alias("run_words")).groupBy(*own).agg(F.max("run_words").alias("run_words"))
+    cover = cover.join(words.join(longest, [*own]), [*own])
     share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.when(F.col("n_light") > 0, F.col("light") / F.col("n_light")))
-    return cover.withColumn("coverage", share).where(F.col("coverage") >= settings.coverage).drop("light", "n_light")
+    held = F.col("words") / (F.col("item_windows") + F.col("size") - 1)
+    enough = (share >= settings.coverage) | (held > settings.coverage) | (F.col("run_words") >= settings.run_words)
+    return cover.where(enough).withColumn("coverage", F.greatest(share, held)).select(*own, "n_windows", "item_windows", "coverage")
 
 
 def slot_check(docs: DataFrame, items: DataFrame, slotted: DataFrame, settings: TemplateSettings) -> DataFrame:

@@ -74,3 +74,13 @@ def test_names_that_open_sentences_are_slots(docs_of, spark):
     other = text.replace("Tom", "Jim").replace("3", "7")
     texts = [other, '"' + other, text.lower(), other.replace("Jim sells", "Ann sells")]
     assert [x[:2] for x in found(docs_of(texts), items)] == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_one_word_edits_and_excerpts_are_caught(docs_of, spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59))
+    short = PLAIN.split()[:12]
+    items = spark.createDataFrame([(1, PLAIN), (2, long), (3, " ".join(w + "s" for w in short))], "item_id long, text string")
+    edits = [" ".join([*PLAIN.split()[:i], "changed", *PLAIN.split()[i + 1 :]]) for i in range(20)]
+    shorts = [" ".join("changed" if i == j else w + "s" for j, w in enumerate(short)) for i in range(12)]
+    texts = [*edits, *shorts, " ".join(long.split()[20:33]), " ".join(long.split()[20:32])]
+    assert [x[:2] for x in found(docs_of(texts), items)] == [*[(i, 1) for i in range(20)], *[(20 + i, 3) for i in range(12)], (32, 2)]
