@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node of edges with the smallest node that it reaches.
 
-    Each round is two joins on aggregated minima; hubs are pre-aggregated before the shuffle, and
-    each round is a written table, so the lineage stays short. The number of rounds grows with the
-    logarithm of the longest chain.
+    Each round is two joins on aggregated minima; the minima are written tables, so that the joins can
+    split the edges of a hub. Each round is a written table too, which replaces the one before it, so the
+    lineage stays short. The number of rounds grows with the logarithm of the longest chain.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        now = written(small.where("u > v").distinct(), "edges")
-        after = _state(now)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # after the large stars a node has few neighbours below it, so its rows need no splitting
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        then = written(small.where("u > v").distinct(), "edges")
+        after = _state(then)
+        discard(now, low)
+        now = then
         if after == state:
             break
         state = after

@@ -2,25 +2,28 @@
 
 A document is the set of its distinct n-word shingles (lower-cased A-Z). Shingles are hashed into
 groups; the counts of the groups make the document a point, and the overlap of two documents is at
-most the sum of the coordinate minima of their points. An R-tree over the points bounds the overlap
-of a query with a whole node by the node's largest coordinates, so only nodes that can still reach
-the threshold are opened, and the pairs that survive are verified on the shingles themselves.
+most the sum of the coordinate minima of their points. A point has about one coordinate for every one
+or two shingles, so the bound is as sharp for long documents as for short ones. An R-tree over the
+points bounds the overlap of a query with a whole node by the node's largest coordinates, so only
+nodes that can still reach the threshold are opened, and the pairs that survive are verified on the
+shingles themselves.
 
 How the work is spread: over a whole corpus the upper nodes of such a tree cover nearly the mean of
 every coordinate and prune nothing but sizes, so documents are first routed to the trees that can
 hold a partner. Within a band of set sizes two linked sets differ in at most d shingles; with the
-hash range cut into more than d groups, they agree in the whole content of at least one group. The
-points of all sets that share a group's content form a tree, and sets whose bound reaches the
-threshold are candidates; connected candidates are then verified on their shingles, in a tree again.
-A tree that is too large for one task is cut into tiles, and every pair of tiles gets one.
+hash range cut into more than d groups, they agree in the whole content of at least one group. Sets
+that share a group's content make a list. The points of a list's sets are first bounded against one
+of them, by short points and then by whole ones; lists that this doesn't settle form trees. Sets that
+the bound connects are then verified on their shingles, in a tree again.
 
 Equal sets are one node, so exact copies cost one row each. Within a tree, points that already belong
 to a component leave it, so a thousand near copies need a thousand searches and not a million pairs.
-Components are exact; links inside a component aren't enumerated.
+A group that is too large for one task is cut into tiles that share one of its sets; only sets that
+stay apart from that one meet all tiles. Components are exact; links inside a component aren't enumerated.
 
 Nulls and empties: a text without words has an empty set and is linked with nothing; rows without an
-id are passed on unlinked (their component is null). Rows that share an id and a text are one
-document.
+id are passed on unlinked (their component is null). Rows that share an id are one document: it has
+the links of each of its texts, and each row has the size of its own.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import written
-from .routing import by_shared_key, hash_filter, linked_in_groups, lists_by_key, passes, tiled_groups
+from .frames import discard, free_name, written
+from .routing import hash_filter, linked_members, lists_by_key, passes
 from .wordhash import LOWERED, U, mix, row_ranges, utf8, windows, words
 
 EMPTY_GROUP = 0x5851F42D4C957F2D
@@ -47,7 +50,8 @@ class JaccardSettings:
     n: int = 5
     percent: int = 80
     band_ratio: float = 1.5
-    coordinates: int = 64
+    least_coordinates: int = 64
+    short_coordinates: int = 256
     leaf: int = 16
     tile_sets: int = 8192
     tile_shingles: int = 4 << 20
@@ -127,7 +131,7 @@ class CountTree:
     the number of points that are still in it."""
 
     def __init__(self, points: np.ndarray, leaf: int = 16) -> None:
-        self.points, self.sizes, n = points, points.sum(1), len(points)
+        self.points, self.sizes, n = points, points.sum(1, dtype=np.int64), len(points)
         ranges, self.order = [(0, n)], np.lexsort((points.argmax(1), self.sizes))
         cuts = []
         while ranges:
@@ -170,7 +174,7 @@ class CountTree:
         at = np.arange(len(self.starts[-1]))
         for level in range(len(self.starts) - 1, -1, -1):
             at = at[self.left[level][at] > 0]
-            most = np.minimum(self.high[level][at], p).sum(1)
+            most = np.minimum(self.high[level][at], p).sum(1, dtype=np.int64)
             at = at[(100 + percent) * most >= percent * (size + self.small[level][at])]
             if not len(at):
                 return at
@@ -178,14 +182,43 @@ class CountTree:
             at = np.repeat(self.starts[level][at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
         at = self.order[at]
         at = at[self.within[at]]
-        most = np.minimum(self.points[at], p).sum(1)
+        most = np.minimum(self.points[at], p).sum(1, dtype=np.int64)
         return at[(100 + percent) * most >= percent * (size + self.sizes[at])]
 
 
-def points_of(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
+def width_of(size: int, settings: JaccardSettings) -> int:
+    """The coordinates of a set's point: a power of two, at least half the size."""
+    return max(settings.least_coordinates, 1 << max(0, (size - 1) // 2).bit_length())
+
+
+def point(s: np.ndarray, width: int) -> np.ndarray:
     """The counts of the shingle groups (by the low bits of the hashes)."""
-    mask, width = U(settings.coordinates - 1), settings.coordinates
-    return np.stack([np.bincount((s & mask).astype(np.int64), minlength=width) for s in sets])
+    return np.bincount((s & U(width - 1)).astype(np.int64), minlength=width)
+
+
+def folded(p: np.ndarray, width: int) -> np.ndarray:
+    """The point with fewer coordinates."""
+    return p.reshape(-1, width).sum(0, dtype=np.int64)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """The point in 16 bits a coordinate."""
+    return p.astype("<u2").tobytes()
+
+
+def short_width(size: int, settings: JaccardSettings) -> int:
+    """The coordinates of the short point, so many that no count comes near 2**16."""
+    return min(width_of(size, settings), max(settings.short_coordinates, 1 << (size // 8192).bit_length()))
+
+
+def same_width(points: list[np.ndarray]) -> np.ndarray:
+    """The points, folded to the smallest width among them."""
+    width = min(map(len, points))
+    return small(np.stack([folded(p, width) for p in points]))
+
+
+def small(points: np.ndarray) -> np.ndarray:
+    return points.astype(np.uint16) if not points.size or points.max() < 1 << 16 else points
 
 
 def link_sets(points: np.ndarray, sets: list[np.ndarray] | None, settings: JaccardSettings) -> np.ndarray:
@@ -242,19 +275,29 @@ def _sets_of(column: pa.Array, n: int):
 
 
 def set_table(df: DataFrame, key: str, text: str, settings: JaccardSettings) -> DataFrame:
-    """(doc_id, n_shingles, set_id, point); set_id and point are null for an empty set."""
+    """(doc_id, text_hash, n_shingles, set_id, short, long): set_id and the points are null for an empty
+    set, the long point also where the short one has all coordinates."""
     n = settings.n
 
     def run(batches):
         for b in batches:
-            sizes, ids, points = [], [], []
+            sizes, ids, short, long = [], [], [], []
             for _, _, sets in _sets_of(b.column(1), n):
-                sizes += [len(s) for s in sets]
-                ids += [int(signature(s)) if len(s) else None for s in sets]
-                points += [p.astype(np.int32).tobytes() if p.any() else None for p in (points_of(sets, settings) if sets else [])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "set_id", "point"])
-
-    return _input(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long, point binary")
+                for s in sets:
+                    sizes.append(len(s))
+                    if not len(s):
+                        ids.append(None), short.append(None), long.append(None)
+                        continue
+                    p = point(s, width_of(len(s), settings))
+                    ids.append(int(signature(s)))
+                    width = short_width(len(s), settings)
+                    short.append(packed(folded(p, width)))
+                    long.append(packed(p) if len(p) > width else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(short, pa.binary()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], names=["doc_id", "text_hash", "n_shingles", "set_id", "short", "long"])
+
+    rows = _input(df, key, text).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id long, short binary, long binary")
 
 
 def _input(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -263,7 +306,7 @@ def _input(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def candidate_edges(df: DataFrame, points: DataFrame, n_buckets: int, settings: JaccardSettings) -> DataFrame:
     """(a, b): a forest of the sets that share a group's content and whose bound reaches the threshold;
-    points has set_id and point."""
+    points has set_id and both points."""
     n, bands = settings.n, Bands(settings)
 
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -275,34 +318,46 @@ def candidate_edges(df: DataFrame, points: DataFrame, n_buckets: int, settings:
                     owners.append(np.full(len(keys[-1]), signature(s)))
         return np.concatenate(keys), np.concatenate(owners)
 
-    lists = written(by_shared_key(df, keyed, n_buckets, lists_by_key).select(F.col("a").alias("root"), F.col("b").alias("set_id"), F.lit(1).alias("weight")), "shared-groups")
-    # first each list's members against its smallest; most lists are settled by that
-    pivots = lists.groupBy("root").agg(F.min("set_id").alias("pivot"), F.count("*").alias("m"))
-    pairs = lists.join(pivots, "root").where("set_id != pivot").select("set_id", "pivot").distinct()
-    held = written(points.join(lists.select("set_id").distinct(), "set_id", "left_semi"), "candidate-points")
-    pairs = pairs.join(held, "set_id").join(held.select(F.col("set_id").alias("pivot"), F.col("point").alias("other")), "pivot")
-    near = written(pairs.select("set_id", "pivot", "point", "other").mapInArrow(_near_pairs(settings), "a long, b long"), "near-sets")
+    lists = written(lists_by_key(df, keyed, n_buckets), "shared-groups")
+    held = written(points.join(lists.select(F.col("node").alias("set_id")).distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "candidate-points")
+    # first each list's sets against one of them; most lists are settled by that
+    pairs = lists.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    at = lambda x, p: held.select(F.col("set_id").alias(x), F.col(p).alias(f"{x}_point"))
+    short = pairs.join(at("a", "short"), "a").join(at("b", "short"), "b")
+    maybe = written(short.select("a", "b", "a_point", "b_point").mapInArrow(_near_pairs(settings), "a long, b long"), "maybe-near")
+    long = held.select("set_id", F.coalesce("long", "short").alias("long"), F.col("long").isNotNull().alias("more"))
+    more = maybe.join(long.select(F.col("set_id").alias("a"), F.col("long").alias("a_point"), F.col("more").alias("x")), "a")
+    more = more.join(long.select(F.col("set_id").alias("b"), F.col("long").alias("b_point"), F.col("more").alias("y")), "b")
+    near = written(more.select("a", "b", "a_point", "b_point").mapInArrow(_near_pairs(settings), "a long, b long"), "near-sets")
     # then the lists that still span several components, in trees
-    found = connected_components(near).withColumnRenamed("node", "set_id").withColumnRenamed("root", "part")
-    part = F.coalesce("part", "set_id")
-    spans = lists.join(pivots.where("m > 2").select("root"), "root").join(found, "set_id", "left").groupBy("root").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
-    still = lists.join(spans.where("lo < hi").select("root"), "root")
-    groups = tiled_groups(still, "set_id", settings.tile_sets, settings.tile_sets).join(held, "set_id")
-    rest = linked_in_groups(groups.select("grp", "set_id", "point"), "set_id", lambda rows: link_sets(np.stack([np.frombuffer(r[0], np.int32) for r in rows]), None, settings))
+    found = connected_components(near).withColumnRenamed("root", "part")
+    part = F.coalesce("part", "node")
+    spans = lists.where("several").join(found, "node", "left").groupBy("root").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
+    still = written(lists.join(spans.where("lo < hi").select("root"), "root", "left_semi").select("root", "node", F.lit(1).alias("weight")), "open-lists")
+    data = held.select(F.col("set_id").alias("node"), F.coalesce("long", "short").alias("point"))
+    rest = written(linked_members(still, data, lambda rows: link_sets(same_width([np.frombuffer(r[0], np.uint16) for r in rows]), None, settings), settings.tile_sets, settings.tile_sets), "tree-links")
+    discard(lists, held, maybe, still)
     return near.unionByName(rest)
 
 
 def _near_pairs(settings: JaccardSettings):
-    """Keeps the pairs (set_id, pivot, point, other) whose bound reaches the threshold."""
-    width, p = settings.coordinates, settings.percent
+    """Keeps the pairs (a, b, a_point, b_point) whose bound reaches the threshold."""
+    p = settings.percent
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, width) for i in (2, 3))
-            keep = pa.array(np.flatnonzero((100 + p) * np.minimum(x, y).sum(1) >= p * (x.sum(1) + y.sum(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+            one, two = (b.column(i).to_pylist() for i in (2, 3))
+            widths = np.array([[len(x), len(y)] for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2) // 2
+            keep = np.zeros(b.num_rows, bool)
+            for wx, wy in {tuple(w) for w in widths.tolist()}:
+                at = np.flatnonzero((widths == (wx, wy)).all(1))
+                for lo in range(0, len(at), 4096):
+                    part, w = at[lo : lo + 4096], min(wx, wy)
+                    x, y = (np.frombuffer(b"".join([c[i] for i in part.tolist()]), np.uint16).reshape(len(part), -1, w).sum(1, dtype=np.int32) for c in (one, two))
+                    most = np.minimum(x, y).sum(1, dtype=np.int64)
+                    keep[part] = (100 + p) * most >= p * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
+            kept = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
 
     return run
 
@@ -325,41 +380,65 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings)
 
 
 def _verified(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
-    return link_sets(points_of(sets, settings), sets, settings)
+    width = width_of(sum(map(len, sets)) // len(sets), settings)
+    return link_sets(small(np.stack([point(s, width) for s in sets])), sets, settings)
 
 
 def linked_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
     """(a, b): the verified components within each group of candidates, as stars."""
-    members = wanted.select("set_id", "root", F.col("n_shingles").alias("weight"))
-    groups = tiled_groups(members, "set_id", settings.tile_sets, settings.tile_shingles).join(candidate_sets(df, wanted, settings), "set_id")
-    return linked_in_groups(groups.select("grp", "set_id", "shingles"), "set_id", lambda rows: _verified([np.frombuffer(r[0], np.uint64) for r in rows], settings))
+    members = wanted.select("root", F.col("set_id").alias("node"), F.col("n_shingles").alias("weight"))
+    data = written(candidate_sets(df, wanted, settings).withColumnRenamed("set_id", "node"), "candidate-sets")
+    links = written(linked_members(members, data, lambda rows: _verified([np.frombuffer(r[0], np.uint64) for r in rows], settings), settings.tile_sets, settings.tile_shingles), "set-links")
+    discard(data)
+    return links
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links."""
-    settings = settings or JaccardSettings()
+def set_links(df: DataFrame, key: str, text: str, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
+    """(sets, links): set_table without the points, and the verified links (a, b) between sets."""
     sets = written(set_table(df, key, text, settings), "shingle-sets")
     firsts = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(8, int(total * 1.5 * (100 - settings.percent) / settings.percent * 1.3 / settings.bucket_keys))
     docs = _input(df, key, text).where("doc_id is not null")
-    points = sets.where("set_id is not null").select("set_id", "point").dropDuplicates(["set_id"])
+    points = sets.where("set_id is not null").select("set_id", "short", "long")
     routes = connected_components(candidate_edges(docs, points, n_buckets, settings))
     wanted = written(firsts.join(routes.withColumnRenamed("node", "set_id"), "set_id"), "candidates")
-    links = connected_components(linked_sets(docs, wanted, settings)).withColumnRenamed("node", "set_id")
-    least = links.join(firsts, "set_id").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = links.join(least, "root").select("set_id", "component_id")
+    links = linked_sets(docs, wanted, settings)
+    discard(wanted)
+    return sets.select("doc_id", "text_hash", "n_shingles", "set_id"), links
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links."""
+    sets, links = set_links(df, key, text, settings or JaccardSettings())
+    held = sets.where("set_id is not null and doc_id is not null").select("doc_id", "set_id")
+    # an id with several texts ties them together
+    several = held.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b").select("doc_id", "a")
+    ties = held.join(several, "doc_id").where("set_id != a").select("a", F.col("set_id").alias("b"))
+    firsts = held.groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    parts = connected_components(links.unionByName(ties)).withColumnRenamed("node", "set_id")
+    least = parts.join(firsts, "set_id").groupBy("root").agg(F.min("first").alias("component_id"))
+    of_set = parts.join(least, "root").select("set_id", "component_id")
     # written, so that the join below can split the rows of a set that very many documents share
-    alone = written(firsts.join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id")), "set-components")
-    joined = sets.where("doc_id is not null").join(alone, "set_id", "left")
+    known = written(firsts.join(of_set, "set_id", "left").select("set_id", F.coalesce("component_id", "first").alias("component_id")), "set-components")
+    joined = sets.where("doc_id is not null").join(known, "set_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(
         sets.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     )
 
 
 def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", settings: JaccardSettings | None = None) -> DataFrame:
-    """The rows of df that stay when one document of each component stays, the one with the smallest
-    id; of rows that share an id one stays. Rows without an id stay."""
-    kept = jaccard_components(df, key, text, settings).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    stay = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
+    """The rows of df that stay when one text of each component of texts stays: that of the row with the
+    smallest id, then the smallest hash. Repeated rows are copies, so one stays; rows that share an id but not
+    a text are judged apart. Rows without an id or without words stay."""
+    sets, links = set_links(df, key, text, settings or JaccardSettings())
+    parts = connected_components(links).withColumnRenamed("node", "set_id")
+    rows = sets.where("doc_id is not null").groupBy("doc_id", "text_hash", "set_id").agg(F.count("*").alias("n"))
+    placed = rows.where("set_id is not null").join(parts, "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("part"))
+    one = placed.agg(F.min(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash"))).alias("at")).select("at.*")
+    own, hashed = free_name(df, "own_id"), free_name(df, "text_hash", "own_id")
+    kept = one.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed))
+    wordless = sets.where("set_id is null and doc_id is not null").select(F.col("doc_id").alias(own), F.coalesce("text_hash", F.lit(0)).alias(hashed))
+    named = df.where(F.col(key).isNotNull()).withColumn(own, F.col(key).cast("long")).withColumn(hashed, F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)))
+    stay = named.join(written(kept.unionByName(wordless).distinct(), "kept-texts"), [own, hashed], "left_semi").dropDuplicates([own, hashed]).drop(own, hashed)
     return stay.unionByName(df.where(F.col(key).isNull()))

@@ -1,5 +1,5 @@
-"""Bringing together the nodes of a similarity join that may be linked: by shared keys, then by
-connected candidates, then in groups of a bounded size."""
+"""Bringing together the nodes of a similarity join that may be linked: by shared keys, then in groups
+of a bounded size."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import connected_components
+from .frames import written
 from .wordhash import U, mix
 
 Keyed = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+LISTS = "root long, node long, pivot long, several boolean"
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,65 +28,85 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[new], b[new]
 
 
-def linked_by_key(keys: np.ndarray, owners: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """(a, b): a forest of the owners that share a key and are near; near compares elementwise. Within
-    a key, an owner that already belongs to a component is searched from once and not compared again."""
-    k, s = distinct_pairs(keys, owners)
-    at = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else np.zeros(1, np.int64)
-    sizes = np.diff(at)
-    two = at[:-1][sizes == 2]
-    two = two[near(s[two], s[two + 1])]
-    a, b = [s[two]], [s[two + 1]]
-    for i in np.flatnonzero(sizes > 2).tolist():
-        free = s[at[i] : at[i + 1]]
-        while len(free):
-            queue, free = [free[0]], free[1:]
-            while queue and len(free):
-                q = queue.pop()
-                hit = near(np.full(len(free), q), free)
-                found, free = free[hit], free[~hit]
-                a.append(np.full(len(found), q))
-                b.append(found)
-                queue += found.tolist()
-    return np.concatenate(a), np.concatenate(b)
-
-
-def lists_by_key(keys: np.ndarray, owners: np.ndarray):
-    """(list, owner): the distinct lists of two owners or more that share a key; a list is named by a
-    hash of its owners."""
-    k, s = distinct_pairs(keys, owners)
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(first)
-    sizes = np.diff(np.append(at, len(k)))
-    if not len(at):
-        return s, s
-    name = mix(np.add.reduceat(mix(s.view(np.uint64)), at) + sizes.astype(np.uint64)).view(np.int64)
-    _, one = np.unique(name, return_index=True)
-    one = one[sizes[one] > 1]
-    n = sizes[one]
-    spot = np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return np.repeat(name[one], n), s[spot]
-
-
-def by_shared_key(df: DataFrame, keyed: Keyed, n_buckets: int, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(a, b): what pairs makes of the keys and owners of each bucket of keys. keyed gives the keys of a
-    batch and their owners; each travels once a batch, packed with the others of its bucket."""
+class BucketLists:
+    """Lists of the owners that share a key, as (root, node, pivot, several): root names the list, pivot
+    is one of its nodes, several tells lists of three or more. Keys of one bucket come in packs. A list
+    that ends within the memory limit is named by its owners, so that equal lists are one; beyond the
+    limit, owners of a repeated key are passed on under the key's name as they come."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held, self.packs = limit, 0, []
+        self.seen, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: bytes, owners: bytes) -> pa.RecordBatch | None:
+        self.packs.append((np.frombuffer(keys, np.uint64), np.frombuffer(owners, np.int64)))
+        self.held += len(keys)
+        return self.passed_on() if self.held > self.limit else None
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        k, s = distinct_pairs(*(np.concatenate(x) for x in zip(*self.packs, strict=True)))
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+        return k, s, at, np.diff(np.append(at, len(k)))
+
+    def passed_on(self, last: bool = False) -> pa.RecordBatch:
+        k, s, at, sizes = self.merged()
+        known = np.isin(k[at], self.seen)
+        new = ~known & (sizes > 1)
+        order = np.argsort(seen := np.concatenate([self.seen, k[at][new]]))
+        self.seen, self.first = seen[order], np.concatenate([self.first, s[at][new]])[order]
+        out = np.repeat(known | new, sizes)
+        self.packs = [] if last else [(k[~out], s[~out])]
+        self.held = 0 if last else 8 * int((~out).sum())
+        self.limit = max(self.limit, 2 * self.held)  # keys that are still alone stay
+        pivot = self.first[np.searchsorted(self.seen, k[out])]
+        return _lists(mix(k[out] + U(1)).view(np.int64), s[out], pivot, np.ones(len(pivot), bool))
+
+    def end(self) -> pa.RecordBatch:
+        if len(self.seen):
+            return self.passed_on(last=True)
+        k, s, at, sizes = self.merged()
+        name = mix(np.add.reduceat(mix(s.view(np.uint64)), at) + sizes.astype(np.uint64)).view(np.int64) if len(at) else s[:0]
+        _, one = np.unique(name, return_index=True)
+        one = one[sizes[one] > 1]
+        n = sizes[one]
+        spot = np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return _lists(np.repeat(name[one], n), s[spot], np.repeat(s[at[one]], n), np.repeat(n > 2, n))
+
+
+def _lists(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["root", "node", "pivot", "several"])
+
+
+def lists_by_key(df: DataFrame, keyed: Keyed, n_buckets: int, limit: int = 64 << 20) -> DataFrame:
+    """The lists of owners that share a key. keyed gives the keys of a batch and their owners; each
+    travels once a batch, packed with the others of its bucket. Buckets are sorted, not gathered."""
 
     def packed(batches):
         for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
             k, s = distinct_pairs(*keyed(batch))
             bucket = ((k >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
-            at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            rows = [(i, k[x:y].tobytes(), s[x:y].tobytes()) for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
-            for lo in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 1024], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "owners"])
-
-    def matched(table: pa.Table) -> pa.Table:
-        a, b = pairs(*(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("owners", np.int64))))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), bucket[1:] != bucket[:-1]]))
+            for lo in range(0, len(at), 1024):
+                x = at[lo : lo + 1024].tolist()
+                y = [*x[1:], int(at[lo + 1024]) if lo + 1024 < len(at) else len(k)]
+                rows = [[k[i:j].tobytes() for i, j in zip(x, y, strict=True)], [s[i:j].tobytes() for i, j in zip(x, y, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[x]), *(pa.array(r, pa.binary()) for r in rows)], names=["bucket", "keys", "owners"])
+
+    def listed(batches):
+        now, held = None, None
+        for b in batches:
+            for bucket, keys, owners in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    if held is not None:
+                        yield held.end()
+                    now, held = bucket, BucketLists(limit)
+                if (out := held.add(keys, owners)) is not None:
+                    yield out
+        if held is not None:
+            yield held.end()
 
-    return df.mapInArrow(packed, "bucket long, keys binary, owners binary").groupBy("bucket").applyInArrow(matched, "a long, b long").distinct()
+    packs = df.mapInArrow(packed, "bucket long, keys binary, owners binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(listed, LISTS).distinct()
 
 
 def hash_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -100,21 +123,40 @@ def passes(held: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return ((held[spots // 32] >> (spots % 32).astype(np.uint32)) & 1).astype(bool)
 
 
-def tiled_groups(members: DataFrame, node: str, tile_nodes: int, tile_weight: int) -> DataFrame:
-    """(node, grp) of members (node, root, weight): one group per root, or, where it is too large for
-    a task, one for each pair of its tiles, so that any two members meet in some group."""
-    per = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("weight").alias("total"))
-    tiles = F.greatest(F.ceil(F.col("m") / tile_nodes), F.ceil(F.col("total") / tile_weight)).cast("int")
-    placed = members.join(per.select("root", tiles.alias("tiles")), "root").select(node, "root", "tiles", F.pmod(F.xxhash64(node, F.lit(1)), "tiles").cast("int").alias("tile"))
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != F.col("tile"))))
-    grp = F.when(F.col("tiles") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")))
-    return placed.withColumn("other", other).select(node, grp.alias("grp"))
+def linked_members(members: DataFrame, data: DataFrame, link: Callable[[list[tuple]], np.ndarray], tile_nodes: int, tile_weight: int) -> DataFrame:
+    """(a, b): links that join, within each root, the nodes that are linked directly or through others.
 
-
-def linked_in_groups(groups: DataFrame, node: str, link: Callable[[list[tuple]], np.ndarray]) -> DataFrame:
-    """(a, b): groups has grp, node and more columns; link gives for each row of a group the index of
-    the first row of its component."""
-    columns = [c for c in groups.columns if c not in ("grp", node)]
+    members has root, node and weight, data has node and what link needs; link gives for each row of a
+    group the index of the first row of its component. A root that is too large for a task is cut into
+    tiles, each with the root's smallest node; nodes that don't end up in the component of that node are
+    then compared with every tile, so the rows sent follow the members, times the blocks of such nodes.
+    """
+    per = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("weight").alias("total"), F.min("node").alias("pivot"))
+    tiles = F.greatest(F.ceil(F.col("m") / tile_nodes), F.ceil(F.col("total") / tile_weight)).cast("int")
+    per = written(per.select("root", "pivot", tiles.alias("tiles")), "group-tiles")
+    large = per.where("tiles > 1")
+    tile = F.pmod(F.xxhash64("node", F.lit(1)), "tiles").cast("int")
+    if large.isEmpty():
+        return linked_in_groups(members.select(F.col("root").alias("grp"), "node"), data, link)
+    placed = members.join(per, "root").select("root", "node", "pivot", "tiles", tile.alias("tile"))
+    grp = F.when(F.col("tiles") == 1, F.col("root")).otherwise(F.xxhash64("root", "tile"))
+    pivots = large.select(F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "root", F.col("pivot").alias("node")).select(F.xxhash64("root", "tile").alias("grp"), "node")
+    found = written(linked_in_groups(placed.select(grp.alias("grp"), "node").unionByName(pivots).distinct(), data, link), "tile-links")
+    part = connected_components(found).withColumnsRenamed({"root": "part"})
+    own = placed.where("tiles > 1").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    main = own.where("node = pivot").select("root", F.col("part").alias("main"))
+    apart = own.join(main, "root").where("part != main").select("root", "node", "tiles")
+    blocks = apart.groupBy("root").agg(F.ceil(F.count("*") / tile_nodes).cast("int").alias("blocks"))
+    apart = apart.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
+    key = F.xxhash64("root", "tile", "block").alias("grp")
+    asked = apart.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(key, "node")
+    there = placed.join(blocks, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key, "node")
+    return found.unionByName(linked_in_groups(asked.unionByName(there).distinct(), data, link))
+
+
+def linked_in_groups(groups: DataFrame, data: DataFrame, link: Callable[[list[tuple]], np.ndarray]) -> DataFrame:
+    """(a, b): the links that link finds in each grp of (grp, node), joined with data by node."""
+    columns = [c for c in data.columns if c != "node"]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         root, ids = link([r[1:] for r in rows]), np.array([r[0] for r in rows], np.int64)
@@ -133,5 +175,5 @@ def linked_in_groups(groups: DataFrame, node: str, link: Callable[[list[tuple]],
         if len(rows) > 1:
             yield flush(rows)
 
-    ordered = groups.select("grp", node, *columns).repartition("grp").sortWithinPartitions("grp", node)
+    ordered = groups.join(data, "node").select("grp", "node", *columns).repartition("grp").sortWithinPartitions("grp", "node")
     return ordered.mapInArrow(run, T.StructType().add("a", "long").add("b", "long"))

@@ -6,6 +6,7 @@ import pytest
 from conftest import AWKWARD
 
 from nitraflow.llm import jaccard_join as J
+from nitraflow.llm.routing import BucketLists
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -84,6 +85,8 @@ def test_tree_search_loses_nothing():
 def test_keep_one(docs_of):
     text = " ".join(f"w{i}" for i in range(50))
     df = docs_of([(5, text, "s"), (3, text + " x", "s"), (9, "other words here", "s"), (9, "other words here", "s"), (None, text, "s"), (7, None, "s")])
+    twice = docs_of([(5, text, "s"), (5, "an unlike text of the same id here", "s"), (3, text, "s"), (5, "an unlike text of the same id here", "s")])
+    assert sorted((r["doc_id"], len(r["text"])) for r in J.keep_one_of_each(twice).collect()) == [(3, len(text)), (5, 34)]
     kept = sorted((r["doc_id"] or -1, r["text"] is None) for r in J.keep_one_of_each(df).collect())
     assert kept == [(-1, False), (3, False), (7, True), (9, False)]
     assert J.keep_one_of_each(df.limit(0)).count() == 0 and J.keep_one_of_each(df).columns == df.columns
@@ -92,3 +95,38 @@ def test_keep_one(docs_of):
 def test_plan_has_no_pairs_of_everything(sample_docs):
     plan = J.jaccard_components(sample_docs)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_an_id_with_several_texts_has_the_links_of_each(docs_of):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs_of([(5, a, "s"), (5, b + " b", "s"), (3, b + " b", "s"), (4, a, "s")])).collect())
+    assert found == [(3, 37, 3), (4, 36, 3), (5, 36, 3), (5, 37, 3)]
+
+
+def test_points_fold_and_bound_the_overlap():
+    rng, s = np.random.default_rng(2), J.JaccardSettings()
+    for size in (1, 70, 900, 20_000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 2**63, size, dtype=np.uint64)]))
+        x, y = J.point(a, J.width_of(len(a), s)), J.point(b, J.width_of(len(b), s))
+        x, y = J.same_width([x, y])
+        assert x.sum() == len(a) and y.sum() == len(b) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize("limit", [16, 200, 1 << 20])
+def test_lists_of_a_bucket_lose_no_pair(limit):
+    rng = np.random.default_rng(limit)
+    keys, owners = rng.integers(0, 12, 300).astype(np.uint64), rng.integers(0, 40, 300)
+    held, out = BucketLists(limit), []
+    for lo in range(0, 300, 30):
+        if (b := held.add(keys[lo : lo + 30].tobytes(), owners[lo : lo + 30].tobytes())) is not None:
+            out.append(b)
+    out.append(held.end())
+    rows = {(r["root"], r["node"], r["pivot"]) for b in out for r in b.to_pylist()}
+    lists, pivots = {}, {}
+    for root, node, pivot in rows:
+        lists.setdefault(root, set()).add(node)
+        assert pivots.setdefault(root, pivot) == pivot
+    want = {frozenset(owners[keys == k].tolist()) for k in set(keys.tolist())}
+    assert set(map(frozenset, lists.values())) == {w for w in want if len(w) > 1}
+    assert all(pivots[r] in lists[r] for r in lists)
