@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import discard, free_name, written
-from .routing import hash_filter, linked_members, lists_by_key, passes
+from .routing import candidate_forest, hash_filter, linked_members, lists_by_key, passes
 from .wordhash import LOWERED, U, mix, row_ranges, utf8, windows, words
 
 EMPTY_GROUP = 0x5851F42D4C957F2D
@@ -330,14 +330,10 @@ def candidate_edges(df: DataFrame, points: DataFrame, n_buckets: int, settings:
     more = more.join(long.select(F.col("set_id").alias("b"), F.col("long").alias("b_point"), F.col("more").alias("y")), "b")
     near = written(more.select("a", "b", "a_point", "b_point").mapInArrow(_near_pairs(settings), "a long, b long"), "near-sets")
     # then the lists that still span several components, in trees
-    found = connected_components(near).withColumnRenamed("root", "part")
-    part = F.coalesce("part", "node")
-    spans = lists.where("several").join(found, "node", "left").groupBy("root").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
-    still = written(lists.join(spans.where("lo < hi").select("root"), "root", "left_semi").select("root", "node", F.lit(1).alias("weight")), "open-lists")
     data = held.select(F.col("set_id").alias("node"), F.coalesce("long", "short").alias("point"))
-    rest = written(linked_members(still, data, lambda rows: link_sets(same_width([np.frombuffer(r[0], np.uint16) for r in rows]), None, settings), settings.tile_sets, settings.tile_sets), "tree-links")
-    discard(lists, held, maybe, still)
-    return near.unionByName(rest)
+    out = candidate_forest(lists, near, data, lambda rows: link_sets(same_width([np.frombuffer(r[0], np.uint16) for r in rows]), None, settings), settings.tile_sets)
+    discard(lists, held, maybe)
+    return out
 
 
 def _near_pairs(settings: JaccardSettings):

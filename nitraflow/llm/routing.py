@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .frames import written
+from .frames import discard, written
 from .wordhash import U, mix
 
 Keyed = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
@@ -109,6 +109,18 @@ def lists_by_key(df: DataFrame, keyed: Keyed, n_buckets: int, limit: int = 64 <<
     return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(listed, LISTS).distinct()
 
 
+def candidate_forest(lists: DataFrame, near: DataFrame, data: DataFrame, link: Callable[[list[tuple]], np.ndarray], tile_nodes: int) -> DataFrame:
+    """(a, b): a forest of the nodes that share a list and may be linked. near (written) holds the edges (a, b) between
+    the lists' nodes and their pivots; lists that still span several components of it are searched by link, see linked_members."""
+    found = connected_components(near).withColumnRenamed("root", "part")
+    part = F.coalesce("part", "node")
+    spans = lists.where("several").join(found, "node", "left").groupBy("root").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
+    still = written(lists.join(spans.where("lo < hi").select("root"), "root", "left_semi").select("root", "node", F.lit(1).alias("weight")), "open-lists")
+    rest = written(linked_members(still, data, link, tile_nodes, tile_nodes), "open-links")
+    discard(still)
+    return near.unionByName(rest)
+
+
 def hash_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for pmod(xxhash64(column), bits): a filter of bounded size (bits / 8 bytes) ahead of an exact join."""
     spot = F.pmod(F.xxhash64(column), F.lit(bits))
