@@ -12,11 +12,14 @@ a target stops at `most_passes` times its source's size, and the excess is share
 among the others.
 
 Scale: a document is one short row until its pieces are cut. Offsets within a source are running
-sums in hash buckets of a bounded number of rows plus the bucket totals, so a hot source is spread
-over many tasks. Nothing that grows with the documents is collected or broadcast.
+sums in hash buckets of a bounded number of rows plus running sums of the bucket totals, by stretches of
+buckets, so a hot source is spread over many tasks. The text is shuffled once, to the list of pieces that
+the mix takes of it, and cut there; a text that very many rows hold is copied to several tasks. Nothing
+that grows with the documents is collected or broadcast.
 
 Nulls and empties: a null text has size 0, is never taken and stays in the counts; a null source is
-a source; a repeated row is taken as often as it occurs. Everything is a function of the rows and
+a source; a repeated row is taken as often as it occurs. Rows that agree in id, source and text share
+their other columns in the mix; a column named shard or slot gives way to that of the mix. Everything is a function of the rows and
 the seed, so reruns agree.
 """
 
@@ -37,6 +40,8 @@ class MixSettings:
     most_passes: int = 3
     shard_slots: int = 4096
     bucket_rows: int = 1024
+    stretch: int = 4096
+    copies_a_task: int = 10_000
     rounds: int = 24
     seed: int = 20240607
 
@@ -68,6 +73,17 @@ def source_targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
     return rows.withColumn("first_slot", first).select("source", "source_size", "sid", "target", "n_blocks", "n_slots", "first_slot")
 
 
+def running_sum(rows: DataFrame, place: str, value: str, out: str, settings: MixSettings) -> DataFrame:
+    """rows (sid, place, value and more, one for each sid and place) with the sum of value over lower places of the sid.
+    Places are summed by stretches first, so no task orders all of a source's."""
+    rows = rows.withColumn("stretch", F.floor(F.col(place) / settings.stretch))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("sid", "stretch").agg(F.sum(value).alias("total"))
+    sums = sums.select("sid", "stretch", F.coalesce(F.sum("total").over(before("sid", "stretch")), F.lit(0)).alias("lower"))
+    inside = rows.withColumn("within", F.coalesce(F.sum(value).over(before("sid", "stretch", place)), F.lit(0)))
+    return inside.join(sums, ["sid", "stretch"]).withColumn(out, F.col("lower") + F.col("within")).drop("stretch", "lower", "within")
+
+
 def _owner(rows: DataFrame, value: str, parts: DataFrame, total: int, cells: int = 1024) -> DataFrame:
     """rows joined with the row of parts (from, to) whose range of 0..total-1 holds the value: by the
     cell of the value, so that the join is on equality."""
@@ -96,7 +112,7 @@ def slot_plan(sources: DataFrame, settings: MixSettings) -> DataFrame:
     slots = slots.withColumn("draw", F.pmod(F.xxhash64(F.lit(settings.seed + 2), "slot"), F.lit(max(1, total))))
     drawn = _owner(slots, "draw", own, total).select("shard", "slot", "sid")
     counts = written(drawn.groupBy("shard", "sid").agg(F.count("*").alias("c")), "mix-counts")
-    base = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = running_sum(counts, "shard", "c", "base", settings)
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1)
     numbered = ranked.join(base.select("shard", "sid", "base"), ["shard", "sid"]).withColumn("k", F.col("base") + F.col("rank"))
     # draws beyond a source's slots, numbered across sources, and the sources that are short of slots
@@ -130,7 +146,7 @@ def placed_documents(df: DataFrame, key: str, source: str, size: Column, setting
     known = sized.join(sources.select("source", "sid", "source_size", "target"), sized["source"].eqNullSafe(sources["source"])).drop("source")
     known = known.withColumn("h", F.xxhash64(F.lit(settings.seed + 3), "doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = known.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
+    sums = running_sum(sums, "bucket", "words", "base", settings).drop("words")
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", *[c for c in known.columns if c == "ref"]).rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "bucket"])
     return placed.withColumn("start", F.col("base") + F.col("local")).drop("h", "bucket", "base", "local"), sources
@@ -163,20 +179,26 @@ def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source
     settings = settings or MixSettings()
     ref = F.xxhash64(*[F.col(c) for c in (key, source, text)])
     placed, sources = placed_documents(df, key, source, n_words(text), settings, [ref.alias("ref")])
-    # equal rows share their text: it is joined from one of them
-    texts = df.withColumn("_ref", ref).dropDuplicates(["_ref"])
-    whole = placed.where("size > 0").select(*[F.col(c).alias(f"_{c}") for c in ("ref", "sid", "start", "size")]).join(texts, "_ref")
-    width = settings.block_words
-    listed = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    first, last = F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("_size") - 1) / width)
-
-    def piece(b: Column, words: Column) -> Column:
-        begin = F.greatest(b * width - F.col("_start"), F.lit(0)).cast("int")
-        end = F.least((b + 1) * width - F.col("_start"), F.col("_size")).cast("int")
-        return F.struct(b.alias("block"), F.array_join(F.slice(words, begin + 1, end - begin), "").alias("text"))
-
-    cut = whole.withColumn("_piece", F.explode(let(listed, lambda words: F.transform(F.sequence(first, last), lambda b: piece(b, words)))))
-    plan = slot_plan(sources, settings).select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), "shard", "slot")
-    kept = [F.col("_text").alias(c) if c == text else F.col(c) for c in df.columns if c not in ("shard", "slot")]
-    named = cut.select(*[c for c in df.columns if c != text and c not in ("shard", "slot")], "_sid", F.col("_piece.block").alias("_block"), F.col("_piece.text").alias("_text"))
-    return named.join(plan, ["_sid", "_block"]).select(*kept, "shard", "slot")
+    plan = slot_plan(sources, settings).select("sid", "block", "shard", "slot")
+    # of each row, what the mix takes: as much as its length and the passes allow
+    taken = pieces(placed.select("ref", "sid", "start", "size"), settings).join(plan, ["sid", "block"])
+    taken = taken.groupBy("ref", "sid", "start").agg(F.collect_list(F.struct("from", "to", "shard", "slot")).alias("takes")).select("ref", "takes")
+    taken = written(taken, "mix-takes")
+    # equal rows share their text: it is joined from one of them, or from copies of it if very many take it
+    texts = df.select(ref.alias("ref"), F.struct(*df.columns).alias("row")).dropDuplicates(["ref"])
+    many = written(taken.groupBy("ref").agg(F.ceil(F.count("*") / settings.copies_a_task).cast("int").alias("copies")).where("copies > 1"), "mix-common")
+    if many.isEmpty():
+        cut = taken.join(texts, "ref")
+    else:
+        copied = texts.join(many, "ref").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        dealt = taken.join(many, "ref").withColumn("copy", F.pmod(F.xxhash64("takes"), "copies").cast("int")).drop("copies")
+        cut = taken.join(many, "ref", "left_anti").join(texts, "ref").select("takes", "row").unionByName(dealt.join(copied, ["ref", "copy"]).select("takes", "row"))
+    listed = F.regexp_extract_all(F.col("row")[text], F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def piece(words: Column, take: Column) -> Column:
+        held = F.array_join(F.slice(words, take["from"].cast("int") + 1, (take["to"] - take["from"]).cast("int")), "")
+        return F.struct(held.alias("text"), take["shard"].alias("shard"), take["slot"].alias("slot"))
+
+    cut = cut.select("row", F.explode(let(listed, lambda words: F.transform("takes", lambda take: piece(words, take)))).alias("piece"))
+    kept = [F.col("piece.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns if c.lower() not in ("shard", "slot")]
+    return cut.select(*kept, "piece.shard", "piece.slot")

@@ -66,6 +66,14 @@ def test_text_of_the_mix_is_what_the_counts_say(sample_docs):
     assert len({s for _, s in per}) == max(s for _, s in per) + 1  # every slot is filled once
 
 
+def test_copies_for_many_takers_and_short_stretches_change_nothing(docs_of):
+    texts = [(i % 3, "a b c d e f g", "s") for i in range(30)] + [(i, f"x{i} y z", "t") for i in range(20)]
+    df = docs_of(texts).withColumn("slot", F.lit("gives way")).withColumn("row", F.lit(1)).withColumn("sid", F.lit("kept")).withColumn("_ref", F.lit("kept too"))
+    mixes = [sorted(map(tuple, M.mix_documents(df, settings=M.MixSettings(block_words=4, shard_slots=8, bucket_rows=2, **more)).collect())) for more in ({}, {"copies_a_task": 1}, {"stretch": 1})]
+    assert mixes[0] == mixes[1] == mixes[2] and mixes[0]
+    assert M.mix_documents(df).columns == [*[c for c in df.columns if c != "slot"], "shard", "slot"]
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         p = spark.range(n).select(M.permuted(F.col("id"), F.lit(n), [F.lit(3), F.lit(0)], M.MixSettings()).alias("p"))
