@@ -1,10 +1,10 @@
 """Benchmark decontamination by template windows, with DataFrame operations only.
 
-Texts become templates: numbers, names (capitalised words, at the start of a sentence too: the slot check tells) and units after a number
-turn into typed placeholders; the other words are lower-cased and lose punctuation. Windows of
-`window` words are hash-joined between benchmark and documents: every window on its plain words, and
-windows of which a part are slots on their template too; the template windows of the documents are made
-if some item has slots. A document holds an item
+Texts become templates: words are runs of letters and numbers, lower-cased, and numbers, names (capitalised
+words, at the start of a sentence too: the slot check tells) and units after a number turn into typed
+placeholders. Windows of
+`window` words are hash-joined between benchmark and documents: every window on its template, and, as
+slots may differ in case or be too many to tell, on its plain words. A document holds an item
 when it holds at least `coverage` of the item's windows, more than that share of its words inside matched
 windows, or `run_words` of its words in a row, and when the values in the slots are
 consistent: on one alignment, equal item values stand for equal document values and the reverse. So a
@@ -16,9 +16,10 @@ as they can't be told from chance. Windows with fewer than half plain words matc
 only; coverage is over all windows, or over those that templates can match, whichever is more. What the
 plain words alone cover needs no slot check. Results go by the text: equal texts get equal results. Null and empty texts hold nothing.
 
-Scale: documents are scanned in place; their windows aren't shuffled as long as the benchmark's
-windows number at most `broadcast_rows` (the bound of the broadcast), else both sides are shuffled on
-the window's hash. Slots are looked up only for texts with a hit on a window that has slots.
+Scale: documents are scanned in place, once for all windows; their windows aren't shuffled as long as
+the benchmark's windows number at most `broadcast_rows` rows of about 70 bytes (the bound of the
+broadcast), else both sides are shuffled on the window's hash. Slots are looked up only for texts with
+a hit on a window that has slots.
 """
 
 from __future__ import annotations
@@ -29,16 +30,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import let, written
+from .frames import free_name, let, written
 
-NUMBER = r"(?<!\S)[^\s\p{L}\p{N}]*\p{N}[\p{N}.,:/-]*[^\s\p{L}\p{N}]*(?!\S)"
-NAME = r"(?<!\S)[^\s\p{L}\p{N}]*\p{Lu}\p{Ll}\S*"
+#: A number with its separators, or a run of letters.
+WORDS = r"\p{N}+(?:[.,:/-]\p{N}+)*|[\p{L}\p{M}]+"
 #: Unit words that become a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr hours minutes seconds days weeks months years meters metres kilometers kilometres miles grams kilograms liters litres percent dollars euros cents degrees mph kph".split()
 NUM, NAMED, UNIT = "⟦num⟧", "⟦name⟧", "⟦unit⟧"
 SLOTS = (NUM, NAMED, UNIT)
-#: The characters that a word loses.
-PUNCTUATION = r"""[.,;:!?"'()\[\]{}<>|*#$%&@/\\^~`+=_\-“”‘’„«»–—…¿¡·]+"""
 
 
 @dataclass(frozen=True)
@@ -51,42 +50,37 @@ class TemplateSettings:
     broadcast_rows: int = 2_000_000
 
 
-def _bare(text: Column) -> Column:
-    """Lower case, without punctuation, cut at white space; words that vanish leave no place."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, PUNCTUATION, "")), r"\s+"), "")
+def raw_words(text: str) -> Column:
+    """The words as they stand."""
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def plain_words(text: str) -> Column:
-    return _bare(F.coalesce(text, F.lit("")))
+def plain_words(raw: Column) -> Column:
+    return F.transform(raw, lambda w: F.lower(w))
 
 
-def template_words(text: str) -> Column:
-    """The template as an array of words, aligned with plain_words and raw_words."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), NUMBER, NUM)
-    c = F.regexp_replace(c, rf"(?<={NUM}\x20)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])\S*", UNIT)
-    return _bare(F.regexp_replace(c, NAME, NAMED))
+def template_words(raw: Column, plain: Column) -> Column:
+    """The template, word by word, of raw_words and plain_words."""
 
+    def number(w: Column) -> Column:
+        return F.ascii(w).between(48, 57) | ((F.ascii(w) > 127) & w.rlike(r"^\p{N}"))
 
-def raw_words(text: str) -> Column:
-    """The words as they stand."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, PUNCTUATION, "") != "")
+    def slot(low: Column, i: Column) -> Column:
+        after = F.substring(F.get(raw, i), 2, 1)
+        measured = low.isin(UNITS) & F.coalesce(number(F.get(plain, i - 1)), F.lit(False))
+        named = (low != F.get(raw, i)) & (after != F.upper(after))
+        return F.when(measured, UNIT).when(named, NAMED).when(number(low), NUM).otherwise(low)
 
+    return F.transform(plain, slot)
 
-def window_hashes(words: Column, size: int) -> Column:
-    """The hashes of all windows of that size, by position: of two words, of two such pairs, and so on."""
 
-    def joined(h: Column, step: int) -> Column:
-        return let(h, lambda a: F.zip_with(a, F.slice(a, step + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def hashed(w: Column) -> Column:
-        h, span = F.transform(w, lambda x: F.xxhash64(x)), 1
-        while 2 * span <= size:
-            h, span = joined(h, span), 2 * span
-        if span < size:
-            h = joined(h, size - span)
-        return F.when(F.size(w) >= size, F.slice(h, 1, F.greatest(F.size(w) - size + 1, F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
-    return let(words, hashed)
+def window_hash(hashes: Column, at: Column, size: int, exact: bool) -> Column:
+    """The hash of the window of that size at index `at`."""
+    return F.xxhash64(F.lit(size), F.lit(exact), *[F.get(hashes, at + k) for k in range(size)])
 
 
 def item_window(n: Column, settings: TemplateSettings) -> Column:
@@ -97,17 +91,18 @@ def item_window(n: Column, settings: TemplateSettings) -> Column:
 
 def benchmark_windows(items: DataFrame, key: str, text: str, settings: TemplateSettings) -> DataFrame:
     """(item_id, size, ipos, hash, slots, exact, n_windows, n_light) of every window of every item: on its plain
-    words (exact), and on its template if that has slots, but not more than plain words (light)."""
-    words = items.select(F.col(key).alias("item_id"), plain_words(text).alias("plain"), template_words(text).alias("words")).where(F.size("words") >= settings.least_words)
-    words = words.withColumn("size", item_window(F.size("words"), settings)).withColumn("n_windows", F.size("words") - F.col("size") + 1)
-    at_size = lambda c: reduce(lambda rest, n: F.when(F.col("size") == n, window_hashes(F.col(c), n)).otherwise(rest), range(settings.least_words, settings.window + 1), F.lit(None))
-    slots = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.size(F.filter(F.slice("words", i, F.col("size")), lambda w: w.isin(*SLOTS))))
+    words (exact), and on its template if slots aren't more than plain words (light)."""
+    words = items.select(F.col(key).alias("item_id"), raw_words(text).alias("raw")).where(F.size("raw") >= settings.least_words)
+    words = words.withColumn("low", plain_words(F.col("raw"))).withColumn("words", template_words(F.col("raw"), F.col("low"))).withColumn("size", item_window(F.size("raw"), settings)).withColumn("n_windows", F.size("raw") - F.col("size") + 1)
+    in_window = lambda held, i: F.size(F.filter(F.slice(held, i, F.col("size")), lambda w: w.isin(*SLOTS))).cast("int")
+    slots = let(F.col("words"), lambda held: F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: in_window(held, i)))
     words = words.withColumn("slots", slots).withColumn("n_light", F.size(F.filter("slots", lambda n: 2 * n <= F.col("size"))))
-    every = F.arrays_zip(at_size("plain").alias("plain"), at_size("words").alias("template"), "slots")
-    at = words.select("item_id", "size", "n_windows", "n_light", F.posexplode(every).alias("p", "w")).select("item_id", "size", (F.col("p") + 1).alias("ipos"), "w.*", "n_windows", "n_light")
-    exact = at.withColumn("hash", F.col("plain")).withColumn("exact", F.lit(True))
-    light = at.where((F.col("slots") > 0) & (2 * F.col("slots") <= F.col("size"))).withColumn("hash", F.col("template")).withColumn("exact", F.lit(False))
-    return exact.unionByName(light).select("item_id", "size", "ipos", "hash", "slots", "exact", "n_windows", "n_light")
+    words = words.withColumn("plain", word_hashes(F.col("low"))).withColumn("template", word_hashes(F.col("words")))
+    at = words.select("item_id", "size", "n_windows", "n_light", "plain", "template", F.posexplode("slots").alias("p", "slots"))
+    of_size = lambda c, exact: reduce(lambda rest, n: F.when(F.col("size") == n, window_hash(F.col(c), F.col("p"), n, exact)).otherwise(rest), range(settings.least_words, settings.window + 1), F.lit(None))
+    exact = at.withColumn("hash", of_size("plain", True)).withColumn("exact", F.lit(True))
+    light = at.where(2 * F.col("slots") <= F.col("size")).withColumn("hash", of_size("template", False)).withColumn("exact", F.lit(False))
+    return exact.unionByName(light).select("item_id", "size", (F.col("p") + 1).alias("ipos"), "hash", "slots", "exact", "n_windows", "n_light")
 
 
 def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", settings: TemplateSettings | None = None) -> DataFrame:
@@ -120,14 +115,14 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
     if not sizes:
         empty = "text_hash long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, changed_slots long"
         return df.sparkSession.createDataFrame([], empty)
-    makers = [plain_words] if bench.where("not exact").isEmpty() else [plain_words, template_words]
-    rows = None
-    for maker in makers:
-        for size in sizes:
-            part = docs.select("text_hash", F.posexplode(window_hashes(maker("text"), size)).alias("p", "hash"))
-            part = part.select("text_hash", F.lit(size).alias("size"), F.lit(maker is plain_words).alias("exact"), (F.col("p") + 1).alias("dpos"), "hash")
-            rows = part if rows is None else rows.unionByName(part)
-    hits = rows.join(F.broadcast(bench) if n <= settings.broadcast_rows else bench, ["size", "hash", "exact"]).select("text_hash", "item_id", "dpos", "ipos", "size", "slots", "exact", F.col("n_windows").alias("item_windows"), "n_light")
+    low = docs.select("text_hash", raw_words("text").alias("raw")).select("text_hash", "raw", plain_words(F.col("raw")).alias("low"))
+    hashed = low.select("text_hash", word_hashes(F.col("low")).alias("plain"), word_hashes(template_words(F.col("raw"), F.col("low"))).alias("template"))
+    # windows are hashed after the words stand in rows of their own, in compiled code
+    at = hashed.select("text_hash", "plain", "template", F.size("plain").alias("n"), F.posexplode("plain").alias("p", "word"))
+    kinds = [(c, n, c == "plain") for n in sizes for c in ("plain", "template")]
+    every = F.array(*[F.when(F.col("p") + n <= F.col("n"), window_hash(F.col(c), F.col("p"), n, exact)) for c, n, exact in kinds])
+    rows = at.select("text_hash", (F.col("p") + 1).alias("dpos"), F.explode(every).alias("hash")).where("hash is not null")
+    hits = rows.join(F.broadcast(bench) if n <= settings.broadcast_rows else bench, "hash").select("text_hash", "item_id", "dpos", "ipos", "size", "slots", "exact", F.col("n_windows").alias("item_windows"), "n_light")
     hits = written(hits.distinct(), "template-hits")
     cover = covered(hits, settings)
     slotted = hits.where("slots > 0").join(cover.select("text_hash", "item_id"), ["text_hash", "item_id"], "left_semi")
@@ -163,9 +158,9 @@ def covered(hits: DataFrame, settings: TemplateSettings) -> DataFrame:
 def slot_check(docs: DataFrame, items: DataFrame, slotted: DataFrame, settings: TemplateSettings) -> DataFrame:
     """(text_hash, item_id, n_slots, changed_slots, consistent) over the slots inside matched windows;
     an item is consistent if it is on any alignment."""
-    values = lambda df, key: df.select(key, F.posexplode(F.arrays_zip(template_words("text").alias("kind"), raw_words("text").alias("value"))).alias("p", "w")).where(
-        F.col("w.kind").isin(*SLOTS)
-    ).select(key, (F.col("p") + 1).alias("pos"), "w.kind", F.lower(F.regexp_replace("w.value", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("value"))
+    words = lambda df, key: df.select(key, raw_words("text").alias("raw")).withColumn("low", plain_words(F.col("raw")))
+    zipped = F.arrays_zip(template_words(F.col("raw"), F.col("low")).alias("kind"), F.col("low").alias("value"))
+    values = lambda df, key: words(df, key).select(key, F.posexplode(zipped).alias("p", "w")).where(F.col("w.kind").isin(*SLOTS)).select(key, (F.col("p") + 1).alias("pos"), "w.kind", "w.value")
     own = values(items, "item_id").withColumnsRenamed({"pos": "at", "value": "item_value"})
     touched = slotted.select("text_hash").distinct()
     few = touched.count() <= settings.broadcast_rows
@@ -189,5 +184,6 @@ def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def without_benchmark(df: DataFrame, items: DataFrame, text: str = "text", settings: TemplateSettings | None = None) -> DataFrame:
     """The rows of df whose text holds no item."""
-    bad = find_items(df, items, text, settings=settings).select(F.col("text_hash").alias("_hash")).distinct()
-    return df.join(bad, F.xxhash64(text) == F.col("_hash"), "left_anti")
+    hashed = free_name(df, "text_hash")
+    bad = find_items(df, items, text, settings=settings).select(F.col("text_hash").alias(hashed)).distinct()
+    return df.join(bad, F.xxhash64(text) == F.col(hashed), "left_anti")
