@@ -26,7 +26,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
+    rules = secret_scan.GuessRules(vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    found = secret_scan.scan_secrets(_documents(spark, sf_dir).select("doc_id", "text"), rules=rules)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     spans = F.col("secrets.spans")
     return found.select(

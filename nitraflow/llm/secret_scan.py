@@ -4,17 +4,21 @@ where a credential would.
 The guess cost of a value is the smallest log10 number of guesses over all ways to cut it into
 dictionary words, dates, repeats, keyboard walks, runs of consecutive characters and brute-force
 spans (dynamic programming over positions). A value next to a credential keyword that costs at
-least `min_log10_guesses` is reported as a span of kind `guess`; ordinary words and short numbers
-after such a keyword cost far less and are left alone.
+least `min_log10_guesses` is reported as a span of kind `guess`; one or two ordinary words and short numbers
+after such a keyword cost less and are left alone. Words are ranked by frequency: the common password words
+below, then, with `vocabulary`, the whole words of a public byte-level tokenizer's vocabulary file, whose
+order follows how often they occur. Without that file any other word is spelled out and may be reported.
 
 One pass without a shuffle. Null texts count as empty. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,16 +71,27 @@ def _char_cost(c: str) -> float:
 
 @dataclass(frozen=True)
 class GuessRules:
-    min_log10_guesses: float = 7.5
+    min_log10_guesses: float = 10.0
     min_length: int = 6
     segment_cost: float = 0.3
     words: tuple[str, ...] = tuple(COMMON)
+    vocabulary: str | None = None
+
+
+@lru_cache(maxsize=4)
+def vocabulary_words(path: str) -> tuple[str, ...]:
+    """The words of three letters or more in a byte-level vocabulary file (each marked as opening a word), in its order."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    found = [t[1:].lower() for t in sorted(ids, key=ids.get) if t[0] == "Ġ" and len(t) > 3 and t.isalpha() and t[1:].isascii()]
+    return tuple(dict.fromkeys(found))
 
 
 class GuessCost:
     def __init__(self, rules: GuessRules) -> None:
         self.rules = rules
-        self.rank = {w: i + 1 for i, w in reversed(list(enumerate(rules.words)))}
+        words = dict.fromkeys((*rules.words, *(vocabulary_words(rules.vocabulary) if rules.vocabulary else ())))
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
         self.longest = max(map(len, self.rank), default=0)
 
     def __call__(self, value: str) -> float:
@@ -112,6 +127,12 @@ class GuessCost:
         return best[n]
 
 
+@lru_cache(maxsize=4)
+def guess_cost(rules: GuessRules) -> GuessCost:
+    """One per Python worker."""
+    return GuessCost(rules)
+
+
 def _run_lengths(s: str, follows) -> list[int]:
     """For each position, the length of the run ending there in which each character follows the one before."""
     out = [1] * len(s)
@@ -150,7 +171,7 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets", rules:
     rules = rules or GuessRules()
 
     def scanned(column: pa.Array) -> pa.Array:
-        cost = GuessCost(rules)
+        cost = guess_cost(rules)
         data, offsets = utf8(column)
         a, b = runs(_HEXDIGIT[data], offsets)
         hexed = np.zeros(len(column), bool)

@@ -1,5 +1,8 @@
+import itertools
+import math
 import re
 
+import public_tokenizers
 import pytest
 from conftest import AWKWARD
 
@@ -26,22 +29,62 @@ def test_base_spans_equal_brute_force(sample_docs, docs_of):
             assert [(s["start"], kinds.index(s["kind"]), s["end"]) for s in r["spans"] if s["kind"] != "guess"] == brute(r["text"] or "")
 
 
-@pytest.mark.parametrize("value", ["password", "qwerty", "aaaaaaaa", "2021-03-04", "12345678", "passwordpassword", "asdfgh", "abcdef"])
+WORDS = GuessRules(vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("value", ["password", "qwerty", "aaaaaaaa", "2021-03-04", "12345678", "passwordpassword", "asdfgh", "abcdef", "harvest", "elephant", "Tomorrow", "next_value", "disabled"])
 def test_easy_values_cost_little(value):
-    assert GuessCost(GuessRules())(value) < 7.5
+    assert GuessCost(WORDS)(value) < WORDS.min_log10_guesses
 
 
-@pytest.mark.parametrize("value", ["b7db7aa4a5fcc78305", "xK9#mQ2$vL", "tr0ub4dor&3xyz9Q"])
+@pytest.mark.parametrize("value", ["b7db7aa4a5fcc78305", "xK9#mQ2$vL", "tr0ub4dor&3xyz9Q", "Zq81vmTc"])
 def test_random_values_cost_much(value):
-    assert GuessCost(GuessRules())(value) >= 7.5
+    assert GuessCost(WORDS)(value) >= WORDS.min_log10_guesses
+
+
+def test_ordinary_words_are_left_alone(docs_of):
+    texts = ["the secret: harvest festival", "auth: disabled", "password: required", "my secret is tomorrow", "bearer: elephant", "token => whatever", 'api_key = "none needed"', "pwd: unknown", "credential: missing"]
+    assert [r["n_guess"] for r in scan_secrets(docs_of(texts), rules=WORDS).select("secrets.n_guess").collect()] == [0] * len(texts)
 
 
 def test_cost_is_the_cheapest_segmentation():
-    cost = GuessCost(GuessRules())
-    assert cost("passwordaaaa") <= cost("password") + cost("aaaa") + 1e-9
+    """All ways to cut short values, each piece at its cheapest, priced without the dynamic program."""
+    rules = GuessRules(words=("pass", "word", "as", "cat"))
+    cost, extra = GuessCost(rules), rules.segment_cost
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    at = {k: (y, x) for y, row in enumerate(rows) for x, k in enumerate(row)}
+    near = lambda a, b: a != b and a in at and b in at and max(abs(at[a][0] - at[b][0]), abs(at[a][1] - at[b][1])) <= 1
+
+    def piece(x):
+        out = [sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in x)]
+        if len(x) >= 3 and x in rules.words:
+            out.append(math.log10(1 + rules.words.index(x)) + extra)
+        pairs = list(zip(x, x[1:]))
+        if len(x) >= 3:
+            if all(near(a, b) for a, b in pairs):
+                out.append(math.log10(47 * 4 * len(x)) + extra)
+            if len(set(x)) == 1:
+                out.append(math.log10(95 * len(x)) + extra)
+            if x.isalnum() and ({ord(b) - ord(a) for a, b in pairs} in ({1}, {-1})):
+                out.append(math.log10(62 * len(x)) + extra)
+        if re.fullmatch(r"(19|20)\d\d", x):
+            out.append(math.log10(150) + extra)
+        return min(out)
+
+    for value in ("password", "passcat", "catabc", "aaabbb", "qwe123", "cat2019", "xcatx", "zxcpass", "a1b2c3", "dcba99"):
+        cuts = itertools.product([False, True], repeat=len(value) - 1)
+        best = min(sum(map(piece, "".join(c + ("|" if i < len(cut) and cut[i] else "") for i, c in enumerate(value)).split("|"))) for cut in cuts)
+        assert cost(value) == pytest.approx(best), value
     assert cost("x" * 5000) < 10
 
 
 def test_method_adds_spans_for_values_outside_the_base(docs_of):
-    (row,) = scan_secrets(docs_of(['passphrase: "xK9#mQ2$vL" and the token: of the sea'])).select("secrets.*").collect()
+    (row,) = scan_secrets(docs_of(['passphrase: "xK9#mQ2$vL" and the token: of the sea']), rules=WORDS).select("secrets.*").collect()
     assert (row["n_assign"], row["n_guess"]) == (0, 1) and [(s["start"], s["end"]) for s in row["spans"]] == [(13, 23)]
+
+
+def test_empty_tables_repeats_and_clashing_columns(docs_of):
+    assert scan_secrets(docs_of(["a"]).limit(0)).count() == 0
+    df = docs_of([(1, "secret=abcdefgh12", "s")] * 2).selectExpr("*", "7 as secrets", "8 as other")
+    rows = scan_secrets(df).select("secrets.n_assign", "other").collect()
+    assert [tuple(r) for r in rows] == [(1, 8)] * 2
