@@ -4,8 +4,9 @@ A word belongs to a class: each of the `own_classes` most frequent training word
 every other word shares one with words of like ending and length. The model draws a chain of latent
 states, a class from each state, and a word from its class by smoothed counts, so it gives every text
 a probability. Class emissions and transitions are trained by Baum-Welch: each partition adds up
-expected counts over its training documents, Spark sums them over the partitions, and the driver
-re-estimates; all training documents take part in every round. Texts are scored by the scaled
+expected counts over its whole training documents, Spark sums them over the partitions, and the driver
+re-estimates; all training documents take part in every round. Long documents are computed in segments
+that hand the exact forward and backward messages to each other. Texts are scored by the scaled
 forward recursion over the whole token sequence, which is the exact likelihood.
 
 Counting: words are pre-aggregated in each batch and summed by hash. The most frequent words (at most
@@ -38,8 +39,8 @@ class HmmSettings:
     heavy: int = 262_144
     rounds: int = 4
     start_docs: int = 256
-    segment: int = 128
-    pool: int = 4096
+    segment: int = 256
+    cells: int = 1 << 18
     seed: int = 5
 
 
@@ -90,8 +91,7 @@ def heavy_words(counts: DataFrame, most: int) -> pa.Table:
 
 @dataclass
 class HmmModel:
-    first: np.ndarray  # of a document
-    later: np.ndarray  # of a training segment that continues a document
+    first: np.ndarray
     step: np.ndarray
     emit: np.ndarray  # class by state
 
@@ -115,55 +115,87 @@ class HmmModel:
                 emit[:, i] = 0.3 * overall + 0.7 * own / own.sum()
         step = np.full((k, k), 0.5 / max(1, k - 1))
         np.fill_diagonal(step, 0.5 if k > 1 else 1.0)
-        return HmmModel(np.full(k, 1 / k), np.full(k, 1 / k), step, emit / emit.sum(0))
+        return HmmModel(np.full(k, 1 / k), step, emit / emit.sum(0))
 
     def counts(self, sequences: list[np.ndarray], settings: HmmSettings) -> np.ndarray:
-        """Expected counts (first, later, step, emit) over the sequences, as one vector."""
+        """Expected counts (first, step, emit) over the sequences, as one vector."""
         k, size = settings.states, settings.segment
-        first, later, step, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
-        cut = [(s[lo : lo + size], lo > 0) for s in sequences for lo in range(0, len(s), size)]
-        cut.sort(key=lambda x: -len(x[0]))
-        a, e = self.step.astype(np.float32), self.emit.astype(np.float32)
-        for lo in range(0, len(cut), settings.pool):
-            part = cut[lo : lo + settings.pool]
-            lengths = np.array([len(x) for x, _ in part])
-            o = np.zeros((lengths[0], len(part)), np.int32)
-            for i, (x, _) in enumerate(part):
-                o[: len(x), i] = x
-            begun = np.array([b for _, b in part])
-            live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")  # segments that reach step t
-            alpha = np.empty((len(o), len(part), k), np.float32)
-            scale = np.ones((len(o), len(part)), np.float32)
-            now = np.where(begun[:, None], self.later, self.first).astype(np.float32)
-            for t, m in enumerate(live.tolist()):
-                now = (now[:m] if t == 0 else now[:m] @ a) * e[o[t, :m]]
-                scale[t, :m] = now.sum(1)
-                now = now / scale[t, :m, None]
-                alpha[t, :m] = now
-            beta = np.ones((len(part), k), np.float32)
-            for t in range(len(o) - 1, -1, -1):
-                m = int(live[t])
-                gamma = alpha[t, :m] * beta[:m]
-                if t:
-                    onto = e[o[t, :m]] * beta[:m] / scale[t, :m, None]
-                    step += alpha[t - 1, :m].T @ onto * a
-                    beta[:m] = onto @ a.T
-                else:
-                    first += gamma[~begun[:m]].sum(0)
-                    later += gamma[begun[:m]].sum(0)
-                alpha[t, :m] = gamma
-            inside = np.arange(len(o))[:, None] < lengths
-            seen = o[inside]
-            for s in range(k):
-                emit[:, s] += np.bincount(seen, weights=alpha[..., s][inside], minlength=len(emit))
-        return np.concatenate([first, later, step.ravel(), emit.ravel()])
+        first, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
+        whole = [s for s in sequences if 0 < len(s) <= size]
+        cut = [s[lo : lo + size] for s in sequences if len(s) > size for lo in range(0, len(s), size)]
+        ends = np.cumsum([-(-len(s) // size) for s in sequences if len(s) > size])
+        into, after, crossing = self._messages(cut, ends, settings)
+        step += crossing
+        parts = whole + cut
+        enter = np.concatenate([np.broadcast_to(self.first, (len(whole), k)), into]).astype(np.float32)
+        leave = np.concatenate([np.ones((len(whole), k)), after]).astype(np.float32)
+        opens = np.concatenate([np.ones(len(whole), bool), np.isin(np.arange(len(cut)), np.append(0, ends))])
+        for pick, o, lengths, live in _pools(parts, settings):
+            self._segment_counts(o, lengths, live, enter[pick], leave[pick], opens[pick], first, step, emit)
+        return np.concatenate([first, step.ravel(), emit.ravel()])
+
+    def _messages(self, cut: list[np.ndarray], ends: np.ndarray, settings: HmmSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For segments cut in order from sequences that end at `ends`: the state weights that enter each, those
+        of what comes after its last symbol, and the expected transitions between segments."""
+        k, n = settings.states, len(cut)
+        moves = np.empty((n, k, k))
+        a, e = self.step, self.emit
+        for pick, o, _, live in _pools(cut, settings, k):
+            m = np.eye(k) * e[o[0]][:, None, :]
+            for t in range(1, len(o)):
+                w = int(live[t])
+                x = (m[:w].reshape(-1, k) @ a).reshape(w, k, k) * e[o[t, :w]][:, None, :]
+                m[:w] = x / x.sum((1, 2), keepdims=True)
+            moves[pick] = m
+        into, after, crossing = np.empty((n, k)), np.ones((n, k)), np.zeros((k, k))
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+            into[lo] = self.first
+            for i in range(lo, hi - 1):
+                out = into[i] @ moves[i]
+                into[i + 1] = (out / out.sum()) @ a
+            for i in range(hi - 1, lo, -1):
+                begun = moves[i] @ after[i]
+                back = a @ begun
+                after[i - 1] = back / back.sum()
+                both = (into[i - 1] @ moves[i - 1])[:, None] * a * begun
+                crossing += both / both.sum()
+        return into, after, crossing
+
+    def _segment_counts(self, o: np.ndarray, lengths: np.ndarray, live: np.ndarray, enter: np.ndarray, leave: np.ndarray, opens: np.ndarray, first: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
+        """Adds the expected counts of segments (o by time and segment, the longest first) to first, step and emit."""
+        a, e, k = self.step.astype(np.float32), self.emit.astype(np.float32), len(first)
+        alpha = np.empty((len(o), o.shape[1], k), np.float32)
+        scale = np.ones((len(o), o.shape[1]), np.float32)
+        now = enter
+        for t, m in enumerate(live.tolist()):
+            now = (now[:m] if t == 0 else now[:m] @ a) * e[o[t, :m]]
+            scale[t, :m] = now.sum(1)
+            now = now / scale[t, :m, None]
+            alpha[t, :m] = now
+        last = alpha[lengths - 1, np.arange(len(lengths))]
+        beta = leave / (last * leave).sum(1, keepdims=True)
+        for t in range(len(o) - 1, -1, -1):
+            m = int(live[t])
+            gamma = alpha[t, :m] * beta[:m]
+            if t:
+                onto = e[o[t, :m]] * beta[:m] / scale[t, :m, None]
+                step += alpha[t - 1, :m].T @ onto * a
+                beta[:m] = onto @ a.T
+            else:
+                first += gamma[opens[:m]].sum(0)
+            alpha[t, :m] = gamma
+        inside = np.arange(len(o))[:, None] < lengths
+        seen = o[inside]
+        for s in range(k):
+            emit[:, s] += np.bincount(seen, weights=alpha[..., s][inside], minlength=len(emit))
 
     @staticmethod
     def estimated(total: np.ndarray, n_classes: int, settings: HmmSettings) -> HmmModel:
         k = settings.states
-        first, later, step, emit = total[:k], total[k : 2 * k], total[2 * k : 2 * k + k * k].reshape(k, k), total[2 * k + k * k :].reshape(n_classes, k)
-        first, later, step, emit = first + 0.01, later + 0.01, step + 0.01, emit + 0.001
-        return HmmModel(first / first.sum(), later / later.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        first, step, emit = total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(n_classes, k)
+        first, step, emit = first + 0.01, step + 0.01, emit + 0.001
+        return HmmModel(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The exact log10 likelihood of each sequence."""
@@ -219,6 +251,21 @@ class HmmModel:
 _LONG = 4000
 
 
+def _pools(parts: list[np.ndarray], settings: HmmSettings, width: int = 1):
+    """(indices, symbols by time and part, lengths, live) of parts of like length, the longest first, in pools of
+    about `cells` symbols; live[t] parts reach symbol t."""
+    order = np.argsort([-len(x) for x in parts], kind="stable")
+    at = 0
+    while at < len(order):
+        pick = order[at : at + max(1, settings.cells // width // len(parts[order[at]]))]
+        lengths = np.array([len(parts[i]) for i in pick])
+        o = np.zeros((lengths[0], len(pick)), np.int32)
+        for j, i in enumerate(pick.tolist()):
+            o[: lengths[j], j] = parts[i]
+        yield pick, o, lengths, np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
+        at += len(pick)
+
+
 def train(rows: DataFrame, class_counts: np.ndarray, settings: HmmSettings) -> HmmModel:
     """Baum-Welch over rows.classes (16-bit class numbers, binary). It starts from a bounded sample of
     documents of ordinary length; every round takes all of them."""

@@ -5,11 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest import AWKWARD
 from pyspark.sql import functions as F
 
 from nitraflow.llm import hmm_lm, license_scan, mil_quality
 from nitraflow.llm.frames import hash_part
+from nitraflow.llm.wordhash import mix, utf8
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,7 +81,7 @@ def test_base_scores_equal_brute_force(sample_docs, docs_of):
 
 def test_forward_is_the_exact_likelihood_and_rounds_raise_it():
     rng = np.random.default_rng(2)
-    s = hmm_lm.HmmSettings(states=3, segment=8, pool=5)
+    s = hmm_lm.HmmSettings(states=3, segment=8, cells=40)
     sequences = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 2, 7, 8, 9, 40, 5000)]
     model = hmm_lm.HmmModel.start(np.bincount(np.concatenate(sequences), minlength=5).astype(float), [], s)
 
@@ -90,32 +93,35 @@ def test_forward_is_the_exact_likelihood_and_rounds_raise_it():
         return log + np.log10(a.sum())
 
     assert np.allclose(model.log10(sequences), [plain(x) for x in sequences])
-    short = [x[:8] for x in sequences]
-    before = model.log10(short).sum()
+    before = model.log10(sequences).sum()
     for _ in range(3):
-        model = hmm_lm.HmmModel.estimated(model.counts(short, s), 5, s)
-        after = model.log10(short).sum()
+        model = hmm_lm.HmmModel.estimated(model.counts(sequences, s), 5, s)
+        after = model.log10(sequences).sum()
         assert after >= before - 0.05
         before = after
 
 
-def test_expected_counts_equal_enumeration():
-    s = hmm_lm.HmmSettings(states=2, segment=16)
-    model = hmm_lm.HmmModel(np.array([0.6, 0.4]), np.array([0.5, 0.5]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.1], [0.3, 0.2], [0.2, 0.7]]))
-    x = np.array([0, 2, 1], np.uint16)
-    first, step, emit, total = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
-    for path in np.ndindex(2, 2, 2):
-        p = model.first[path[0]] * model.emit[x[0], path[0]]
-        for t in (1, 2):
-            p *= model.step[path[t - 1], path[t]] * model.emit[x[t], path[t]]
-        total += p
-        first[path[0]] += p
-        for t in range(3):
-            emit[x[t], path[t]] += p
-            if t:
-                step[path[t - 1], path[t]] += p
-    got = model.counts([x], s)
-    assert np.allclose(got, np.concatenate([first / total, [0, 0], (step / total).ravel(), (emit / total).ravel()]), atol=1e-5)
+@pytest.mark.parametrize("segment", [1, 2, 3, 16])
+def test_expected_counts_equal_enumeration(segment):
+    """Over all paths, with cuts after each symbol, within the sequences and none at all."""
+    s = hmm_lm.HmmSettings(states=2, segment=segment)
+    model = hmm_lm.HmmModel(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.1], [0.3, 0.2], [0.2, 0.7]]))
+    sequences = [np.array(x, np.uint16) for x in ([0, 2, 1, 1, 0, 2, 2], [1], [2, 0], [0, 1, 2, 0])]
+    want = np.zeros(2 + 4 + 6)
+    for x in sequences:
+        first, step, emit, total = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
+        for path in np.ndindex(*[2] * len(x)):
+            p = model.first[path[0]] * model.emit[x[0], path[0]]
+            for t in range(1, len(x)):
+                p *= model.step[path[t - 1], path[t]] * model.emit[x[t], path[t]]
+            total += p
+            first[path[0]] += p
+            for t in range(len(x)):
+                emit[x[t], path[t]] += p
+                if t:
+                    step[path[t - 1], path[t]] += p
+        want += np.concatenate([first, step.ravel(), emit.ravel()]) / total
+    assert np.allclose(model.counts(sequences, s), want, atol=1e-4)
 
 
 def test_language_model_beats_the_base_on_held_out_documents(spark):
@@ -141,6 +147,47 @@ def test_licences_are_found_and_nothing_else(spark, docs_of):
     assert all(not r["hits"] for r in license_scan.scan_licenses(docs_of(AWKWARD), model).select("licenses.hits").collect())
 
 
+#: Notices as files carry them, wrapped, quoted or commented; none is a template.
+NOTICES = {
+    "/*\n * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files, to deal in the Software\n */": {"mit"},
+    "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.": {"gpl"},
+    "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted": {"isc"},
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND': {"mit"},
+    "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0": {"epl", "reserved"},
+    "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)": {"boost"},
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": {"bsd"},
+    "# SPDX-License-Identifier: LGPL-2.1": {"lgpl"},
+    "Released under the MIT License. All rights reserved.": {"mit", "reserved"},
+    "Licensed under the Apache\nLicense, Version 2.0": {"apache"},
+    "This work is released into the\n\npublic domain.": set(),
+    "the software he wrote was provided without charge to any person who asked": set(),
+    "rights of way are reserved for all pedestrians in the public park": set(),
+    "Permission was granted to the council to use the field for any purpose, with or without a fee": set(),
+}
+
+
+def test_wrapped_and_unseen_notices(spark, docs_of):
+    model = license_scan.fit_licenses(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = license_scan.scan_licenses(docs_of(list(NOTICES) * 2), model).orderBy("doc_id").select("licenses.hits").collect()
+    assert [{h["family"] for h in r["hits"]} for r in rows] == list(NOTICES.values()) * 2
+
+
+def test_licence_odds_equal_a_plain_sum():
+    s = license_scan.LicenseSettings(buckets=64, segment_words=5, stride=3)
+    rng = np.random.default_rng(6)
+    n = len(license_scan.FAMILIES)
+    model = license_scan.LicenseModel(rng.normal(size=(65, n)), rng.normal(size=n), 0.5, s)
+    data, offsets = utf8(pa.array(["one two three four five six seven\neight nine\n\nten", None, "one"]))
+    x = license_scan.segments(data, offsets, s)
+    assert [(r, line, b - a) for r, line, a, b in zip(x.row, x.line, x.first, x.last, strict=True)] == [(0, 0, 5), (0, 0, 5), (0, 0, 3), (0, 3, 1), (2, 0, 1)]
+    model.weights[-1] = 0
+    for i, got in enumerate(model.odds(x)):
+        words = [int(w) for w in x.words[x.first[i] : x.last[i]]]
+        keys = [w % 64 for w in words] + [int(mix(np.array([a], np.uint64) * np.uint64(5) + np.uint64(b))[0]) % 64 for a, b in zip(words, words[1:])]
+        z = sum(model.weights[k] for k in keys) / np.sqrt(2 * len(words)) + model.bias
+        assert np.allclose(got, 1 / (1 + np.exp(z[0] - z[1:])))
+
+
 def test_licences_fit_without_a_corpus(docs_of):
     model = license_scan.fit_licenses(docs_of(["a"]).limit(0))
     assert license_scan.scan_licenses(docs_of(["All rights reserved"]), model).count() == 1
