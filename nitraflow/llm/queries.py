@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, jaccard_join, license_scan, line_dedup, mil_quality, mixing, quality_rules, secret_scan, token_files
+from . import decontaminate, hmm_lm, jaccard_join, license_scan, line_dedup, mil_quality, mixing, oracles, quality_rules, secret_scan, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
