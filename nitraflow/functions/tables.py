@@ -12,5 +12,7 @@ def materialised(df: DataFrame) -> DataFrame:
     is set, as in tests, a temporary one is."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="nitraflow-"))
     return df.checkpoint()

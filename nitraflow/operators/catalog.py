@@ -44,8 +44,8 @@ def category_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in the order of a seeded hash of the key; the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in the order of a seeded hash of the key as text; the same rows on every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def head_with_rest(df: DataFrame, order: list, n: int) -> tuple[DataFrame, DataFrame]:

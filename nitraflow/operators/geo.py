@@ -63,6 +63,13 @@ def to_geojson(vertices: DataFrame) -> DataFrame:
     return shapes.select("zone", F.to_json(feature).alias("feature"))
 
 
+def feature_collection(features: DataFrame) -> DataFrame:
+    """One row: the features of to_geojson as one GeoJSON text, in the order of their zones; without features an
+    empty collection. A map's selection is meant: the text is one value."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct("zone", "feature"))), lambda f: f["feature"])
+    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(held, ","), F.lit("]}")).alias("collection"))
+
+
 def buffer_point(df: DataFrame, lon: str, lat: str, deg: float = 0.01, corners: int = 64, wkt: str | None = None) -> DataFrame:
     """df with `region`: a disk around the point as WKT. Rows that already have a polygon in the column
     wkt keep it."""
@@ -129,14 +136,11 @@ def pixel_in_zone(pixels: DataFrame, edges: DataFrame, cell: float | None = None
 
 def zonal_stats(pixels: DataFrame, edges: DataFrame, zones: DataFrame, by: Sequence[str] = ("year",), value: str = "value") -> DataFrame:
     """mean, sum and count of the pixels in each zone and group; zones without pixels are kept with
-    count 0. zones has zone and attributes. The groups (years) are few and are listed on the driver."""
+    count 0 in every group. zones has zone and attributes."""
     stats = pixel_in_zone(pixels.where(F.col(value).isNotNull()), edges).groupBy("zone", *by).agg(F.avg(value).alias("mean"), F.sum(value).alias("sum"), F.count(value).alias("count"))
     if not by:
         return zones.join(stats, "zone", "left").fillna(0, ["count"])
-    groups = pixels.select(*by).distinct().collect()
-    kinds = dict(pixels.dtypes)
-    listed = F.array(*[F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by]) for g in groups])
-    every = zones.withColumn("_g", F.explode(listed)).select(*zones.columns, *[F.col(f"_g.{c}").alias(c) for c in by])
+    every = zones.crossJoin(pixels.select(*by).distinct())  # the result has a row for each zone and group
     return every.join(stats, ["zone", *by], "left").fillna(0, ["count"])
 
 
@@ -156,5 +160,5 @@ def downstream_sites(regions: DataFrame, flow_edges: DataFrame, sites: DataFrame
     while not front.isEmpty():
         step = front.join(flow_edges.select(F.col("src").alias("node"), "dst"), "node").select("region", F.col("dst").alias("node")).distinct()
         front = materialised(step.join(reached, ["region", "node"], "left_anti"))
-        reached = materialised(reached.unionByName(front))
+        reached = reached.unionByName(front)  # of checkpoints: each front is written once
     return reached.join(sites, "node").select("region", "site_uid").distinct()

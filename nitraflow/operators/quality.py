@@ -29,9 +29,9 @@ def diff_summary(a: DataFrame, b: DataFrame, keys: Sequence[str], row_no: str |
     they are contiguous (row_no is one of the keys)."""
     bad = table_diff(a, b, keys)
     at = F.col(row_no) if row_no else F.lit(None).cast("long")
-    found = bad.agg(F.count("*").alias("n_bad"), F.min(at).alias("first_bad"), F.max(at).alias("last_bad")).withColumn("one", F.lit(1))
-    sizes = a.agg(F.count("*").alias("na")).withColumn("one", F.lit(1)).join(b.agg(F.count("*").alias("nb")).withColumn("one", F.lit(1)), "one")
-    joined = found.join(sizes, "one")
+    found = bad.agg(F.count("*").alias("n_bad"), F.min(at).alias("first_bad"), F.max(at).alias("last_bad"))
+    # one row each
+    joined = found.crossJoin(F.broadcast(a.agg(F.count("*").alias("na")))).crossJoin(F.broadcast(b.agg(F.count("*").alias("nb"))))
     return joined.select(
         (F.col("na") == F.col("nb")).alias("same_rows"), F.lit(a.columns == b.columns).alias("same_columns"), "n_bad", "first_bad", "last_bad",
         ((F.col("last_bad") - F.col("first_bad")) == F.col("n_bad") - 1).alias("contiguous"),

@@ -13,7 +13,7 @@ from nitraflow.functions import scalars, weather
 from nitraflow.functions.tables import materialised
 from nitraflow.operators import catalog, county, geo, quality, raster, soil, timeseries
 from nitraflow.plans import forecast, panel
-from nitraflow.sources import files, responses, sinks
+from nitraflow.sources import files, responses, schemas, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,7 +178,8 @@ def head_sample(spark, sf_dir):
     return head.withColumn("one", F.lit(1)).join(rest.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query()
+@query("""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100""")
 def seeded_sample(spark, sf_dir):
     return catalog.sample_rows(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, seed=7)
 
@@ -369,19 +370,15 @@ def column_profile(spark, sf_dir):
     return quality.profile(events).join(quality.distinct_counts(events), "column")
 
 
-@query()
+@query("""
+SELECT count(*)::BIGINT AS rows_found, true AS ok FROM orders""")
 def chunk_audit(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        materialised(spark.range(1))
-        root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    path = _new_path(spark, "chunks")
     sinks.write_chunks(orders, path, "orders.csv", 5000)
     manifest = files.read_manifest(spark, f"{path}/manifest")
     scan = spark.read.schema(orders.schema).option("header", True).csv(f"{path}/chunks")
-    return quality.chunk_audit(scan, manifest).select("rows_found", "ok")
+    return quality.chunk_audit(scan, manifest).agg(F.sum("rows_found").alias("rows_found"), F.min("ok").alias("ok"))
 
 
 # ---------------------------------------------------------------- space
@@ -435,22 +432,55 @@ def zonal_stats(spark, sf_dir):
     return _rounded(out, "mean_surplus_kgha", "raw_sum", "total_kg_N")
 
 
-@query()
+@query(f"""
+WITH {_POINTS}, {_ZONES}, {_PIXELS}, i AS (SELECT zone, year, avg(value) AS mean, sum(value) AS sum, count(*) AS count FROM px, z WHERE {_INSIDE} GROUP BY ALL),
+s(code, state) AS (VALUES ('01', 'AL'), ('04', 'AZ'), ('05', 'AR'), ('06', 'CA'), ('08', 'CO'), ('09', 'CT'), ('10', 'DE'), ('11', 'DC'), ('12', 'FL'), ('13', 'GA'), ('16', 'ID'), ('17', 'IL'), ('18', 'IN'), ('19', 'IA'), ('20', 'KS')),
+c AS (SELECT zone, lpad((zone % 60 + 1)::VARCHAR, 2, '0') AS code FROM z)
+SELECT y.year::INT AS year, c.zone AS "GEOID", c.code AS "STATEFP", s.state AS "STATE", 'COUNTYFP ' || c.zone AS "COUNTYFP", 'NAME ' || c.zone AS "NAME", 'NAMELSAD ' || c.zone AS "NAMELSAD",
+round(mean, 8) AS mean_surplus_kgha, round(sum, 8) AS raw_sum, round(sum * 6.25, 8) AS "total_kg_N", coalesce(count, 0)::BIGINT AS pixel_count
+FROM c CROSS JOIN (SELECT DISTINCT year FROM px) y LEFT JOIN i ON i.zone = c.zone AND i.year = y.year LEFT JOIN s ON s.code = c.code WHERE c.code NOT IN ('02', '15', '60')""")
 def surplus_panel(spark, sf_dir):
     points = _embedding_points(spark, sf_dir)
-    code = F.lpad(F.element_at(F.array(*[F.lit(s) for s in county.STATES[::2]]), (F.col("label") % 49 + 1).cast("int")), 2, "0")
+    code = F.lpad((F.col("label") % 60 + 1).cast("string"), 2, "0")
     counties = points.select("label").distinct().select(F.col("label").alias("GEOID"), code.alias("STATEFP"), *[F.concat(F.lit(f"{n} "), F.col("label").cast("string")).alias(n) for n in ("COUNTYFP", "NAME", "NAMELSAD")])
     pixels = points.select((2020 + F.col("point_id") % 3).cast("int").alias("year"), F.round("y", 2).alias("x"), F.round("x", 1).alias("y"), F.col("x").alias("value"))
-    return panel.surplus_panel(pixels, geo.wkt_to_edges(_embedding_zones(points)), counties, county.state_table(spark))
+    return _rounded(panel.surplus_panel(pixels, geo.wkt_to_edges(_embedding_zones(points)), counties, county.state_table(spark)), "mean_surplus_kgha", "raw_sum", "total_kg_N")
+
+
+@query("""
+SELECT n_nationkey AS county, y.year, n.n AS n_customers, round(o.total, 4) AS total, s.n AS n_suppliers
+FROM nation CROSS JOIN (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders) y
+LEFT JOIN (SELECT c_nationkey AS k, year(o_orderdate) AS year, count(DISTINCT c_custkey)::BIGINT AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL) n ON n.k = n_nationkey AND n.year = y.year
+LEFT JOIN (SELECT c_nationkey AS k, year(o_orderdate) AS year, sum(o_totalprice) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY ALL) o ON o.k = n_nationkey AND o.year = y.year
+LEFT JOIN (SELECT s_nationkey AS k, 1995 AS year, count(*)::BIGINT AS n FROM supplier GROUP BY 1) s ON s.k = n_nationkey AND s.year = y.year""")
+def county_year_panel(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("o_orderdate")).withColumn("county", F.col("c_nationkey"))
+    base = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("county")).crossJoin(F.broadcast(_read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy("county", "year").agg(F.count_distinct("c_custkey").alias("n_customers"))
+    rich = orders.where("c_acctbal > 5000").groupBy("county", "year").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
+    sellers = _read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("county")).agg(F.count("*").alias("n_suppliers")).withColumn("year", F.lit(1995))
+    return panel.county_year_panel(base, urgent, rich, sellers)
 
 
 @query()
-def geojson_collection(spark, sf_dir):
+def geojson_features(spark, sf_dir):
     return geo.to_geojson(geo.wkt_to_vertices(_embedding_zones(_embedding_points(spark, sf_dir))))
 
 
 @query("""
-SELECT vec_id AS point_id, 65::BIGINT AS n_vertices, round(3.14159265358979 * 0 + 64.0 / 2 * sin(2 * pi() / 64) * 0.01 * 0.01, 7) AS area FROM embeddings""")
+WITH f AS (SELECT s_suppkey AS zone, '{"type":"Feature","properties":{"zone":"' || s_suppkey || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[[' || s_suppkey || '.0,0.5],[' || (s_suppkey + 1) || '.0,0.5],[' || (s_suppkey + 1) || '.0,2.5],[' || s_suppkey || '.0,0.5]]]]}}' AS feature FROM supplier)
+SELECT '{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY zone) || ']}' AS collection FROM f""")
+def geojson_collection(spark, sf_dir):
+    k = lambda n: (F.col("s_suppkey") + n).cast("string")
+    wkt = F.concat(F.lit("POLYGON(("), k(0), F.lit(" 0.5,"), k(1), F.lit(" 0.5,"), k(1), F.lit(" 2.5,"), k(0), F.lit(" 0.5))"))
+    zones = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone"), wkt.alias("wkt"))
+    return geo.feature_collection(geo.to_geojson(geo.wkt_to_vertices(zones)))
+
+
+@query(f"""
+WITH {_POINTS}, v AS (SELECT vec_id, k, round(x + 0.01 * cos(2 * pi() * (k % 64) / 64), 9) AS vx, round(y + 0.01 * sin(2 * pi() * (k % 64) / 64), 9) AS vy FROM p, range(65) r(k)),
+e AS (SELECT vec_id, vx AS x1, vy AS y1, lead(vx) OVER (PARTITION BY vec_id ORDER BY k) AS x2, lead(vy) OVER (PARTITION BY vec_id ORDER BY k) AS y2 FROM v)
+SELECT vec_id AS point_id, count(*)::BIGINT AS n_vertices, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 7) AS area FROM e GROUP BY 1""")
 def buffer_point(spark, sf_dir):
     disks = geo.buffer_point(_embedding_points(spark, sf_dir), "x", "y")
     v = geo.wkt_to_edges(disks, "point_id", "region")
@@ -459,27 +489,25 @@ def buffer_point(spark, sf_dir):
     return v.groupBy("zone").agg(F.round(area, 7).alias("area")).join(levels, "zone").select(F.col("zone").alias("point_id"), "n_vertices", F.col("area"))
 
 
-_N, _C, _RHO0 = geo_functions.Albers().constants()
-_E = geo_functions.Albers().e2**0.5
-_Q = f"(1 - {_E**2!r}) * (sin(radians(lat)) / (1 - {_E**2!r} * sin(radians(lat)) * sin(radians(lat))) - ln((1 - {_E!r} * sin(radians(lat))) / (1 + {_E!r} * sin(radians(lat)))) / {2 * _E!r})"
+#: EPSG:5070 written out in SQL: the ellipsoid by its inverse flattening, parallels 29.5 and 45.5, origin 23 N 96 W.
+_ALBERS = """e AS (SELECT 2 / 298.257222101 - 1 / 298.257222101 / 298.257222101 AS e2),
+h AS (SELECT id, lon, lat, e2, sqrt(e2) AS e, sin(radians(lat)) AS s FROM l CROSS JOIN e),
+q AS (SELECT id, lon, cos(radians(lat)) / sqrt(1 - e2 * s * s) AS m, (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) AS q FROM h),
+k AS (SELECT (a.m * a.m - b.m * b.m) / (b.q - a.q) AS n, a.m * a.m + (a.m * a.m - b.m * b.m) / (b.q - a.q) * a.q AS c, o.q AS q0 FROM q a, q b, q o WHERE a.id = -1 AND b.id = -2 AND o.id = -3),
+t AS (SELECT id, 6378137.0 * sqrt(c - n * q) / n AS rho, n * radians(lon + 96.0) AS theta, 6378137.0 * sqrt(c - n * q0) / n AS rho0 FROM q CROSS JOIN k),
+xy AS (SELECT id, rho * sin(theta) AS x, rho0 - rho * cos(theta) AS y FROM t)"""
+_LONLAT = "l(id, lon, lat) AS (SELECT event_id, -120 + (user_id % 50), 25 + (event_id % 25) FROM events UNION ALL VALUES (-1, 0, 29.5), (-2, 0, 45.5), (-3, 0, 23), (-4, -110.5, 30.5), (-5, -85.5, 43.5))"
 
 
-@query(f"""
-WITH l AS (SELECT event_id, -120 + (user_id % 50) AS lon, 25 + (event_id % 25) AS lat FROM events),
-q AS (SELECT event_id, {geo_functions.Albers().a} * sqrt({_C!r} - {_N!r} * {_Q}) / {_N!r} AS rho, {_N!r} * radians(lon + 96.0) AS theta FROM l)
-SELECT event_id, round(rho * sin(theta), 3) AS x, round({_RHO0!r} - rho * cos(theta), 3) AS y FROM q""")
+@query(f"WITH {_LONLAT}, {_ALBERS} SELECT id AS event_id, round(x, 3) AS x, round(y, 3) AS y FROM xy WHERE id >= 0")
 def albers_xy(spark, sf_dir):
     x, y = geo_functions.albers((F.col("user_id") % 50 - 120).cast("double"), (F.col("event_id") % 25 + 25).cast("double"))
     return _read(spark, sf_dir, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-_WEST, _SOUTH, _EAST, _NORTH = (*geo_functions.Albers().project(-110.5, 30.5), *geo_functions.Albers().project(-85.5, 43.5))
-
-
 @query(f"""
-WITH l AS (SELECT event_id, -120 + (user_id % 50) AS lon, 25 + (event_id % 25) AS lat FROM events),
-q AS (SELECT event_id, {geo_functions.Albers().a} * sqrt({_C!r} - {_N!r} * {_Q}) / {_N!r} AS rho, {_N!r} * radians(lon + 96.0) AS theta FROM l)
-SELECT event_id FROM q WHERE rho * sin(theta) BETWEEN {_WEST!r} AND {_EAST!r} AND {_RHO0!r} - rho * cos(theta) BETWEEN {_SOUTH!r} AND {_NORTH!r}""")
+WITH {_LONLAT}, {_ALBERS}
+SELECT p.id AS event_id FROM xy p, xy sw, xy ne WHERE sw.id = -4 AND ne.id = -5 AND p.id >= 0 AND p.x BETWEEN sw.x AND ne.x AND p.y BETWEEN sw.y AND ne.y""")
 def bbox_filter(spark, sf_dir):
     x, y = geo_functions.albers((F.col("user_id") % 50 - 120).cast("double"), (F.col("event_id") % 25 + 25).cast("double"))
     projected = _read(spark, sf_dir, "events").select("event_id", x.alias("x"), y.alias("y"))
@@ -518,7 +546,14 @@ def et0_hargreaves(spark, sf_dir):
     return days.select("user_id", "date", F.round(weather.hargreaves_et0(F.col("m"), F.col("hi"), F.col("lo"), F.col("solar")), 8).alias("et0"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT user_id, ts::DATE AS date, avg(value) / 10 + 5 AS m, max(value) / 10 + 8 AS hi, min(value) / 10 AS lo FROM events GROUP BY ALL),
+v AS (SELECT *, 0.6108 * exp(17.27 * m / (m + 237.3)) AS em, 0.6108 * exp(17.27 * hi / (hi + 237.3)) AS eh, 0.6108 * exp(17.27 * lo / (lo + 237.3)) AS el, radians(42.0) AS phi, 2 * pi() / 365 * dayofyear(date) AS turn FROM d),
+w AS (SELECT *, (eh + el) / 2 AS es, (eh + el) / 2 * 65.0 / 100 AS ea, 4098 * em / pow(m + 237.3, 2) AS slope, 0.000665 * 101.3 * pow((293 - 0.0065 * 300.0) / 293, 5.26) AS gamma, 0.409 * sin(turn - 1.39) AS tilt FROM v),
+x AS (SELECT *, acos(greatest(least(-tan(phi) * tan(tilt), 1.0), -1.0)) AS sunset FROM w),
+y AS (SELECT *, 24 * 60 / pi() * 0.0820 * (1 + 0.033 * cos(turn)) * (sunset * sin(phi) * sin(tilt) + cos(phi) * cos(tilt) * sin(sunset)) AS ra FROM x),
+n AS (SELECT *, 0.77 * 14.0 - 4.903e-9 * (pow(hi + 273.16, 4) + pow(lo + 273.16, 4)) / 2 * (0.34 - 0.14 * sqrt(ea)) * (1.35 * least(14.0 / ((0.75 + 2e-5 * 300.0) * ra), 1.0) - 0.35) AS net FROM y)
+SELECT user_id, date, round((0.408 * slope * net + gamma * 900 / (m + 273) * 2.0 * (es - ea)) / (slope + gamma * (1 + 0.34 * 2.0)), 8) AS et0 FROM n""")
 def et0_penman_monteith(spark, sf_dir):
     days = _read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg((F.avg("value") / 10 + 5).alias("m"), (F.max("value") / 10 + 8).alias("hi"), (F.min("value") / 10).alias("lo"))
     et0 = weather.penman_monteith_et0(F.col("m"), F.col("hi"), F.col("lo"), F.lit(65.0), F.lit(2.0), F.lit(14.0), F.lit(300.0), F.lit(42.0), F.dayofyear("date"))
@@ -563,6 +598,138 @@ def response_rows(spark, sf_dir):
     return responses.table_from_rows(rows.select(F.to_json(F.struct(F.concat(header, "r").alias("Table"))).alias("json")), ["mukey", "muname", "aws"])
 
 
+# ---------------------------------------------------------------- files written and read back
+
+
+def _new_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name below the session's checkpoint folder, which driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        materialised(spark.range(1))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _csv(df: DataFrame, label: str, **options) -> str:
+    path = _new_path(df.sparkSession, label)
+    df.write.options(header=True, **options).csv(path)
+    return path
+
+
+def _raw_readings(spark, sf_dir) -> DataFrame:
+    """Readings as text: padded sites, two offsets, some NaN."""
+    value = F.when(F.col("event_id") % 7 == 0, "NaN").otherwise(F.col("value").cast("string"))
+    when = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "-05").otherwise("-06"))
+    columns = [F.concat(F.col("user_id").cast("string"), F.lit("  ")).alias("site_uid"), when.alias("datetime"), value.alias("nitrate_con")]
+    return _read(spark, sf_dir, "events").select(*columns, *[F.lit(None).cast("string").alias(c) for c in schemas.MEASURES[1:]])
+
+
+_READINGS = """r AS (SELECT user_id::VARCHAR AS site_uid, date_trunc('second', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 6 HOUR END AS datetime, CASE WHEN event_id % 7 <> 0 THEN value END AS nitrate_con FROM events)"""
+
+
+@query(f"WITH {_READINGS} SELECT site_uid, count(*)::BIGINT AS n, count(nitrate_con)::BIGINT AS n_values, round(avg(nitrate_con), 8) AS mean, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS first FROM r GROUP BY 1")
+def readings_from_csv(spark, sf_dir):
+    read = files.read_readings(spark, _csv(_raw_readings(spark, sf_dir), "readings", ignoreTrailingWhiteSpace=False))
+    return read.groupBy("site_uid").agg(F.count("*").alias("n"), F.count("nitrate_con").alias("n_values"), F.round(F.avg("nitrate_con"), 8).alias("mean"), F.date_format(F.min("datetime"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+@query(f"WITH {_READINGS} SELECT nitrate_con, count(*)::BIGINT AS n FROM r WHERE site_uid = '7' GROUP BY ALL")
+def site_partition(spark, sf_dir):
+    path = _new_path(spark, "by-site")
+    sinks.write_by_site(files.cleaned_readings(_raw_readings(spark, sf_dir).withColumn("nitrate_con", F.col("nitrate_con").cast("double"))), path)
+    return files.read_site(spark, path, "7 ").groupBy("nitrate_con").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS uid, s_acctbal AS latitude, s_nationkey::DOUBLE AS longitude FROM supplier WHERE s_suppkey % 10 <> 3")
+def tolerant_sites(spark, sf_dir):
+    latitude = F.when(F.col("s_suppkey") % 10 == 3, "north").otherwise(F.col("s_acctbal").cast("string"))
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("uid"), latitude.alias("latitude"), F.col("s_nationkey").alias("longitude"))
+    return files.read_sites(spark, _csv(rows, "sites"))[0]
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice, 'orders.csv' AS original_filename FROM orders")
+def chunks_appended(spark, sf_dir):
+    path, rows = _new_path(spark, "chunks"), _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice")
+    sinks.write_chunks(rows, path, "orders.csv", 5000)
+    manifest = files.read_manifest(spark, f"{path}/manifest")
+    return files.read_chunks(spark, f"{path}/chunks", manifest, rows.schema).join(F.broadcast(manifest.select("ord", "original_filename")), "ord").drop("ord")
+
+
+@query("SELECT c_custkey::VARCHAR AS FIPS, c_acctbal AS value FROM customer")
+def keyed_csv(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("FIPS"), F.col("c_acctbal").alias("value"))
+    return files.read_keyed_csv(spark, _csv(rows, "keyed", sep=";"), rows.schema, ";")
+
+
+@query("SELECT event_type AS parameter_code, user_id::VARCHAR AS monitoring_location_id, count(*)::BIGINT AS n, round(avg(value), 8) AS mean FROM events GROUP BY ALL")
+def gauge_series(spark, sf_dir):
+    path = _new_path(spark, "gauge")
+    _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("monitoring_location_id"), F.col("event_type").alias("parameter_code"), F.col("ts").cast("timestamp").alias("time"), "value").write.parquet(path)
+    return files.read_gauge(spark, path, "continuous").groupBy("parameter_code", "monitoring_location_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"))
+
+
+@query(f"WITH {_POINTS}, {_ZONES} SELECT zone::VARCHAR AS GEOID, 'zone ' || zone AS NAME, 14::BIGINT AS n_vertices, round({_AT('x', 0.1)}, 6) AS west FROM z")
+def zones_from_text(spark, sf_dir):
+    zones = _embedding_zones(_embedding_points(spark, sf_dir))
+    rows = zones.select(F.col("zone").cast("string").alias("GEOID"), F.concat(F.lit("zone "), F.col("zone").cast("string")).alias("NAME"), "wkt")
+    read = files.read_zones(spark, _csv(rows, "zones", sep="\t"), "NAME")
+    vertices = geo.wkt_to_vertices(read, "GEOID").groupBy(F.col("zone").alias("GEOID")).agg(F.count("*").alias("n_vertices"), F.round(F.min("x"), 6).alias("west"))
+    return read.select("GEOID", "NAME").join(vertices, "GEOID")
+
+
+@query(f"WITH {_POINTS}, {_ZONES} SELECT zone::VARCHAR AS zone FROM z WHERE zone = 3")
+def region_by_name(spark, sf_dir):
+    zones = _embedding_zones(_embedding_points(spark, sf_dir)).withColumn("NAME", F.concat(F.lit("zone "), F.col("zone").cast("string")))
+    return geo.select_region(zones, "zone 3").select(F.col("zone").cast("string").alias("zone"))
+
+
+@query(f"WITH {_LONLAT}, {_ALBERS} SELECT id AS zone, round(x, 3) AS x, round(y, 3) AS y FROM xy WHERE id >= 0")
+def zones_projected(spark, sf_dir):
+    at = [(F.col("user_id") % 50 - 120).cast("double").alias("x"), (F.col("event_id") % 25 + 25).cast("double").alias("y")]
+    return _rounded(geo.projected_vertices(_read(spark, sf_dir, "events").select(F.col("event_id").alias("zone"), *at)), "x", "y", digits=3)
+
+
+@query("SELECT p_size AS code, count(*)::BIGINT AS n FROM part GROUP BY 1")
+def class_raster(spark, sf_dir):
+    path = _new_path(spark, "classes")
+    cells = [F.lit(0).alias("row"), F.col("p_partkey").cast("int").alias("col"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("p_size").cast("double").alias("value")]
+    _read(spark, sf_dir, "part").select(*cells).write.parquet(path)
+    return files.read_pixels(spark, path).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT year, count(*)::BIGINT AS n, count(value)::BIGINT AS n_values, round(sum(value), 6) AS total FROM (SELECT 2020 + l_linenumber % 2 AS year, CASE WHEN l_quantity <> 7 THEN l_quantity END AS value FROM lineitem) GROUP BY 1")
+def yearly_rasters(spark, sf_dir):
+    path, rows = _new_path(spark, "rasters"), _read(spark, sf_dir, "lineitem")
+    for year in (2020, 2021):
+        cells = [F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("l_quantity").alias("value")]
+        rows.where(F.col("l_linenumber") % 2 == year - 2020).select(*cells).write.parquet(f"{path}/surplus_map_{year}")
+    read = files.read_yearly_rasters(spark, f"{path}/surplus_map_*", nodata=7.0)
+    return read.groupBy("year").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("SELECT c_custkey::VARCHAR AS FIPS, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS value FROM customer")
+def sheet_with_titles(spark, sf_dir):
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal").cast("string")))
+    # one file: a sheet is one value here, as it is one file where it comes from
+    sheet = _read(spark, sf_dir, "customer").agg(F.concat(F.lit("A title, with a comma\nFIPS,name,value\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    path = _new_path(spark, "sheet")
+    sheet.write.text(path)
+    return files.read_sheet(spark, f"{path}/*.txt", 1, schemas.both(schemas.strings("FIPS", "name"), schemas.doubles("value")))
+
+
+@query("SELECT s_suppkey::VARCHAR AS uid FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)")
+def sites_of_interest(spark, sf_dir):
+    path, sites = _new_path(spark, "of-interest"), _read(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(" ")).alias("uid"))
+    sinks.write_sites_of_interest(sites, _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("site_uid")), path)
+    return files.read_keyed_csv(spark, path, schemas.strings("uid"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM customer JOIN orders ON o_custkey = c_custkey) WHERE k = 1")
+def sorted_by_date(spark, sf_dir):
+    joined = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_orderdate")
+    return catalog.first_per_group(joined, "c_custkey", ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
 # ---------------------------------------------------------------- forecasts
 
 

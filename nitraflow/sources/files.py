@@ -49,9 +49,10 @@ def read_keyed_csv(spark: SparkSession, path: str, schema: T.StructType, sep: st
 
 
 def read_yearly_rasters(spark: SparkSession, pattern: str, nodata: float | None = None) -> DataFrame:
-    """Pixel tables whose file name ends in _<year>; nodata and NaN become null."""
+    """Pixel tables whose file name ends in _<year>, by its last token (null where that isn't a number); nodata and NaN become null."""
     rows = spark.read.schema(schemas.PIXELS).parquet(pattern)
-    year = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "Surplus_N_"), -1), r"^(\d+)", 1).cast("int")
+    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/part-"), 1), r"(\.\w+)+$", "")
+    year = F.element_at(F.split(stem, "_"), -1).try_cast("int")
     value = F.nanvl("value", F.lit(None).cast("double"))
     return rows.withColumn("year", year).withColumn("value", F.when(value != nodata, value) if nodata is not None else value)
 
@@ -71,11 +72,8 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, skip_rows: int, schema: T.StructType) -> DataFrame:
-    """A table whose header stands below skip_rows title rows. Lines are told apart by what they hold:
-    a title row has fewer cells than the schema, the header equals the schema's first name."""
-    cells = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), {"mode": "PERMISSIVE"})
-    rows = spark.read.text(path)
-    if skip_rows:
-        rows = rows.where(F.size(F.split("value", ",")) >= len(schema))
-    rows = rows.where(~F.regexp_replace("value", '"', "").startswith(schema[0].name + ","))
-    return rows.select(cells.alias("r")).select("r.*").where(F.col(schema[0].name).isNotNull())
+    """A table whose header stands below skip_rows title rows. A sheet is one file of bounded size: its lines are
+    numbered by its one task, and every line after the header that isn't empty is a row; cells that a row lacks are null."""
+    cells = F.from_csv("line", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), {"mode": "PERMISSIVE"})
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    return lines.where((F.col("at") > skip_rows) & (F.trim("line") != "")).select(cells.alias("r")).select("r.*")

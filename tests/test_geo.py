@@ -99,3 +99,8 @@ def test_downstream_with_a_cycle(spark):
     sites = spark.createDataFrame([("s3", 3), ("s4", 4), ("s9", 9)], "site_uid string, node int")
     assert sorted(map(tuple, geo.downstream_sites(regions, flows, sites).collect())) == [("q", "s4"), ("r", "s3"), ("r", "s4")]
     assert geo.area_map_units(geo.wkt_to_vertices(spark.createDataFrame([("m", HOLED)], "zone string, wkt string")), geo.wkt_to_edges(spark.createDataFrame([("big", "POLYGON((-1 -1, 9 -1, 9 9, -1 9, -1 -1))")], "zone string, wkt string"))).count() == 1
+
+
+def test_an_empty_collection(spark):
+    empty = spark.createDataFrame([], "zone long, feature string")
+    assert [r.collection for r in geo.feature_collection(empty).collect()] == ['{"type":"FeatureCollection","features":[]}']

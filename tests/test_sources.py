@@ -44,6 +44,12 @@ def test_sheet_and_rasters(spark, tmp_path):
     spark.createDataFrame([(0, 0, 1.0, 2.0, -99.0), (0, 1, 2.0, 2.0, 7.0)], schemas.PIXELS).write.parquet(str(tmp_path / "Surplus_N_2017.parquet"))
     found = files.read_yearly_rasters(spark, str(tmp_path / "Surplus_N_*.parquet"), nodata=-99.0).orderBy("col").collect()
     assert [(r.year, r.value) for r in found] == [(2017, None), (2017, 7.0)]
+    for stem in ("crop_2002", "no_year"):
+        spark.createDataFrame([(0, 0, 1.0, 2.0, 5.0)], schemas.PIXELS).write.parquet(str(tmp_path / f"{stem}.parquet"))
+        assert [r.year for r in files.read_yearly_rasters(spark, str(tmp_path / f"{stem}.parquet")).collect()] == [2002 if stem == "crop_2002" else None]
+    (tmp_path / "u.csv").write_text("Title, with, commas\nFIPS,Name,Value\n01001\n01003,C,2\n")
+    rows = files.read_sheet(spark, str(tmp_path / "u.csv"), 1, schemas.both(schemas.strings("FIPS", "Name"), schemas.doubles("Value"))).collect()
+    assert [tuple(r) for r in rows] == [("01001", None, None), ("01003", "C", 2.0)]
 
 
 def test_responses(spark):
