@@ -61,7 +61,7 @@ def word_counts(df: DataFrame, settings: HmmSettings) -> DataFrame:
     def counted(batches):
         for b in batches:
             data, offsets = utf8(b.column(0))
-            for lo, hi in row_ranges(offsets, 16 << 20):
+            for lo, hi in row_ranges(offsets, 4 << 20):
                 part = data[offsets[lo] : offsets[hi]]
                 h, starts, ends, _ = words(part, offsets[lo : hi + 1] - offsets[lo])
                 h, at, c = np.unique(h, return_index=True, return_counts=True)

@@ -53,8 +53,8 @@ class JaccardSettings:
     least_coordinates: int = 64
     short_coordinates: int = 256
     leaf: int = 16
-    tile_sets: int = 8192
-    tile_shingles: int = 4 << 20
+    tile_sets: int = 4096
+    tile_shingles: int = 2 << 20
     bucket_keys: int = 1 << 18
     filter_bits: int = 1 << 26
 
@@ -214,7 +214,7 @@ def short_width(size: int, settings: JaccardSettings) -> int:
 def same_width(points: list[np.ndarray]) -> np.ndarray:
     """The points, folded to the smallest width among them."""
     width = min(map(len, points))
-    return small(np.stack([folded(p, width) for p in points]))
+    return np.stack([small(folded(p, width)) for p in points])
 
 
 def small(points: np.ndarray) -> np.ndarray:
@@ -377,7 +377,7 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings)
 
 def _verified(sets: list[np.ndarray], settings: JaccardSettings) -> np.ndarray:
     width = width_of(sum(map(len, sets)) // len(sets), settings)
-    return link_sets(small(np.stack([point(s, width) for s in sets])), sets, settings)
+    return link_sets(np.stack([small(point(s, width)) for s in sets]), sets, settings)
 
 
 def linked_sets(df: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:

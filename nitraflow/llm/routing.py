@@ -77,7 +77,7 @@ def _lists(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["root", "node", "pivot", "several"])
 
 
-def lists_by_key(df: DataFrame, keyed: Keyed, n_buckets: int, limit: int = 64 << 20) -> DataFrame:
+def lists_by_key(df: DataFrame, keyed: Keyed, n_buckets: int, limit: int = 16 << 20) -> DataFrame:
     """The lists of owners that share a key. keyed gives the keys of a batch and their owners; each
     travels once a batch, packed with the others of its bucket. Buckets are sorted, not gathered."""
 

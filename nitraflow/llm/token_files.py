@@ -53,7 +53,7 @@ class ChunkEncoder:
     by its 64-bit hash, up to `held` chunks.
     """
 
-    def __init__(self, path: str, held: int = 2_000_000, fresh: int = 100_000) -> None:
+    def __init__(self, path: str, held: int = 500_000, fresh: int = 50_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,7 +176,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, key: str = "doc_
         shard, at = TaskContext.get().partitionId(), 0
         for b in batches:
             data, offsets = utf8(b.column(1))
-            for lo, hi in row_ranges(offsets, 2 << 20):
+            for lo, hi in row_ranges(offsets):
                 ids, first = encoder(tokenizer).encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id)
                 n = hi - lo
                 lists = pa.ListArray.from_arrays(first.astype(np.int32), ids)

@@ -61,7 +61,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def row_ranges(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_ranges(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most limit bytes each; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
