@@ -32,7 +32,7 @@ FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_
 class MilSettings:
     passage_words: int = 64
     max_docs: int = 4000
-    max_passages: int = 512
+    max_passages: int = 128
     hidden: int = 32
     gate: int = 16
     epochs: int = 40

@@ -100,7 +100,7 @@ def repetition_coverage(df: DataFrame, text: str = "text", out: str = "quality",
         data, offsets = utf8(column)
         parts = [measure(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], rules) for lo, hi in row_ranges(offsets)]
         if not parts:
-            return pa.array([], pa.struct([pa.field("n_words", pa.int64())]))
+            parts = [measure(data, offsets, rules)]
         x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         rows = len(x["n_words"])
         lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * n, x.pop("ngram_shares").ravel())

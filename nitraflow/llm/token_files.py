@@ -13,6 +13,7 @@ document ends with `end_id`. Repeated ids are kept as rows of their own.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass
@@ -45,9 +46,9 @@ class TokenLayout:
 
 
 class ChunkEncoder:
-    """Encodes texts with a byte-level tokenizer, chunk by chunk.
+    """Encodes texts with a tokenizer, chunk by chunk.
 
-    The tokenizer's own splitting always starts a new piece at a space before a non-space, between
+    The splitting of a plain byte-level tokenizer always starts a new piece at a space before a non-space, between
     a letter and a full stop, comma or the like, and around a single line end. So the ids of a text
     are those of its chunks cut there, in order. Chunks recur: each is encoded once and found again
     by its 64-bit hash, up to `held` chunks.
@@ -58,6 +59,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.held, self.fresh = Tokenizer.from_file(path), held, fresh
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split = told.get("pre_tokenizer") or {}
+        # with any other splitting a text is encoded as one chunk
+        self.cuts = told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +98,7 @@ class ChunkEncoder:
         """(ids, first): the ids of row d, end_id last, are ids[first[d]:first[d+1]]."""
         if len(self.at) > self.held:
             self.clear()
-        starts = np.flatnonzero(_cuts(data, offsets))
+        starts = np.flatnonzero(_cuts(data, offsets)) if self.cuts else np.unique(offsets[:-1][np.diff(offsets) > 0])
         ends = np.append(starts[1:], len(data))
         hashes, back = np.unique(span_hashes(data, starts, ends, RAW), return_inverse=True)
         index = self.known(hashes)

@@ -53,8 +53,14 @@ def round_trip(spark, df, path):
 
 def test_round_trip(spark, sample_docs, docs_of, tmp_path):
     round_trip(spark, sample_docs, str(tmp_path / "a"))
-    texts = [t for t in AWKWARD if t is None or len(t) < 1000]
-    round_trip(spark, docs_of([(i // 2, t, "s") for i, t in enumerate(texts)]), str(tmp_path / "b"))
+    round_trip(spark, docs_of([(i // 2, t, "s") for i, t in enumerate(AWKWARD)]), str(tmp_path / "b"))
+
+
+def test_other_tokenizers_encode_whole_texts():
+    other = token_files.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello, world.  It's 12 o'clock\nnow", "", None, " a  b "]
+    ids, first = other.encode(*utf8(pa.array(texts, pa.string())), 2)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [[*other.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
 def test_selective_reads_and_encodings(spark, sample_docs, tmp_path):
