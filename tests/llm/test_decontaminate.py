@@ -1,7 +1,11 @@
+import re
+
+import duckdb
 import pytest
 from conftest import AWKWARD
 
 from nitraflow.llm import decontaminate as D
+from nitraflow.llm import oracles
 
 ITEM = "If Anna buys 12 apples for 30 dollars and then Anna gives 5 apples to her brother Paul how many apples are left"
 PLAIN = "the quick brown fox jumps over the lazy dog while seven small birds watch from an old oak tree nearby"
@@ -31,23 +35,42 @@ def test_awkward_texts_and_tables(docs_of, items, spark):
     assert found(docs_of([PLAIN, PLAIN]), items) == [(0, 2, False, 0), (1, 2, False, 0)]
 
 
-def test_equals_brute_force(sample_docs, spark):
-    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-
-    def words(t):
-        import re
-
-        return [w for w in re.split(r"\s+", re.sub(D.PUNCTUATION, "", t).lower()) if w]
+def changed(text, k):
+    """The item with other names and numbers, one for one."""
+    given = sorted({w for w in re.findall(r"[^\W\d_]+", text) if w[0].isupper() and w[1:2].islower()})
+    other = {w: f"Nam{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i, w in enumerate(given)}
+    return re.sub(r"[^\W\d_]+|\d+", lambda m: other.get(m[0], str(int(m[0]) + 7) if m[0].isdigit() else m[0]), text)
 
-    def windows(w):
-        return [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
 
-    bench = {r["item_id"]: windows(words(r["text"])) for r in items.collect()}
+def test_planted_items_are_caught_and_all_equals_sql(sample_docs, spark, tmp_path):
+    """Verbatim, lower-cased, re-parameterised and half items planted in real documents, against the SQL over word tuples."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    items += [(1000 + i, f"In {1990 + i} Anna rode {i + 3} km to Paul and paid {i} dollars for {i * 7 + 2} apples that Paul gave to Maria and {i + 40} more which nobody wanted") for i in range(5)]
+    rows = [r.asDict() for r in sample_docs.orderBy("doc_id").limit(120).collect()]
+    clean = {r["doc_id"]: r["text"] for r in rows}
     want = set()
-    for r in sample_docs.collect():
-        held = set(windows(words(r["text"])))
-        want |= {(r["doc_id"], i) for i, w in bench.items() if sum(x in held for x in w) >= 0.5 * len(w)}
-    assert {(d, i) for d, i, *_ in found(sample_docs, items)} == want and want
+    for k, (item_id, text) in enumerate(items):
+        r = rows[2 * k % 110]
+        planted = (text, text.lower(), changed(text, k % 26), " ".join(text.split()[: len(text.split()) * 2 // 3]))[k % 4]
+        words = (r["text"] or "").split()
+        r["text"] = " ".join([*words[: len(words) // 2], planted, *words[len(words) // 2 :]])
+        want.add((r["doc_id"], item_id))
+    schema = sample_docs.schema
+    df, bench = spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema), spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents"), bench.write.parquet(f"{tmp_path}/benchmark")
+    ours = D.contaminated(df, bench)
+    got = {(r["doc_id"], r["item_id"]): r for r in ours.collect()}
+    assert want <= set(got)
+    before = D.contaminated(spark.createDataFrame([(i, t) for i, t in clean.items()], "doc_id long, text string"), bench).collect()
+    made = {d for d, i in want if i >= 1000}  # these items are each other's changed copies
+    assert {x for x in set(got) - want if not (x[0] in made and x[1] >= 1000)} <= {(r["doc_id"], r["item_id"]) for r in before}
+    assert sum(r["changed_slots"] > 0 for r in got.values()) >= len(items) // 8
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    theirs = con.sql(oracles.decontaminate_sql(D.TemplateSettings())).to_arrow_table().select(ours.columns).to_pylist()
+    plain = lambda rs: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rs)
+    assert plain(map(tuple, got.values())) == plain(r.values() for r in theirs)
 
 
 def test_both_join_ways_agree(sample_docs, spark):
