@@ -88,10 +88,11 @@ def select_region(zones: DataFrame, name: str, column: str = "NAME") -> DataFram
 
 
 def cell_size(edges: DataFrame) -> float:
-    """An eighth of the median zone height."""
-    heights = edges.groupBy("zone").agg((F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"))
-    h = heights.agg(F.percentile_approx("h", 0.5)).first()[0]
-    return max(h or 0.0, 1e-9) / 8
+    """An eighth of the median zone height, but so large that no zone covers more than 512 by 512 cells."""
+    extent = lambda a: F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2"))
+    spans = edges.groupBy("zone").agg(extent("y").alias("h"), F.greatest(extent("x"), extent("y")).alias("most"))
+    h, most = spans.agg(F.percentile_approx("h", 0.5), F.max("most")).first()
+    return max((h or 0.0) / 8, (most or 0.0) / 512, 1e-9)
 
 
 def _crossing(x1: Column, y1: Column, x2: Column, y2: Column, y: Column) -> Column:

@@ -35,8 +35,9 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], interval: str, agg:
     largest value, as rows have no order. Rows without key or time are left out. Timestamps with and
     without time zone keep their type; the session's zone should be UTC.
 
-    One shuffle on the keys and bins after partial aggregation; the first day of each series comes from
-    an aggregate, so a series with a large share of the rows isn't gathered in one task.
+    One shuffle on the keys and bins after partial aggregation. Steps that don't divide a day also join
+    the rows with the first day of their series: by broadcast while there are few series, else by a shuffle of the
+    rows on the keys, so there 'epoch' is the better origin for series with a large share of all rows.
     """
     fn = AGGREGATES[agg] if isinstance(agg, str) else agg
     kind = dict(df.dtypes)[ts]
