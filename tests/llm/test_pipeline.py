@@ -1,25 +1,22 @@
-import re
-
 import corpus_pipeline
+import duckdb
 from test_jaccard_join import brute as components
 from test_token_files import whole
 
-from nitraflow.llm import decontaminate, quality_rules
+from nitraflow.llm import oracles
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages_by_brute_force(spark, sample_docs):
     docs, kept = sample_docs, {r["doc_id"]: r["text"] for r in sample_docs.collect()}
-    wanted = []
-    judged = {r["doc_id"]: r["quality"]["kept"] for r in quality_rules.repetition_coverage(sample_docs).collect()}
-    wanted.append({i for i in kept if judged[i]})
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    sql = oracles.oracle_sql()
+    wanted = [{r[0] for r in con.execute(f"SELECT doc_id FROM ({sql['op10_quality_rules']}) WHERE kept").fetchall()}]
     wanted.append({i for i, _, c in components([(i, kept[i]) for i in sorted(wanted[0])], 5, 80) if i == c})
-    bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    words = lambda t: [w for w in re.split(r"\s+", re.sub(decontaminate.PUNCTUATION, "", t).lower()) if w]
-    windows = lambda t: [tuple(w[i : i + 8]) for w in [words(t)] for i in range(len(w) - 7)]
-    leaked = {i for i in wanted[1] for b in bench if sum(x in set(windows(kept[i])) for x in windows(b)) >= 0.5 * len(windows(b))}
-    wanted.append(wanted[1] - leaked)
+    wanted.append(wanted[1] - {r[0] for r in con.execute(f"SELECT doc_id FROM ({sql['op4_decontaminate']})").fetchall()})
     for (_, stage), want in zip(corpus_pipeline.STAGES[:3], wanted, strict=False):
         docs = stage(spark, docs, SF)
         assert docs.columns == sample_docs.columns
