@@ -159,7 +159,7 @@ NOTICES = {
     "# SPDX-License-Identifier: LGPL-2.1": {"lgpl"},
     "Released under the MIT License. All rights reserved.": {"mit", "reserved"},
     "Licensed under the Apache\nLicense, Version 2.0": {"apache"},
-    "This work is released into the\n\npublic domain.": set(),
+    "This work is\n\nreleased into the public domain.": set(),
     "the software he wrote was provided without charge to any person who asked": set(),
     "rights of way are reserved for all pedestrians in the public park": set(),
     "Permission was granted to the council to use the field for any purpose, with or without a fee": set(),
