@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import PhraseRules
 from .decontaminate import UNITS, WORDS, TemplateSettings
 from .quality_rules import RepetitionRules
 
@@ -124,5 +125,36 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 """
 
 
+def collocations_sql(s: PhraseRules) -> str:
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS n
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM pieces, (SELECT unnest(generate_series(1, {s.max_words})) AS size) WHERE len(w) >= size)
+  GROUP BY ALL
+), totals AS (SELECT lang, sum(n)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang),
+frequent AS (SELECT * FROM grams WHERE n >= {s.support}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, k, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.n) // (x.n + y.n))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS p, unnest(generate_series(1, size - 1)) AS k FROM frequent WHERE size > 1) c
+  JOIN frequent x ON x.lang = c.lang AND x.size = k AND x.phrase = array_to_string(p[1 : k], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.size = c.size - k AND y.phrase = array_to_string(p[k + 1 : c.size], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, n, size, p, k, unnest(generate_series(1, size - k + 1)) AS i
+  FROM (SELECT *, string_split(phrase, ' ') AS p, unnest(generate_series(2, size - 1)) AS k FROM frequent WHERE size > 2)
+), longer AS (
+  SELECT lang, array_to_string(p[i : i + k - 1], ' ') AS phrase, max(n) AS most FROM parts GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN longer o ON o.lang = w.lang AND o.phrase = w.phrase WHERE o.most IS NULL OR 100 * o.most < {s.cover_percent} * a
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= {s.keep}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": JACCARD, "op4_decontaminate": decontaminate_sql(TemplateSettings()), "op10_quality_rules": quality_sql(RepetitionRules())}
+    return {"op2_jaccard_join": JACCARD, "op4_decontaminate": decontaminate_sql(TemplateSettings()), "op10_quality_rules": quality_sql(RepetitionRules()), "op12_collocations": collocations_sql(PhraseRules())}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm_lm, jaccard_join, license_scan, line_dedup, mil_quality, mixing, oracles, quality_rules, secret_scan, token_alignment, token_files
+from . import bpe, collocations, decontaminate, hmm_lm, jaccard_join, license_scan, line_dedup, mil_quality, mixing, oracles, quality_rules, secret_scan, token_alignment, token_files
 from .frames import hash_part, shared_folder
 
 
@@ -93,15 +93,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_scores(_documents(spark, sf_dir).select("doc_id", "text"), settings)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    tokens = bpe.encode_texts(_documents(spark, sf_dir).select("doc_id", "text"), *files).select("doc_id", F.col("tokens.n_tokens").alias("n_tokens"), F.col("tokens.ids").alias("ids"))
-    both = bpe.packed_ids(bpe.decode_ids(tokens, *files)).drop("ids")
-    return both.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "coded.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op5_line_dedup, op6_token_files, op7_mil_quality, op8_hmm_scores, op9_license_scan, op10_quality_rules, op11_token_alignment, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_secret_scan, op4_decontaminate, op5_line_dedup, op6_token_files, op7_mil_quality, op8_hmm_scores, op9_license_scan, op10_quality_rules, op11_token_alignment, op12_collocations, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
