@@ -16,8 +16,8 @@ doesn't hold raise an error when decoded. No shuffle; memory follows the Arrow b
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +44,11 @@ class RankQueue:
         shift = max(1, (max(n_ranks - 1, 1).bit_length() + 1) // 2)
         bits = [1 << i for i in range(1 << shift)]
         low = len(bits) - 1
-        words, buckets, top = [0] * ((n_ranks >> shift) + 1), {}, 0
+        words, buckets, top = [0] * ((n_ranks >> shift) + 1), [None] * n_ranks, 0
 
         def push(rank: int, position: int) -> None:
             nonlocal top
-            bucket = buckets.get(rank)
+            bucket = buckets[rank]
             if bucket is None:
                 buckets[rank] = position
                 word = rank >> shift
@@ -75,7 +75,7 @@ class RankQueue:
                 bucket, position = position, heappop(position)
                 if bucket:
                     return rank, position
-            del buckets[rank]
+            buckets[rank] = None
             held ^= bit
             words[word] = held
             if not held:
@@ -88,7 +88,7 @@ class RankQueue:
 class BytePairCodec:
     """The tokens of a rank file (a base64 token and its rank per line), with a splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, held: int = 250_000) -> None:
+    def __init__(self, path: str, pattern: str, held: int = 150_000) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
@@ -203,39 +203,62 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return _LOADED[key]
 
 
-def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """df with a struct column of n_tokens and ids of each text."""
+def encoded_column(column: pa.Array, ranks: str, pattern: str) -> pa.Array:
+    """(n_tokens, ids) of each text of an Arrow column."""
+    encode = codec(ranks, pattern).encode
+    sizes, parts = [], []
+    for lo in range(0, len(column), 500):
+        held = [encode(t) if t else b"" for t in column.slice(lo, 500).to_pylist()]
+        sizes += [len(p) // 4 for p in held]
+        parts.append(b"".join(held))
+    n = np.array(sizes, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), "<i4"))
+    return pa.StructArray.from_arrays([pa.array(n), lists], names=["n_tokens", "ids"])
 
-    def encoded(column: pa.Array) -> pa.Array:
-        encode = codec(ranks, pattern).encode
-        parts = [encode(t) if t else b"" for t in column.to_pylist()]
-        n = np.array([len(p) // 4 for p in parts], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), "<i4"))
-        return pa.StructArray.from_arrays([pa.array(n), lists], names=["n_tokens", "ids"])
 
-    return with_struct(df, text, out, TOKENS, encoded)
+def decoded_column(column: pa.Array, ranks: str, pattern: str) -> pa.Array:
+    """The bytes that each list of ids of an Arrow column stands for."""
+    decode = codec(ranks, pattern).decode
+    return pa.array([decode(v.values.to_numpy().tolist()) if v.is_valid else b"" for v in column], pa.binary())
 
 
-def decode_ids(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that the ids of each row stand for; a null list is empty."""
+def packed_column(column: pa.Array) -> pa.Array:
+    """The ids of each list of an Arrow column as little-endian unsigned 32-bit integers."""
+    if column.null_count:
+        column = pa.array([v or [] for v in column.to_pylist()], pa.list_(pa.int32()))
+    values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    offsets = (4 * (offsets - offsets[0])).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def encode_texts(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """df with a struct column of n_tokens and ids of each text."""
+    return with_struct(df, text, out, TOKENS, lambda column: encoded_column(column, ranks, pattern))
 
-    def decoded(column: pa.Array) -> pa.Array:
-        decode = codec(ranks, pattern).decode
-        return pa.array([decode(v) if v else b"" for v in column.to_pylist()], pa.binary())
 
-    return with_struct(df, ids, out, T.BinaryType(), decoded)
+def decode_ids(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the bytes that the ids of each row stand for; a null list is empty."""
+    return with_struct(df, ids, out, T.BinaryType(), lambda column: decoded_column(column, ranks, pattern))
 
 
 def packed_ids(df: DataFrame, ids: str = "ids", out: str = "packed") -> DataFrame:
     """df with the ids of each row as little-endian unsigned 32-bit integers; a null list is empty."""
+    return with_struct(df, ids, out, T.BinaryType(), packed_column)
+
+
+def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """df with a struct column of n_tokens, ids_sha256 and decoded_sha256: the digests of what packed_ids and
+    decode_ids give for the ids of encode_texts, in one pass."""
+    fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    digests = lambda column: pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in column], pa.string())
 
-    def packed(column: pa.Array) -> pa.Array:
-        if column.null_count:
-            column = pa.array([v or [] for v in column.to_pylist()], pa.list_(pa.int32()))
-        values = column.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        offsets = column.offsets.to_numpy().astype(np.int64)
-        offsets = (4 * (offsets - offsets[0])).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    def both(column: pa.Array) -> pa.Array:
+        parts = []
+        for lo in range(0, max(len(column), 1), 500):
+            n, ids = encoded_column(column.slice(lo, 500), ranks, pattern).flatten()
+            parts.append(pa.StructArray.from_arrays([n, digests(packed_column(ids)), digests(decoded_column(ids, ranks, pattern))], names=fields.names))
+        return pa.concat_arrays(parts)
 
-    return with_struct(df, ids, out, T.BinaryType(), packed)
+    return with_struct(df, text, out, fields, both)
