@@ -11,9 +11,10 @@ A space after a visible character starts a new token in both, so the matrices ar
 the chunks between such spaces. Chunks recur: each block is multiplied once per worker, for as long as
 it is remembered, and the rows of a text are its blocks in order.
 
-The counts of linked id pairs cover the whole corpus: distinct pairs per document are summed in each
-task and then by Spark. Scores need the counts again: the `heavy` most frequent pairs, a bounded
-number, are broadcast, and the links of all other pairs are joined by pair.
+Texts are encoded once; each row's distinct linked id pairs are written as a table. The counts of pairs
+cover the whole corpus: they are summed in each task and then by Spark. Scores need the counts again:
+the `heavy` most frequent pairs, a bounded number, are broadcast, and the links of all other pairs are
+joined by pair.
 
 Texts that are null, empty, or that a tokenizer doesn't reproduce byte by byte have no tokens: zeros and
 empty lists. Repeated rows count as documents of their own; extra columns are left alone.
@@ -29,11 +30,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import free_name, with_struct, written
+from .frames import discard, free_name, with_struct, written
 from .wordhash import row_sums
 
 
@@ -42,7 +44,7 @@ class AlignSettings:
     a_path: str
     b_path: str
     heavy: int = 400_000  # id pairs whose counts are sent to every task
-    held_chunks: int = 200_000
+    held_chunks: int = 300_000
     piece_chars: int = 1 << 20  # text handled at once
 
 
@@ -125,6 +127,8 @@ class Blocks:
             raise ValueError("pieces of the second tokenizer hold spaces inside, so texts can't be cut at spaces")
         self.space = self.b.piece_to_id("▁")
         self.n_b = len(pieces)
+        self.a_length, self.b_length = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.numerals = pa.array([str(i) for i in range(max(len(self.a_bytes), self.n_b))])
         self.clear()
 
     def clear(self) -> None:
@@ -137,77 +141,113 @@ class Blocks:
         self.pair_at = np.zeros(1, np.int64)
         self.pairs = none  # a id * n_b + b id of every link
         self.bytes = none  # bytes that the link's tokens share
-        self.seen_at = np.zeros(1, np.int64)
-        self.seen = none  # each chunk's distinct pairs
+        self.used = none  # how often each chunk was met
+
+    def keep_used(self) -> None:
+        """Forgets the chunks met once, and beyond half of what may be held the least used ones."""
+        most = self.settings.held_chunks // 2
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[:most]])
+        chunks, order = list(self.index), kept.tolist()  # the index holds them in order
+        self.index = {chunks[i]: k for k, i in enumerate(order)}
+        self.valid, self.text = [self.valid[i] for i in order], [self.text[i] for i in order]
+        self.sizes, self.used = self.sizes[kept], self.used[kept] // 2
+        of, at = _ranges(self.pair_at, kept)
+        self.pairs, self.bytes, self.pair_at = self.pairs[at], self.bytes[at], np.searchsorted(of, np.arange(len(kept) + 1))
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chunk, first, valid): the chunks of row r are chunk[first[r]:first[r+1]], none where it isn't valid."""
         if len(self.index) > self.settings.held_chunks:
-            self.clear()
+            self.keep_used()
         found = [_CHUNK.findall(f" {t}") if t else [] for t in texts]
         index = self.index
         fresh = list({c for row in found for c in row if c not in index})
         for lo in range(0, len(fresh), 50_000):
             self.learn(fresh[lo : lo + 50_000])
-        rows = [[index[c] for c in row] for row in found]
-        valid = self.valid
-        kept = [bool(r) and all([valid[i] for i in r]) for r in rows]
-        rows = [r if k else [] for r, k in zip(rows, kept, strict=True)]
-        first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return np.fromiter(chain.from_iterable(rows), np.int64, int(first[-1])), first, np.array(kept, bool)
-
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # B writes a space before what it is given; it gives nothing for nothing, where the chunk is that space
-        b = [ids if c != " " else [self.space] for ids, c in zip(self.b.encode([c[1:] for c in chunks], num_threads=1), chunks, strict=True)]
-        return a, b
+        every = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64)
+        self.used += np.bincount(every, minlength=len(self.used))
+        first = np.concatenate([[0], np.cumsum([len(r) for r in found])]).astype(np.int64)
+        n = np.diff(first)
+        broken = row_sums(~np.array(self.valid, bool)[every], first) if len(every) else np.zeros(len(n), np.int64)
+        valid = (n > 0) & (broken == 0)
+        if not valid.all():
+            every = every[np.repeat(valid, n)]
+            first = np.concatenate([[0], np.cumsum(np.where(valid, n, 0))])
+        return every, first, valid
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """(A ids, their ends by chunk, B ids, theirs, valid). Chunks that end in a visible character are encoded as one text:
+        where they meet is a cut of the kind that makes chunks. If bytes differ there, or for other chunks, each alone."""
+        ids: tuple[list[int], list[int]] = ([], [])
+        at: tuple[list[int], list[int]] = ([0], [0])
+        valid: list[bool] = []
+        tables = (self.a_bytes, self.b_bytes)
+
+        def add(part: list[str]) -> None:
+            text = "".join(part)
+            data = text.encode()
+            # B writes a space before what it is given; it gives nothing for nothing, where the chunk is that space
+            both = (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]) if text != " " else [self.space])
+            pieces = [[t[i] for i in side] for t, side in zip(tables, both, strict=True)]
+            if b"".join(pieces[0]) == data == b"".join(pieces[1]):
+                ends = np.cumsum([len(c.encode()) for c in part])
+                for side, own, held, starts in zip(both, pieces, ids, at, strict=True):
+                    starts += (np.searchsorted(np.cumsum([len(t) for t in own]), ends) + 1 + len(held)).tolist()
+                    held += side
+                valid.extend([True] * len(part))
+            elif len(part) == 1:
+                for held, starts in zip(ids, at, strict=True):
+                    starts.append(len(held))
+                valid.append(False)
+            else:
+                for c in part:
+                    add([c])
+
+        lo = 0
+        while lo < len(chunks):
+            hi = lo + 1
+            if not chunks[lo][-1].isspace():
+                while hi < len(chunks) and hi < lo + 500 and not chunks[hi][-1].isspace():
+                    hi += 1
+            add(chunks[lo:hi])
+            lo = hi
+        return np.array(ids[0], np.int64), np.array(at[0], np.int64), np.array(ids[1], np.int64), np.array(at[1], np.int64), valid
 
     def learn(self, chunks: list[str]) -> None:
-        a, b = self.encode(chunks)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        valid = [b"".join([a_bytes[i] for i in x]) == (c := t.encode()) == b"".join([b_bytes[i] for i in y]) for t, x, y in zip(chunks, a, b, strict=True)]
-        a = [x if ok else [] for x, ok in zip(a, valid, strict=True)]
-        b = [y if ok else [] for y, ok in zip(b, valid, strict=True)]
-        a_at, b_at = (np.concatenate([[0], np.cumsum([len(x) for x in side])]) for side in (a, b))
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(side), np.int64, int(at[-1])) for side, at in ((a, a_at), (b, b_at)))
-        a_spans = spans_matrix(np.array([len(a_bytes[i]) for i in a_ids], np.int64))
-        b_spans = spans_matrix(np.array([len(b_bytes[i]) for i in b_ids], np.int64))
+        a_ids, a_at, b_ids, b_at, valid = self.encode(chunks)
+        a_spans, b_spans = spans_matrix(self.a_length[a_ids]), spans_matrix(self.b_length[b_ids])
         links = product(a_spans, b_spans.transposed())
         shared_ends = np.intersect1d(a_spans.start[1:], b_spans.start[1:], assume_unique=True)
         a_groups, b_groups = (Csr(np.arange(len(s.start)), np.searchsorted(shared_ends, s.start[1:]), len(shared_ends)) for s in (a_spans, b_spans))
         shared = product_row_sizes(a_groups, b_groups.transposed())
-        a_row = np.repeat(np.arange(len(chunks)), np.diff(a_at))
-        group_chunk = a_row[np.searchsorted(a_spans.start[1:], shared_ends)]
+        every = np.arange(len(chunks) + 1)
+        a_row = np.repeat(every[:-1], np.diff(a_at))
+        group_at = np.searchsorted(a_row[np.searchsorted(a_spans.start[1:], shared_ends)], every)
         link_token = links.row_of()
         link_at = links.start[a_at]
         pairs = a_ids[link_token] * self.n_b + b_ids[links.column]
-        seen = np.unique(np.stack([a_row[link_token], pairs]), axis=1) if len(pairs) else np.zeros((2, 0), np.int64)
-        every = np.arange(len(chunks) + 1)
-        sizes = np.stack([np.diff(a_at), np.diff(b_at), np.bincount(group_chunk, minlength=len(chunks)), np.diff(link_at), row_sums(shared, a_at)], 1)
+        sizes = np.stack([np.diff(a_at), np.diff(b_at), np.diff(group_at), np.diff(link_at), row_sums(shared, a_at)], 1)
 
         base = len(self.valid)
         self.index.update(zip(chunks, range(base, base + len(chunks)), strict=True))
         self.valid += valid
-        self.text += self._group_texts(a, b, a_groups.column, b_groups.column)
+        self.text += self._group_texts(a_ids, a_groups.column, b_ids, b_groups.column, group_at)
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + link_at[1:]])
         self.pairs, self.bytes = np.concatenate([self.pairs, pairs]), np.concatenate([self.bytes, links.value])
-        self.seen_at = np.concatenate([self.seen_at, self.seen_at[-1] + np.searchsorted(seen[0], every)[1:]])
-        self.seen = np.concatenate([self.seen, seen[1]])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
 
-    @staticmethod
-    def _group_texts(a: list[list[int]], b: list[list[int]], a_group: np.ndarray, b_group: np.ndarray) -> list[bytes]:
+    def _group_texts(self, a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, group_at: np.ndarray) -> list[bytes]:
         """a1,a2|b1;a3|b2 for each chunk."""
-        out = []
-        groups_a, groups_b = iter(a_group.tolist()), iter(b_group.tolist())
-        for x, y in zip(a, b, strict=True):
-            by: dict[int, tuple[list[str], list[str]]] = {}
-            for i, g in zip(x, groups_a, strict=False):
-                by.setdefault(g, ([], []))[0].append(str(i))
-            for i, g in zip(y, groups_b, strict=False):
-                by[g][1].append(str(i))
-            out.append(";".join([f"{','.join(p)}|{','.join(q)}" for p, q in by.values()]).encode())
-        return out
+
+        def joined(rows: np.ndarray, parts: pa.Array, sep: str) -> pa.Array:
+            return pc.binary_join(pa.ListArray.from_arrays(rows.astype(np.int32), parts), sep)
+
+        every = np.arange(int(group_at[-1]) + 1)
+        sides = [joined(np.searchsorted(g, every), self.numerals.take(pa.array(ids)), ",") for ids, g in ((a_ids, a_group), (b_ids, b_group))]
+        groups = pc.binary_join_element_wise(*sides, "|")
+        return joined(group_at, groups, ";").cast(pa.binary()).to_pylist()
 
 
 _LOADED: dict[AlignSettings, Blocks] = {}
@@ -285,52 +325,74 @@ def align_texts(df: DataFrame, settings: AlignSettings, text: str = "text", out:
     return with_struct(df, text, out, ALIGNED, aligned)
 
 
-def link_counts(df: DataFrame, settings: AlignSettings, text: str = "text") -> DataFrame:
-    """(a_id, b_id, n_docs): in how many rows of df tokens of the two ids overlap."""
+SIZES = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
+LINKED = T.StructType([*[T.StructField(c, T.LongType()) for c in SIZES], T.StructField("groups_sha256", T.StringType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
+
+
+def linked_pairs(df: DataFrame, settings: AlignSettings, text: str = "text", out: str = "linked") -> DataFrame:
+    """df with a struct column: the sizes of each text's matrices, the digest of its groups, and its distinct linked id
+    pairs (A's id in the upper 32 bits, B's in the lower) with the number of their links."""
+
+    def linked(column: pa.Array) -> pa.Array:
+        held, texts, parts = blocks(settings), column.to_pylist(), []
+        for lo, hi in _pieces(texts, settings.piece_chars):
+            n = hi - lo
+            index, first, valid = held.rows(texts[lo:hi])
+            sums = [pa.array(row_sums(c, first)) for c in held.sizes[index].T]
+            groups, at, chunks = held.text, first.tolist(), index.tolist()
+            shas = [hashlib.sha256(b";".join([groups[i] for i in chunks[x:y]])).hexdigest() if ok else "" for x, y, ok in zip(at[:-1], at[1:], valid.tolist(), strict=True)]
+            # each chunk of a row once, with its number; then their pairs, local to the piece
+            row = np.repeat(np.arange(n), np.diff(first))
+            once, again = np.unique(row * max(len(held.valid), 1) + index, return_counts=True)
+            row, index = np.divmod(once, max(len(held.valid), 1))
+            of, spot = _ranges(held.pair_at, index)
+            names, local = np.unique(held.pairs[spot], return_inverse=True)
+            keys = row[of] * max(len(names), 1) + local
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            begins = np.flatnonzero(new)
+            times = np.add.reduceat(again[of][order], begins) if len(begins) else np.zeros(0, np.int64)
+            row, local = np.divmod(keys[begins], max(len(names), 1))
+            a, b = np.divmod(names[local], held.n_b)
+            offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((a << 32) | b, times)]
+            parts.append(pa.StructArray.from_arrays([*sums, pa.array(shas, pa.string()), *lists], names=LINKED.names))
+        kinds = [*[pa.int64()] * len(SIZES), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(LINKED.names, kinds, strict=True))))
+
+    return with_struct(df, text, out, LINKED, linked)
+
+
+def link_counts(linked: DataFrame, pairs: str = "linked.pairs") -> DataFrame:
+    """(pair, n_docs): in how many rows each id pair is linked; `linked` has the rows of linked_pairs."""
 
     def counted(batches):
-        held, sums, key = None, {}, []
-
-        def flush():
-            if key:
-                keys, inverse = np.unique(np.concatenate(key), return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate(sums["n"])).astype(np.int64)
-                a, b = np.divmod(keys, held.n_b)
-                key.clear()
-                sums["n"] = []
-                for lo in range(0, len(keys), 100_000):
-                    part = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[part].astype(np.int32)), pa.array(b[part].astype(np.int32)), pa.array(n[part])], names=["a_id", "b_id", "n_docs"])
-
-        sums["n"] = []
-        waiting = 0
-        for batch in batches:
-            held = held or blocks(settings)
-            texts = batch.column(0).to_pylist()
-            for lo, hi in _pieces(texts, settings.piece_chars):
-                index, first, _ = held.rows(texts[lo:hi])
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                n_chunks = len(held.valid)
-                once = np.unique(row * n_chunks + index)
-                row, index = np.divmod(once, max(n_chunks, 1))
-                of, at = _ranges(held.seen_at, index)
-                names, local = np.unique(held.seen[at], return_inverse=True)
-                distinct = np.unique(row[of] * max(len(names), 1) + local)
-                key.append(names)
-                sums["n"].append(np.bincount(distinct % max(len(names), 1), minlength=len(names)))
-                waiting += len(names)
-                if waiting > 3_000_000:
-                    yield from flush()
-                    waiting = 0
-        yield from flush()
-
-    found = df.select(F.col(text).cast("string").alias("text")).mapInArrow(counted, "a_id int, b_id int, n_docs long")
-    return found.groupBy("a_id", "b_id").agg(F.sum("n_docs").alias("n_docs"))
-
-
-def _heavy(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(a_id, b_id, n_docs, best) of the most frequent pairs, at most `most` of them, and the count from which all are
-    among them. The count is found in a histogram of eighths of powers of two, so no ordering of all pairs is needed."""
+        names, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for last, batch in _with_last(batches):
+            if batch is not None:
+                keys, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+                names, inverse = np.unique(np.concatenate([names, keys]), return_inverse=True)
+                sums = np.bincount(inverse, weights=np.concatenate([sums, n]), minlength=len(names)).astype(np.int64)
+            if len(names) and (last or len(names) > 2_000_000):
+                for lo in range(0, len(names), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 100_000]), pa.array(sums[lo : lo + 100_000])], names=["pair", "n_docs"])
+                names, sums = names[:0], sums[:0]
+
+    return linked.select(F.col(pairs).alias("pairs")).mapInArrow(counted, "pair long, n_docs long").groupBy("pair").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def _with_last(batches):
+    """(whether it is the end, batch): every batch, then None."""
+    for b in batches:
+        yield False, b
+    yield True, None
+
+
+def _heavy(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, n_docs, is_best) of the most frequent pairs in ascending order, at most `most` of them. From which count on they
+    all fit is found in a histogram of eighths of powers of two, so no ordering of all pairs is needed."""
     level = F.floor(F.log2("n_docs") * 8)
     histogram = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("n_docs").alias("least")).collect(), reverse=True)
     total, least = 0, None
@@ -339,12 +401,13 @@ def _heavy(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
         if total > most:
             break
         least = r["least"]
-    if least is None:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.iinfo(np.int64).max
-    t = counts.where(F.col("n_docs") >= least).select("a_id", "b_id", "n_docs", "is_best").toArrow()
-    a, b, n = (t.column(c).to_numpy().astype(np.int64) for c in ("a_id", "b_id", "n_docs"))
-    return a, b, np.where(t.column("is_best").to_numpy(), -n, n), int(least)
+    t = counts.where(F.col("n_docs") >= least if least is not None else F.lit(False)).select("pair", "n_docs", "is_best").toArrow()
+    pair, n, best = (t.column(c).to_numpy() for c in ("pair", "n_docs", "is_best"))
+    order = np.argsort(pair)
+    return pair[order], n[order], best[order]
+
+
+SCORED = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_best", "count_sum")], T.StructField("rest", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())])))])
 
 
 def alignment_scores(df: DataFrame, settings: AlignSettings, text: str = "text") -> DataFrame:
@@ -352,75 +415,39 @@ def alignment_scores(df: DataFrame, settings: AlignSettings, text: str = "text")
     n_best (links whose pair is among the most counted of its A id), count_sum (of the pairs' counts over
     links) and groups_sha256. Columns of those names that df has are replaced."""
     spark = df.sparkSession
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_shared", "n_best", "count_sum"]
-    pairs = written(link_counts(df, settings, text), "pairs")
-    best = pairs.groupBy("a_id").agg(F.max("n_docs").alias("best"))  # a row for each id of A's vocabulary at most
-    counts = pairs.join(F.broadcast(best), "a_id").select("a_id", "b_id", "n_docs", (F.col("n_docs") == F.col("best")).alias("is_best"))
-    a, b, n, _ = _heavy(counts, settings.heavy)
-    heavy = spark.sparkContext.broadcast((a, b, n))
-    fields = T.StructType([*[T.StructField(c, T.LongType()) for c in names], T.StructField("groups_sha256", T.StringType()), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("a_id", T.IntegerType()), T.StructField("b_id", T.IntegerType()), T.StructField("times", T.LongType())])))])
-    state: dict[str, object] = {}
-
-    def known(held: Blocks) -> tuple[np.ndarray, np.ndarray]:
-        """The signed count of each link of each chunk (negative: among the best, 0: not broadcast), by cumulated sums."""
-        if state.get("held") is not held.index or state["n"] != len(held.pairs):
-            if "keys" not in state:
-                x, y, z = heavy.value
-                order = np.argsort(x * held.n_b + y)
-                state["keys"], state["counts"] = (x * held.n_b + y)[order], z[order]
-            begin = state["n"] if state.get("held") is held.index else 0
-            fresh = held.pairs[begin:]
-            keys, counted = state["keys"], state["counts"]
-            found = np.zeros(len(fresh), np.int64)
-            if len(keys):
-                spot = np.minimum(np.searchsorted(keys, fresh), len(keys) - 1)
-                found = np.where(keys[spot] == fresh, counted[spot], 0)
-            state["signed"] = np.concatenate([state["signed"], found]) if begin else found
-            state["held"], state["n"] = held.index, len(held.pairs)
-            signed = state["signed"]
-            state["chunk"] = np.stack([row_sums(np.abs(signed), held.pair_at), row_sums(signed < 0, held.pair_at), row_sums(signed == 0, held.pair_at)], 1)
-        return state["signed"], state["chunk"]
+    given = df.drop(*SIZES, "n_best", "count_sum", "groups_sha256")
+    out, row = free_name(given, "linked"), free_name(given, "row")
+    kept = [c for c in given.columns if c.lower() != text.lower()]
+    # texts are encoded once: what follows reads their pairs
+    linked = written(linked_pairs(given, settings, text, out).drop(text), "linked")
+    pairs = written(link_counts(linked, f"{out}.pairs"), "pairs")
+    a_id = F.shiftright("pair", 32)
+    best = pairs.groupBy(a_id.alias("a_id")).agg(F.max("n_docs").alias("best"))  # a row for each id of A's vocabulary at most
+    counts = pairs.withColumn("a_id", a_id).join(F.broadcast(best), "a_id").select("pair", "n_docs", (F.col("n_docs") == F.col("best")).alias("is_best"))
+    heavy = spark.sparkContext.broadcast(_heavy(counts, settings.heavy))
 
     def scored(column: pa.Array) -> pa.Array:
-        held, texts, parts = blocks(settings), column.to_pylist(), []
-        for lo, hi in _pieces(texts, settings.piece_chars):
-            rows = hi - lo
-            index, first, valid = held.rows(texts[lo:hi])
-            signed, chunk = known(held)
-            columns = [*held.sizes[index].T, chunk[index, 1], chunk[index, 0]]
-            sums = [pa.array(row_sums(c, first)) for c in columns]
-            names_of = held.text
-            at = first.tolist()
-            index_list = index.tolist()
-            shas = [hashlib.sha256(b";".join([names_of[i] for i in index_list[x:y]])).hexdigest() if ok else "" for x, y, ok in zip(at[:-1], at[1:], valid.tolist(), strict=True)]
-            row = np.repeat(np.arange(rows), np.diff(first))
-            open_ = chunk[index, 2] > 0
-            of, spot = _ranges(held.pair_at, index[open_])
-            left = signed[spot] == 0
-            of, pair = row[open_][of[left]], held.pairs[spot[left]]
-            order = np.lexsort((pair, of))
-            of, pair = of[order], pair[order]
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])
-            begins = np.flatnonzero(new)
-            x, y = np.divmod(pair[begins], held.n_b)
-            rest = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.diff(np.append(begins, len(of))))], names=["a_id", "b_id", "times"])
-            lists = pa.ListArray.from_arrays(np.searchsorted(of[begins], np.arange(rows + 1)).astype(np.int32), rest)
-            parts.append(pa.StructArray.from_arrays([*sums, pa.array(shas), lists], names=fields.names))
-        return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * len(names) + [pa.array([], pa.string()), pa.array([], pa.list_(pa.struct([("a_id", pa.int32()), ("b_id", pa.int32()), ("times", pa.int64())])))], names=fields.names)
-
-    given = df.drop(*names, "groups_sha256")
-    out, row = free_name(given, "alignment"), free_name(given, "row")
-    first = written(with_struct(given, text, out, fields, scored).drop(text).withColumn(row, F.monotonically_increasing_id()), "alignment")
-    open_links = first.select(F.col(row).alias("row"), F.explode(f"{out}.rest").alias("link")).select("row", "link.*")
-    more = open_links.join(counts, ["a_id", "b_id"]).groupBy("row").agg(F.sum(F.col("n_docs") * F.col("times")).alias("more_sum"), F.sum(F.col("is_best").cast("long") * F.col("times")).alias("more_best"))
-    # `more` has a column of this library for the row number alone, whatever df's columns are called
-    more = more.select(F.col("row").alias(row), F.struct("more_sum", "more_best").alias(free_name(given, "more", out, row)))
-    both = first.join(more, row, "left")
-    extra = F.col(more.columns[1])
-    kept = [c for c in given.columns if c.lower() != text.lower()]
-    return both.select(
-        *kept, *[F.col(f"{out}.{c}").alias(c) for c in names[:5]],
-        (F.col(f"{out}.n_best") + F.coalesce(extra["more_best"], F.lit(0))).alias("n_best"), (F.col(f"{out}.count_sum") + F.coalesce(extra["more_sum"], F.lit(0))).alias("count_sum"),
-        F.col(f"{out}.groups_sha256").alias("groups_sha256"),
-    )
+        keys, n_docs, is_best = heavy.value
+        lists, times = column.field("pairs"), column.field("times").flatten().to_numpy(zero_copy_only=False)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets, pair = offsets - offsets[0], lists.flatten().to_numpy(zero_copy_only=False)
+        spot = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+        known = keys[spot] == pair if len(keys) else np.zeros(len(pair), bool)
+        n, top = (np.where(known, v[spot] if len(keys) else 0, 0) for v in (n_docs, is_best))
+        left = np.flatnonzero(~known)
+        rest = pa.StructArray.from_arrays([pa.array(pair[left]), pa.array(times[left])], names=["pair", "times"])
+        rest = pa.ListArray.from_arrays(np.searchsorted(left, offsets).astype(np.int32), rest)
+        return pa.StructArray.from_arrays([pa.array(row_sums(top * times, offsets)), pa.array(row_sums(n * times, offsets)), rest], names=SCORED.names)
+
+    slim = linked.withColumn(row, F.monotonically_increasing_id())
+    found = free_name(slim, "scored")
+    slim = with_struct(slim, out, found, SCORED, scored)
+    slim = written(slim.select(*kept, row, found, *[F.col(f"{out}.{c}").alias(c) for c in (*SIZES, "groups_sha256")]), "scored")
+    discard(linked)
+    # the links of all other pairs, by pair
+    open_links = slim.select(F.col(row).alias("row"), F.explode(f"{found}.rest").alias("link")).select("row", "link.*")
+    more = open_links.join(counts, "pair").groupBy("row").agg(F.sum(F.col("n_docs") * F.col("times")).alias("more_sum"), F.sum(F.col("is_best").cast("long") * F.col("times")).alias("more_best"))
+    extra = free_name(slim, "more")
+    both = slim.join(more.select(F.col("row").alias(row), F.struct("more_sum", "more_best").alias(extra)), row, "left")
+    add = lambda own, other: (F.col(f"{found}.{own}") + F.coalesce(F.col(f"{extra}.{other}"), F.lit(0))).alias(own)
+    return both.select(*kept, *SIZES, add("n_best", "more_best"), add("count_sum", "more_sum"), "groups_sha256")
