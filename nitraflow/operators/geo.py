@@ -87,52 +87,79 @@ def select_region(zones: DataFrame, name: str, column: str = "NAME") -> DataFram
 # ---------------------------------------------------------------- points and zones
 
 
-def cell_size(edges: DataFrame) -> float:
-    """An eighth of the median zone height, but so large that no zone covers more than 512 by 512 cells."""
-    extent = lambda a: F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2"))
-    spans = edges.groupBy("zone").agg(extent("y").alias("h"), F.greatest(extent("x"), extent("y")).alias("most"))
-    h, most = spans.agg(F.percentile_approx("h", 0.5), F.max("most")).first()
-    return max((h or 0.0) / 8, (most or 0.0) / 512, 1e-9)
-
-
 def _crossing(x1: Column, y1: Column, x2: Column, y2: Column, y: Column) -> Column:
     return x1 + (y - y1) * (x2 - x1) / (y2 - y1)
 
 
-def _rows(low: Column, high: Column, h: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / h), F.floor(high / h)))
+def _level(size: Column, least: float = 2.0**-30) -> Column:
+    """The power of two whose cells are at least as large as `size`; cells of a level cover at most two of them a side."""
+    return F.ceil(F.log2(F.greatest(size, F.lit(least)))).cast("int")
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _cells(low: Column, high: Column, level: Column) -> Column:
+    return F.explode(F.sequence(_cell(low, level), _cell(high, level)))
+
 
+def _levels_in(df: DataFrame, level: str) -> Column:
+    """An array of the levels that occur: a few dozen at most, as they are exponents of two."""
+    return F.array(*[F.lit(r[0]) for r in df.select(level).where(F.col(level).isNotNull()).distinct().orderBy(level).collect()]).cast("array<int>")
 
-def point_in_zone(points: DataFrame, edges: DataFrame, cell: float | None = None, point: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
-    """(point, zone) of every point and each zone that holds it, by equality joins on grid cells."""
-    h = cell or cell_size(edges)
+
+def zone_cells(edges: DataFrame) -> DataFrame:
+    """(zone, its box, lvl, cx, cy, strip): the cells that each zone's box touches, at the level of its own size, so a
+    zone has from 16 to 81 cells whatever the size of others; and the level of the strips that its edges are cut
+    into, so fine that a strip holds about a dozen edges of a plain outline and so coarse that edges are copied a few times at most."""
+    box = edges.groupBy("zone").agg(
+        F.min(F.least("x1", "x2")).alias("bx1"), F.max(F.greatest("x1", "x2")).alias("bx2"), F.min(F.least("y1", "y2")).alias("by1"), F.max(F.greatest("y1", "y2")).alias("by2"),
+        F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("_dy"),
+    )
+    size = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"))
+    levels = box.withColumn("lvl", _level(size / 8)).withColumn("strip", _level(4 * F.col("_dy"))).drop("_dy")
+    return levels.withColumn("cx", _cells(F.col("bx1"), F.col("bx2"), F.col("lvl"))).withColumn("cy", _cells(F.col("by1"), F.col("by2"), F.col("lvl")))
+
+
+def zone_candidates(points: DataFrame, cells: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Points (px, py and the columns keep) with each zone whose box holds them: a point is looked up once at every
+    level that zones have, so it meets the zones around it and not those that share a coarse cell."""
+    located = points.select(*keep, "px", "py", F.explode(_levels_in(cells, "lvl")).alias("lvl"))
+    located = located.withColumn("cx", _cell(F.col("px"), F.col("lvl"))).withColumn("cy", _cell(F.col("py"), F.col("lvl")))
+    return located.join(cells, ["lvl", "cx", "cy"]).where("px >= bx1 and px <= bx2 and py >= by1 and py <= by2").drop("lvl", "cx", "cy", "bx1", "bx2", "by1", "by2")
+
+
+def point_in_zone(points: DataFrame, edges: DataFrame, point: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
+    """(point, zone) of every point and each zone that holds it, by equality joins on cells and strips of several
+    levels. Points without a coordinate are in no zone."""
+    cells = materialised(zone_cells(edges))
     located = points.select(F.col(point), F.col(x).alias("px"), F.col(y).alias("py")).where("px is not null and py is not null")
-    located = located.withColumn("cx", F.floor(F.col("px") / h)).withColumn("cy", F.floor(F.col("py") / h))
-    box = edges.groupBy("zone").agg(F.min(F.least("x1", "x2")).alias("bx1"), F.max(F.greatest("x1", "x2")).alias("bx2"), F.min(F.least("y1", "y2")).alias("by1"), F.max(F.greatest("y1", "y2")).alias("by2"))
-    cells = box.withColumn("cx", _rows(F.col("bx1"), F.col("bx2"), h)).withColumn("cy", _rows(F.col("by1"), F.col("by2"), h))
-    near = located.join(cells, ["cx", "cy"]).where("px >= bx1 and px <= bx2 and py >= by1 and py <= by2").select(point, "px", "py", "cy", "zone")
-    strips = edges.withColumn("cy", _rows(F.least("y1", "y2"), F.greatest("y1", "y2"), h))
-    crossed = near.join(strips, ["zone", "cy"]).where((F.col("py") >= F.least("y1", "y2")) & (F.col("py") < F.greatest("y1", "y2")))
+    near = zone_candidates(located, cells, [point]).withColumn("at", _cell(F.col("py"), F.col("strip")))
+    strips = edges.where("y1 != y2").join(cells.select("zone", "strip").distinct(), "zone").withColumn("at", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("strip"))).drop("strip")
+    crossed = near.join(strips, ["zone", "at"]).where((F.col("py") >= F.least("y1", "y2")) & (F.col("py") < F.greatest("y1", "y2")))
     crossed = crossed.where(_crossing(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("py")) > F.col("px"))
     return crossed.groupBy(point, "zone").agg(F.count("*").alias("n")).where("n % 2 = 1").select(point, "zone")
 
 
-def raster_spans(levels: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
-    """(zone, y, xa, xb): for each raster row y in levels, the half-open x ranges inside each zone."""
-    h = cell or cell_size(edges)
-    strips = edges.withColumn("cy", _rows(F.least("y1", "y2"), F.greatest("y1", "y2"), h))
-    rows = levels.select("y").distinct().withColumn("cy", F.floor(F.col("y") / h))
-    crossed = rows.join(strips, "cy").where((F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
+def raster_spans(levels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(zone, y, xa, xb): for each raster row y in levels, the half-open x ranges inside each zone. A row meets the edges
+    around it: each edge stands at the level of its own height, in two strips at most."""
+    tall = edges.where("y1 != y2").withColumn("lvl", _level(F.abs(F.col("y2") - F.col("y1"))))
+    strips = tall.withColumn("at", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("lvl")))
+    rows = levels.select("y").distinct().select("y", F.explode(_levels_in(tall, "lvl")).alias("lvl")).withColumn("at", _cell(F.col("y"), F.col("lvl")))
+    crossed = rows.join(strips, ["lvl", "at"]).where((F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
     xs = crossed.select("zone", "y", _crossing(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("y")).alias("x")).groupBy("zone", "y").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return xs.select("zone", "y", "xs", F.explode(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2))).alias("i")).select("zone", "y", F.element_at("xs", F.col("i")).alias("xa"), F.element_at("xs", F.col("i") + 1).alias("xb")).where("xa < xb")
 
 
-def pixel_in_zone(pixels: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
+def pixel_in_zone(pixels: DataFrame, edges: DataFrame) -> DataFrame:
     """pixels with the zone that holds their centre, one row for each; by raster rows, so spans and not
-    edges meet the pixels."""
-    h = cell or cell_size(edges)
-    spans = raster_spans(pixels, edges, h).withColumn("cx", _rows(F.col("xa"), F.col("xb"), h))
-    return pixels.withColumn("cx", F.floor(F.col("x") / h)).join(spans, ["y", "cx"]).where("x >= xa and x < xb").drop("cx", "xa", "xb")
+    edges meet the pixels, each span at the level of its own width."""
+    spans = materialised(raster_spans(pixels, edges).withColumn("_lvl", _level(F.col("xb") - F.col("xa"))))
+    cells = spans.withColumn("_cx", _cells(F.col("xa"), F.col("xb"), F.col("_lvl")))
+    looked = pixels.withColumn("_lvl", F.explode(_levels_in(spans, "_lvl"))).withColumn("_cx", _cell(F.col("x"), F.col("_lvl")))
+    return looked.join(cells, ["y", "_lvl", "_cx"]).where("x >= xa and x < xb").drop("_lvl", "_cx", "xa", "xb")
 
 
 def zonal_stats(pixels: DataFrame, edges: DataFrame, zones: DataFrame, by: Sequence[str] = ("year",), value: str = "value") -> DataFrame:
@@ -145,12 +172,54 @@ def zonal_stats(pixels: DataFrame, edges: DataFrame, zones: DataFrame, by: Seque
     return every.join(stats, ["zone", *by], "left").fillna(0, ["count"])
 
 
-def area_map_units(vertices: DataFrame, region_edges: DataFrame) -> DataFrame:
-    """(region, zone): map units of which a vertex or the mean vertex lies in the region."""
-    centre = vertices.groupBy("zone").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    points = vertices.select("zone", "x", "y").unionByName(centre).withColumnRenamed("zone", "map_unit")
-    hits = point_in_zone(points.withColumn("point_id", F.struct("map_unit", "x", "y")), region_edges)
-    return hits.select(F.col("zone").alias("region"), F.col("point_id.map_unit").alias("zone")).distinct()
+def _segments(vertices: DataFrame) -> DataFrame:
+    """(zone, x1, y1, x2, y2) of every edge, level ones too."""
+    ring = vertices.groupBy("zone", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("v"))
+    pairs = ring.select("zone", F.explode(F.arrays_zip(F.slice("v", 1, F.size("v") - 1).alias("a"), F.slice("v", 2, F.size("v") - 1).alias("b"))).alias("_e"))
+    return pairs.select("zone", F.col("_e.a.x").alias("x1"), F.col("_e.a.y").alias("y1"), F.col("_e.b.x").alias("x2"), F.col("_e.b.y").alias("y2"))
+
+
+def crossing_zones(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b) of the zones with edges that meet, ends and touching included; a and b have zone, x1, y1, x2, y2.
+
+    Every edge stands in the cells of its own level, four at most, and looks for edges of its own level and coarser
+    ones there, where it touches four cells at most too. So an edge meets those near it, long or short."""
+    box = lambda df, p: df.select(F.col("zone").alias(f"{p}zone"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]).withColumn(f"{p}lvl", _level(F.greatest(F.abs(F.col(f"{p}x2") - F.col(f"{p}x1")), F.abs(F.col(f"{p}y2") - F.col(f"{p}y1")))))
+    left, right = materialised(box(a, "a")), materialised(box(b, "b"))
+
+    def placed(df: DataFrame, p: str, level: Column) -> DataFrame:
+        at = lambda axis: _cells(F.least(f"{p}{axis}1", f"{p}{axis}2"), F.greatest(f"{p}{axis}1", f"{p}{axis}2"), F.col("lvl"))
+        return df.withColumn("lvl", level).withColumn("cx", at("x")).withColumn("cy", at("y"))
+
+    def coarser(own: str, other: DataFrame, level: str, equal: bool) -> Column:
+        return F.explode(F.filter(_levels_in(other, level), lambda v: v >= F.col(own) if equal else v > F.col(own)))
+
+    met = placed(left, "a", coarser("alvl", right, "blvl", True)).join(placed(right, "b", F.col("blvl")), ["lvl", "cx", "cy"])
+    met = met.unionByName(placed(left, "a", F.col("alvl")).join(placed(right, "b", coarser("blvl", left, "alvl", False)), ["lvl", "cx", "cy"]))
+    over = lambda axis: (F.least(f"a{axis}1", f"a{axis}2") <= F.greatest(f"b{axis}1", f"b{axis}2")) & (F.least(f"b{axis}1", f"b{axis}2") <= F.greatest(f"a{axis}1", f"a{axis}2"))
+    side = lambda s, p, k: F.signum((F.col(f"{s}x2") - F.col(f"{s}x1")) * (F.col(f"{p}y{k}") - F.col(f"{s}y1")) - (F.col(f"{s}y2") - F.col(f"{s}y1")) * (F.col(f"{p}x{k}") - F.col(f"{s}x1")))
+    straddle = (side("a", "b", 1) * side("a", "b", 2) <= 0) & (side("b", "a", 1) * side("b", "a", 2) <= 0)
+    return met.where(over("x") & over("y") & straddle).select(F.col("azone").alias("a"), F.col("bzone").alias("b")).distinct()
+
+
+def areas_that_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b) of the zones of two vertex tables that share a point: their edges meet, or a part of one lies in the
+    other, which its first vertex tells. A zone in a hole of another doesn't meet it."""
+    sides = [materialised(_segments(v)) for v in (a, b)]
+    pairs = crossing_zones(*sides)
+
+    def inside(vertices: DataFrame, edges: DataFrame, own: str, other: str) -> DataFrame:
+        first = vertices.groupBy("zone", "part", "ring").agg(F.min_by(F.struct("x", "y"), "ord").alias("p")).select(F.struct("zone", "part", "ring").alias("point_id"), "p.x", "p.y")
+        return point_in_zone(first, edges.where("y1 != y2")).select(F.col("point_id.zone").alias(own), F.col("zone").alias(other))
+
+    within = inside(a, sides[1], "a", "b").unionByName(inside(b, sides[0], "b", "a"))
+    return pairs.unionByName(within).distinct()
+
+
+def area_map_units(vertices: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, zone): the map units that each region meets, also those that hold the whole region, lie within it or are crossed
+    by a part of it without corners there. Both are vertex tables."""
+    return areas_that_meet(regions, vertices).select(F.col("a").alias("region"), F.col("b").alias("zone"))
 
 
 def downstream_sites(regions: DataFrame, flow_edges: DataFrame, sites: DataFrame) -> DataFrame:

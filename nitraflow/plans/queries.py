@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nitraflow.functions import geo as geo_functions
 from nitraflow.functions import scalars, weather
 from nitraflow.functions.tables import materialised
-from nitraflow.operators import catalog, county, geo, quality, raster, soil, timeseries
+from nitraflow.operators import catalog, county, geo, positions, quality, raster, soil, timeseries
 from nitraflow.plans import forecast, panel
 from nitraflow.sources import files, responses, schemas, sinks
 
@@ -371,14 +371,42 @@ def column_profile(spark, sf_dir):
 
 
 @query("""
-SELECT count(*)::BIGINT AS rows_found, true AS ok FROM orders""")
+SELECT k::INT AS ord, least(5000, n - 5000 * k)::BIGINT AS rows_found, true AS ok FROM (SELECT n, unnest(generate_series(0, (n - 1) // 5000)) AS k FROM (SELECT count(*) AS n FROM orders))""")
 def chunk_audit(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     path = _new_path(spark, "chunks")
     sinks.write_chunks(orders, path, "orders.csv", 5000)
     manifest = files.read_manifest(spark, f"{path}/manifest")
     scan = spark.read.schema(orders.schema).option("header", True).csv(f"{path}/chunks")
-    return quality.chunk_audit(scan, manifest).agg(F.sum("rows_found").alias("rows_found"), F.min("ok").alias("ok"))
+    return quality.chunk_audit(scan, manifest).join(manifest.select("filename", "ord"), "filename").select("ord", "rows_found", "ok")
+
+
+_CHANGED = "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END"
+_ORDERED = f"""r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no, o_orderkey, o_totalprice AS p, {_CHANGED} AS q, count(*) OVER () AS n FROM orders),
+bad AS (SELECT row_no, n, CASE WHEN row_no >= n - 7 THEN 'left_only' ELSE 'both' END AS side, CASE WHEN row_no >= n - 7 THEN '' ELSE 'o_totalprice' END AS columns FROM r WHERE row_no >= n - 7 OR p IS DISTINCT FROM q)"""
+
+
+def _two_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The orders as CSV in order, and another export of them: some values differ and the last seven rows are missing."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    last = positions.numbered(orders, ["o_orderkey"])
+    kept = last.where(F.col("row_no") < orders.count() - 7).drop("row_no").withColumn("o_totalprice", F.expr(_CHANGED))
+    paths = [_csv(df.orderBy("o_orderkey"), label) for df, label in ((orders, "left"), (kept, "right"))]
+    left, right = (spark.read.schema(orders.schema).option("header", True).csv(p) for p in paths)
+    return left, right
+
+
+@query(f"WITH {_ORDERED} SELECT row_no, side, columns FROM bad")
+def positional_diff(spark, sf_dir):
+    return positions.diff_by_position(*_two_files(spark, sf_dir)).withColumn("columns", F.array_join("columns", ","))
+
+
+@query(f"""WITH {_ORDERED}, b AS (SELECT row_no // 400 AS batch, count(*) AS n_bad, min(row_no) AS first_bad, max(row_no) AS last_bad FROM bad GROUP BY 1)
+SELECT row_no // 400 AS batch, count(*) AS rows_a, count(*) FILTER (row_no < n - 7) AS rows_b, coalesce(any_value(n_bad), 0) AS n_bad, any_value(first_bad) AS first_bad, any_value(last_bad) AS last_bad,
+any_value(last_bad - first_bad = n_bad - 1) AS contiguous FROM r LEFT JOIN b ON batch = row_no // 400 GROUP BY 1""")
+def diff_batches(spark, sf_dir):
+    left, right = _two_files(spark, sf_dir)
+    return positions.diff_batches(positions.line_numbers(left), positions.line_numbers(right), 400)
 
 
 # ---------------------------------------------------------------- space
@@ -416,6 +444,29 @@ def point_in_zone(spark, sf_dir):
     return geo.point_in_zone(points, geo.wkt_to_edges(_embedding_zones(points)))
 
 
+_CORNERS = ((0, 0, 0.1, 0.1), (0, 0, 0.6, 0.1), (0, 0, 0.6, 0.7), (0, 0, 0.1, 0.7), (0, 1, 0.3, 0.3), (0, 1, 0.4, 0.3), (0, 1, 0.4, 0.5), (0, 1, 0.3, 0.5), (1, 0, 0.7, 0.1), (1, 0, 0.95, 0.1), (1, 0, 0.7, 0.9))
+_RING_ENDS = [c for c in _CORNERS if [d[:2] for d in _CORNERS].index(c[:2]) == _CORNERS.index(c)]
+_EDGES = "SELECT zone, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {} WINDOW w AS (PARTITION BY zone, part, ring ORDER BY ord) QUALIFY x2 IS NOT NULL"
+_SIDE = lambda s, p, k: f"sign(({s}.x2 - {s}.x1) * ({p}.y{k} - {s}.y1) - ({s}.y2 - {s}.y1) * ({p}.x{k} - {s}.x1))"
+_WITHIN = lambda v, e: f"SELECT v.zone AS own, e.zone AS other FROM (SELECT * FROM {v} WHERE ord = 0) v JOIN {e} e ON v.y >= least(e.y1, e.y2) AND v.y < greatest(e.y1, e.y2) WHERE e.x1 + (v.y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) > v.x GROUP BY v.zone, v.part, v.ring, e.zone HAVING count(*) % 2 = 1"
+
+
+@query(f"""
+WITH {_POINTS}, {_ZONES},
+va AS (SELECT zone, part, ring, row_number() OVER (PARTITION BY zone, part, ring ORDER BY k) - 1 AS ord, round(x1 + (x2 - x1) * u, 6) AS x, round(y1 + (y2 - y1) * v, 6) AS y
+  FROM z, (VALUES {", ".join(str((k, *c)) for k, c in enumerate((*_CORNERS, *_RING_ENDS)))}) c(k, part, ring, u, v)),
+vb AS (SELECT vec_id AS zone, 0 AS part, 0 AS ring, ord, round(x + dx, 6) AS x, round(y + dy, 6) AS y FROM p, (VALUES (0, -0.02, -0.01), (1, 0.02, -0.01), (2, 0.02, 0.01), (3, -0.02, 0.01), (4, -0.02, -0.01)) c(ord, dx, dy)),
+ea AS ({_EDGES.format("va")}), eb AS ({_EDGES.format("vb")}),
+crossed AS (SELECT ea.zone AS a, eb.zone AS b FROM ea JOIN eb ON least(ea.x1, ea.x2) <= greatest(eb.x1, eb.x2) AND least(eb.x1, eb.x2) <= greatest(ea.x1, ea.x2) AND least(ea.y1, ea.y2) <= greatest(eb.y1, eb.y2)
+  AND least(eb.y1, eb.y2) <= greatest(ea.y1, ea.y2) WHERE {_SIDE("ea", "eb", 1)} * {_SIDE("ea", "eb", 2)} <= 0 AND {_SIDE("eb", "ea", 1)} * {_SIDE("eb", "ea", 2)} <= 0)
+SELECT a AS region, b AS zone FROM crossed UNION SELECT own, other FROM ({_WITHIN("va", "eb")}) UNION SELECT other, own FROM ({_WITHIN("vb", "ea")})""")
+def areas_that_meet(spark, sf_dir):
+    points = _embedding_points(spark, sf_dir)
+    corners = F.array(*[F.struct(F.lit(i).alias("ord"), F.round(F.col("x") + dx, 6).alias("x"), F.round(F.col("y") + dy, 6).alias("y")) for i, (dx, dy) in enumerate(((-0.02, -0.01), (0.02, -0.01), (0.02, 0.01), (-0.02, 0.01), (-0.02, -0.01)))])
+    units = points.select(F.col("point_id").alias("zone"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(corners))
+    return geo.area_map_units(units, geo.wkt_to_vertices(_embedding_zones(points)))
+
+
 _PIXELS = "px AS (SELECT 2020 + vec_id % 3 AS year, round(x, 1) AS y, x AS value, round(y, 2) AS x FROM p)"
 
 
@@ -647,12 +698,13 @@ def tolerant_sites(spark, sf_dir):
     return files.read_sites(spark, _csv(rows, "sites"))[0]
 
 
-@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice, 'orders.csv' AS original_filename FROM orders")
+@query("""
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 700)::INT AS ord, 'orders.csv' AS original_filename FROM orders""")
 def chunks_appended(spark, sf_dir):
-    path, rows = _new_path(spark, "chunks"), _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_totalprice")
-    sinks.write_chunks(rows, path, "orders.csv", 5000)
+    path, rows = _new_path(spark, "chunks"), _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    sinks.write_chunks(rows, path, "orders.csv", 700, by=["o_orderkey"])
     manifest = files.read_manifest(spark, f"{path}/manifest")
-    return files.read_chunks(spark, f"{path}/chunks", manifest, rows.schema).join(F.broadcast(manifest.select("ord", "original_filename")), "ord").drop("ord")
+    return files.read_chunks(spark, f"{path}/chunks", manifest, rows.schema).join(F.broadcast(manifest.select("ord", "original_filename")), "ord")
 
 
 @query("SELECT c_custkey::VARCHAR AS FIPS, c_acctbal AS value FROM customer")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nitraflow.operators.positions import MOST_SPLITS, line_numbers
+
 from . import schemas
 
 
@@ -34,9 +36,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, root: str, manifest: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows of the manifest's files, in one scan of root, each with its chunk's position as `ord`."""
-    rows = spark.read.schema(schema).options(header=True, recursiveFileLookup=True).csv(root).withColumn("filename", F.col("_metadata.file_name"))
-    return rows.join(manifest.select("filename", "ord"), "filename").drop("filename")
+    """The rows of the manifest's files, in one scan of root, each with its chunk's position as `ord` and its own
+    position in the whole as `row_no`: chunks in the manifest's order, rows as they stand in their chunk. Files below root that the
+    manifest doesn't list aren't part of it."""
+    listed = manifest.select("filename", "ord")
+    scan = spark.read.schema(schema).options(header=True, recursiveFileLookup=True).csv(root)
+    rows = line_numbers(scan.select("*", F.col("_metadata.file_name").alias("filename")), listed)
+    return rows.join(F.broadcast(listed) if listed.count() <= MOST_SPLITS else listed, "filename").drop("filename")
 
 
 def read_site(spark: SparkSession, root: str, uid: str) -> DataFrame:

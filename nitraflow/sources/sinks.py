@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nitraflow.operators.positions import line_numbers, numbered
+
 from .schemas import MANIFEST
 
 
@@ -22,14 +25,23 @@ def write_by_site(df: DataFrame, root: str, site: str = "site_uid", salts: int =
     rows.repartition(*keys).write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy(site).parquet(root)
 
 
-def write_chunks(df: DataFrame, path: str, name: str, chunk_size: int = 500_000) -> DataFrame:
-    """CSV files of at most chunk_size rows, each with a header, and the manifest as a one-row frame
-    (also written below path/manifest)."""
-    df.write.mode("overwrite").options(header=True, maxRecordsPerFile=chunk_size).csv(f"{path}/chunks")
+def write_chunks(df: DataFrame, path: str, name: str, chunk_size: int = 500_000, by: Sequence[str] = ()) -> DataFrame:
+    """CSV files of exactly chunk_size rows each but the last, in order, every one with a header; and the
+    manifest as a one-row frame (also written below path/manifest), its chunks in order.
+
+    The order is that of the columns `by`, or without them that of the file scan df. A row goes to the task
+    of its chunk by its global position, so the chunks are full however many tasks read df. A table without rows gives
+    one file without rows."""
+    rows = numbered(df, by, "_row_no") if by else line_numbers(df, out="_row_no")
+    last = rows.agg(F.max("_row_no")).first()[0]
+    n_chunks = 1 if last is None else last // chunk_size + 1
+    chunk = F.floor(F.col("_row_no") / chunk_size).cast("int")
+    chunks = rows.repartitionById(n_chunks, chunk).sortWithinPartitions("_row_no").drop("_row_no")
+    chunks.write.mode("overwrite").option("header", True).csv(f"{path}/chunks")
     files = df.sparkSession.read.schema(df.schema).option("header", True).csv(f"{path}/chunks")
-    per = files.select(F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("size_bytes")).groupBy("filename", "size_bytes").agg(F.count("*").alias("n"))
-    manifest = per.agg(
-        F.lit(name).alias("original_filename"), F.sum("n").alias("total_rows"), F.lit(chunk_size).cast("long").alias("chunk_size"),
+    found = files.select(F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("size_bytes")).groupBy("filename", "size_bytes").agg(F.count("*").alias("n"))
+    manifest = found.agg(
+        F.lit(name).alias("original_filename"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.lit(chunk_size).cast("long").alias("chunk_size"),
         F.count("*").cast("int").alias("num_chunks"), F.array_sort(F.collect_list(F.struct("filename", "size_bytes"))).alias("chunks"),
     )
     manifest.select(*MANIFEST.names).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

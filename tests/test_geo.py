@@ -58,16 +58,16 @@ def test_shared_edges_holes_and_parts(spark, zones):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=3, max_size=7), min_size=1, max_size=3), st.floats(0.7, 9.0))
-def test_parity_equals_ray_casting(spark, rings, cell):
+@given(st.lists(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=3, max_size=7), min_size=1, max_size=3))
+def test_parity_equals_ray_casting(spark, rings):
     rings = [[*r, r[0]] for r in rings]
     wkt = "POLYGON (" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in r) + ")" for r in rings) + ")"
     points = [(i, x + 0.25 * (i % 3), y + 0.5 * (i % 2)) for i, (x, y) in enumerate((x, y) for x in range(-21, 22, 3) for y in range(-21, 22, 3))]
     edges = geo.wkt_to_edges(spark.createDataFrame([("z", wkt)], "zone string, wkt string"))
     pts = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in points], "point_id int, x double, y double")
     want = {i for i, x, y in points if inside(rings, x, y)}
-    assert {r.point_id for r in geo.point_in_zone(pts, edges, cell).collect()} == want
-    assert {r.point_id for r in geo.pixel_in_zone(pts, edges, cell).collect()} == want
+    assert {r.point_id for r in geo.point_in_zone(pts, edges).collect()} == want
+    assert {r.point_id for r in geo.pixel_in_zone(pts, edges).collect()} == want
 
 
 def test_zonal_panel(spark, zones):
@@ -98,7 +98,60 @@ def test_downstream_with_a_cycle(spark):
     regions = spark.createDataFrame([("r", 1), ("q", 4)], "region string, node int")
     sites = spark.createDataFrame([("s3", 3), ("s4", 4), ("s9", 9)], "site_uid string, node int")
     assert sorted(map(tuple, geo.downstream_sites(regions, flows, sites).collect())) == [("q", "s4"), ("r", "s3"), ("r", "s4")]
-    assert geo.area_map_units(geo.wkt_to_vertices(spark.createDataFrame([("m", HOLED)], "zone string, wkt string")), geo.wkt_to_edges(spark.createDataFrame([("big", "POLYGON((-1 -1, 9 -1, 9 9, -1 9, -1 -1))")], "zone string, wkt string"))).count() == 1
+
+
+def square(name, x, y, w, h=None):
+    h = h or w
+    return (name, f"POLYGON(({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))")
+
+
+def vertices(spark, *zones):
+    return geo.wkt_to_vertices(spark.createDataFrame(list(zones), "zone string, wkt string"))
+
+
+def test_a_large_zone_among_small_ones(spark):
+    """A point meets the zones around it, whatever the size of others."""
+    small = [square(f"s{i}-{j}", i * 2 + 0.5, j * 2 + 0.5, 1) for i in range(50) for j in range(50)]
+    edges = geo.wkt_to_edges(spark.createDataFrame([*small, square("large", -20_000, -20_000, 40_000)], "zone string, wkt string"))
+    points = spark.range(2000).select(F.col("id").alias("point_id"), (F.col("id") % 50 * 2 + 1.1).alias("x"), ((F.col("id") * 7) % 50 * 2 + 0.9).alias("y"))
+    located = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    cells = geo.zone_cells(edges)
+    assert cells.groupBy("zone").count().agg(F.max("count")).first()[0] <= 100
+    met = located.select("*", F.explode(geo._levels_in(cells, "lvl")).alias("lvl"))
+    met = met.withColumn("cx", geo._cell(F.col("px"), F.col("lvl"))).withColumn("cy", geo._cell(F.col("py"), F.col("lvl"))).join(cells, ["lvl", "cx", "cy"])
+    assert met.groupBy("point_id").count().agg(F.max("count")).first()[0] <= 5
+    found = geo.point_in_zone(points, edges).collect()
+    assert len(found) == 4000 and {r.zone for r in found if r.point_id == 51} == {"large", f"s1-{51 * 7 % 50}"}
+    assert geo.pixel_in_zone(points, edges).count() == 4000
+
+
+def test_areas_that_meet(spark):
+    region = vertices(spark, square("r", 0, 0, 10))
+    units = vertices(
+        spark, square("inside", 4, 4, 1), square("around", -50, -50, 200), square("strip", -5, 4, 100, 0.5), square("corner", 10, 10, 3), square("edge", 10, 2, 3), square("apart", 11, 0, 3),
+        ("holed", "POLYGON((-100 -100, 100 -100, 100 100, -100 100, -100 -100), (-20 -20, 20 -20, 20 20, -20 20, -20 -20))"), ("parts", "MULTIPOLYGON(((500 0, 501 0, 501 1, 500 0)), ((3 3, 3.5 3, 3.5 3.5, 3 3)))"),
+    )
+    found = {r.zone for r in geo.area_map_units(units, region).collect()}
+    assert found == {"inside", "around", "strip", "corner", "edge", "parts"}
+    assert geo.area_map_units(units.limit(0), region).count() == 0 == geo.area_map_units(units, region.limit(0)).count()
+
+
+def segments_meet(p, q, r, s):
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    on = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+    d = [side(r, s, p), side(r, s, q), side(p, q, r), side(p, q, s)]
+    if d[0] * d[1] < 0 and d[2] * d[3] < 0:
+        return True
+    return any(v == 0 and on(*t) for v, t in zip(d, ((r, s, p), (r, s, q), (p, q, r), (p, q, s)), strict=True))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(*[st.lists(st.tuples(*[st.integers(-30, 30)] * 2, *[st.sampled_from([-40, -9, -1, 0, 1, 2, 25])] * 2), min_size=1, max_size=25)] * 2)
+def test_edges_that_meet_equal_all_pairs(spark, a, b):
+    """Against the textbook test, long and short, level, upright, parallel and empty edges."""
+    table = lambda rows: spark.createDataFrame([(i, float(x), float(y), float(x + dx), float(y + dy)) for i, (x, y, dx, dy) in enumerate(rows)], "zone int, x1 double, y1 double, x2 double, y2 double")
+    want = {(i, j) for i, (x, y, dx, dy) in enumerate(a) for j, (u, v, du, dv) in enumerate(b) if segments_meet((x, y), (x + dx, y + dy), (u, v), (u + du, v + dv))}
+    assert {(r.a, r.b) for r in geo.crossing_zones(table(a), table(b)).collect()} == want
 
 
 def test_an_empty_collection(spark):
