@@ -88,7 +88,7 @@ class RankQueue:
 class BytePairCodec:
     """The tokens of a rank file (a base64 token and its rank per line), with a splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, held: int = 150_000) -> None:
+    def __init__(self, path: str, pattern: str, held: int = 400_000) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
