@@ -44,8 +44,8 @@ class AlignSettings:
     a_path: str
     b_path: str
     heavy: int = 400_000  # id pairs whose counts are sent to every task
-    held_chunks: int = 300_000
-    piece_chars: int = 1 << 20  # text handled at once
+    held_chunks: int = 200_000
+    piece_chars: int = 1 << 19  # text handled at once
 
 
 @dataclass(frozen=True)
@@ -163,8 +163,8 @@ class Blocks:
         found = [_CHUNK.findall(f" {t}") if t else [] for t in texts]
         index = self.index
         fresh = list({c for row in found for c in row if c not in index})
-        for lo in range(0, len(fresh), 50_000):
-            self.learn(fresh[lo : lo + 50_000])
+        for lo in range(0, len(fresh), 20_000):
+            self.learn(fresh[lo : lo + 20_000])
         every = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64)
         self.used += np.bincount(every, minlength=len(self.used))
         first = np.concatenate([[0], np.cumsum([len(r) for r in found])]).astype(np.int64)
