@@ -222,13 +222,29 @@ def area_map_units(vertices: DataFrame, regions: DataFrame) -> DataFrame:
     return areas_that_meet(regions, vertices).select(F.col("a").alias("region"), F.col("b").alias("zone"))
 
 
+def downstream_nodes(starts: DataFrame, flow_edges: DataFrame) -> DataFrame:
+    """(region, node): all nodes that water from a region's nodes reaches, these included. starts has region and node,
+    flow_edges has src and dst.
+
+    By path doubling: `jumps` leads from a node to those 2^i steps on, and is joined with itself to double. A round adds
+    to the nodes fewer than 2^i steps away those that a jump leads to from there. When a round adds none, none are left, as
+    a shortest path to a farther node would pass one at each distance. Rounds follow the logarithm of the longest path, and
+    cycles end like anything else. Only nodes with 2^i steps ahead of them stay in `jumps`."""
+    edges = flow_edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    reached = materialised(starts.where("node is not null").select("region", "node").distinct())
+    jumps, size = materialised(edges), reached.count()
+    while True:
+        ahead = reached.join(jumps, F.col("node") == F.col("src")).select("region", F.col("dst").alias("node"))
+        reached = materialised(reached.unionByName(ahead).distinct())
+        found = reached.count()
+        if found == size:
+            return reached
+        size = found
+        on = jumps.select(F.col("src").alias("_mid"), F.col("dst").alias("_far"))
+        jumps = materialised(jumps.join(on, F.col("dst") == F.col("_mid")).select("src", F.col("_far").alias("dst")).distinct())
+
+
 def downstream_sites(regions: DataFrame, flow_edges: DataFrame, sites: DataFrame) -> DataFrame:
     """(region, site_uid): the sites that water from a region's nodes reaches. regions has region and
     node, flow_edges has src and dst, sites has site_uid and node. Cycles are fine."""
-    reached = materialised(regions.select("region", "node").distinct())
-    front = reached
-    while not front.isEmpty():
-        step = front.join(flow_edges.select(F.col("src").alias("node"), "dst"), "node").select("region", F.col("dst").alias("node")).distinct()
-        front = materialised(step.join(reached, ["region", "node"], "left_anti"))
-        reached = reached.unionByName(front)  # of checkpoints: each front is written once
-    return reached.join(sites, "node").select("region", "site_uid").distinct()
+    return downstream_nodes(regions, flow_edges).join(sites, "node").select("region", "site_uid").distinct()

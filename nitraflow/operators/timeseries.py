@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
 
@@ -14,6 +15,13 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 #: What an empty bin holds.
 EMPTY = {"sum": 0.0, "count": 0}
+#: Aggregates made from parts: what is kept of a part, and how parts make the whole.
+_PARTS: dict[str, tuple[dict[str, Callable[[Column], Column]], Callable[[str], Column]]] = {
+    "sum": ({"sum": F.sum}, lambda i: F.coalesce(F.sum(f"_sum{i}"), F.lit(0.0))), "count": ({"n": F.count}, lambda i: F.sum(f"_n{i}")),
+    "min": ({"min": F.min}, lambda i: F.min(f"_min{i}")), "max": ({"max": F.max}, lambda i: F.max(f"_max{i}")),
+    "first": ({"min": F.min}, lambda i: F.min(f"_min{i}")), "last": ({"max": F.max}, lambda i: F.max(f"_max{i}")),
+    "mean": ({"sum": F.sum, "n": F.count}, lambda i: F.sum(f"_sum{i}") / F.nullif(F.sum(f"_n{i}"), F.lit(0))),
+}
 SECONDS = {"s": 1, "min": 60, "h": 3600, "D": 86400}
 
 
@@ -35,9 +43,10 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], interval: str, agg:
     largest value, as rows have no order. Rows without key or time are left out. Timestamps with and
     without time zone keep their type; the session's zone should be UTC.
 
-    One shuffle on the keys and bins after partial aggregation. Steps that don't divide a day also join
-    the rows with the first day of their series: by broadcast while there are few series, else by a shuffle of the
-    rows on the keys, so there 'epoch' is the better origin for series with a large share of all rows.
+    One shuffle on the keys and bins after partial aggregation. Where steps don't divide a day, rows are first
+    aggregated into steps of the greatest common divisor of step and day, which no bin's edge cuts wherever a series
+    begins; only those partial bins meet the first day of their series. Medians and functions of the caller's can't be
+    put together from parts: their rows are joined with the first days.
     """
     fn = AGGREGATES[agg] if isinstance(agg, str) else agg
     kind = dict(df.dtypes)[ts]
@@ -61,9 +70,15 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], interval: str, agg:
     else:
         step = int(m[1] or 1) * SECONDS[m[2]]
         timed = rows.withColumn("_s", _seconds(F.col(ts)))
-        if origin == "epoch" or 86400 % step == 0:
-            base = F.lit(0)
-        else:
+        shifted = origin != "epoch" and 86400 % step != 0
+        parts = _PARTS.get(agg) if shifted and isinstance(agg, str) else None
+        if parts:
+            fine = math.gcd(step, 86400)
+            stored = [fn(F.col(v)).alias(f"_{p}_{i}") for i, v in enumerate(values) for p, fn in parts[0].items()]
+            timed = timed.withColumn("_s", F.floor(F.col("_s") / fine) * fine).groupBy(*keys, "_s").agg(*stored)
+            measures = [parts[1](f"_{i}").alias(v) for i, v in enumerate(values)]
+        base: Column = F.lit(0)
+        if shifted:
             first = timed.groupBy(*keys).agg(_day0(F.min("_s")).alias("_day0"))
             timed = timed.join(first, list(keys)) if keys else timed.crossJoin(F.broadcast(first))  # one row
             base = F.col("_day0")
@@ -88,18 +103,45 @@ def daily(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, F.to_date(ts).alias("date")).agg(F.max(value).alias(value))
 
 
+def over_next_period(rows: DataFrame, measures: dict[str, Column], key: str, at: str, period: int) -> DataFrame:
+    """rows with each measure, an aggregate over the rows of the same key in the `period` units after each row; `at`
+    holds whole units.
+
+    A range join by buckets of one period: the rows that a row looks at lie in its own bucket or the next, so every row is
+    also carried to the bucket before. Windows then run within a key's bucket, and a key with a third of all
+    rows is spread over as many tasks as it has periods. Rows without key or unit have nothing after them."""
+    bucket, carried = "_bucket", "_carried"
+    own = rows.withColumn(bucket, F.floor(F.col(at) / period)).withColumn(carried, F.lit(False))
+    both = own.unionByName(own.withColumn(bucket, F.col(bucket) - 1).withColumn(carried, F.lit(True)).where(F.col(key).isNotNull() & F.col(at).isNotNull()))
+    after = Window.partitionBy(key, bucket).orderBy(at).rangeBetween(1, period)
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    return both.withColumns({c: F.when(known, m.over(after)) for c, m in measures.items()}).where(~F.col(carried)).drop(bucket, carried)
+
+
+def _days(date: str) -> Column:
+    return F.datediff(date, F.lit("1970-01-01"))
+
+
 def next_period_max(days: DataFrame, key: str = "site_uid", date: str = "date", value: str = "nitrate_con", period: int = 30) -> DataFrame:
     """days with next_max: the largest value in the `period` days after each day."""
-    after = Window.partitionBy(key).orderBy(F.datediff(date, F.lit("1970-01-01"))).rangeBetween(1, period)
-    return days.withColumn("next_max", F.max(value).over(after))
+    return over_next_period(days.withColumn("_at", _days(date)), {"next_max": F.max(value)}, key, "_at", period).drop("_at")
+
+
+def next_period_of_readings(readings: DataFrame, threshold: float = 10.0, period: int = 30, key: str = "site_uid", ts: str = "datetime", value: str = "nitrate_con") -> DataFrame:
+    """Raw readings with next_max, exceeds and eta_seconds: the largest value within `period` days after each reading,
+    whether it is above the threshold (null if nothing follows) and the seconds to the first such reading."""
+    at = "_at"
+    measures = {"next_max": F.max(value), "_first": F.min(F.when(F.col(value) > threshold, F.col(at)))}
+    found = over_next_period(readings.withColumn(at, _seconds(F.col(ts))), measures, key, at, period * 86400)
+    return found.withColumn("exceeds", F.col("next_max") > threshold).withColumn("eta_seconds", F.col("_first") - F.col(at)).drop(at, "_first")
 
 
 def exceedance_label(days: DataFrame, threshold: float = 10.0, period: int = 30, key: str = "site_uid", date: str = "date", value: str = "nitrate_con") -> DataFrame:
     """days with next_max, exceeds (null if nothing follows) and eta_days to the first day above the threshold."""
-    after = Window.partitionBy(key).orderBy(F.datediff(date, F.lit("1970-01-01"))).rangeBetween(1, period)
-    first = F.min(F.when(F.col(value) > threshold, F.col(date))).over(after)
-    labelled = next_period_max(days, key, date, value, period)
-    return labelled.withColumn("exceeds", F.col("next_max") > threshold).withColumn("eta_days", F.datediff(first, F.col(date)))
+    at = "_at"
+    measures = {"next_max": F.max(value), "_first": F.min(F.when(F.col(value) > threshold, F.col(at)))}
+    found = over_next_period(days.withColumn(at, _days(date)), measures, key, at, period)
+    return found.withColumn("exceeds", F.col("next_max") > threshold).withColumn("eta_days", (F.col("_first") - F.col(at)).cast("int")).drop(at, "_first")
 
 
 def join_discharge(readings: DataFrame, gauge: DataFrame, site_map: DataFrame) -> DataFrame:

@@ -804,5 +804,21 @@ def feature_table(spark, sf_dir):
 @query()
 def forecast_exceedance(spark, sf_dir):
     features = _features(spark, sf_dir)
-    model = forecast.fit_exceedance(features, ["value", "rain", "surplus"])
+    model = forecast.fit_exceedance(features, ["value", "rain", "surplus"], 10, "user_id")
     return forecast.forecast_exceedance(features, model, key="user_id")
+
+
+@query(f"""
+WITH {_DAYS}, l AS (SELECT a.user_id, a.date, (min(b.date) FILTER (b.value > 150) - a.date)::INT AS eta_days FROM days a LEFT JOIN days b ON a.user_id = b.user_id AND b.date > a.date AND b.date <= a.date + 10 GROUP BY a.user_id, a.date),
+u AS (SELECT l.*, coalesce(eta_days, least(10, max(date) OVER (PARTITION BY user_id) - date)) AS until FROM l)
+SELECT user_id, date, day::INT AS day, CASE WHEN day = eta_days THEN 1.0 ELSE 0.0 END::DOUBLE AS event FROM (SELECT *, unnest(generate_series(1, until)) AS day FROM u)""")
+def days_at_risk(spark, sf_dir):
+    return forecast.days_at_risk(_features(spark, sf_dir), 10, "user_id").select("user_id", "date", "day", "event")
+
+
+@query("""
+WITH e AS (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events)
+SELECT a.event_id, max(b.value) AS next_max, max(b.value) > 150 AS exceeds, (min(b.s) FILTER (b.value > 150) - a.s)::BIGINT AS eta_seconds
+FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.s > a.s AND b.s <= a.s + 5 * 86400 GROUP BY a.event_id, a.s""")
+def next_period_of_readings(spark, sf_dir):
+    return timeseries.next_period_of_readings(_read(spark, sf_dir, "events"), 150.0, 5, "user_id", "ts", "value").select("event_id", "next_max", "exceeds", "eta_seconds")

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -157,3 +158,31 @@ def test_edges_that_meet_equal_all_pairs(spark, a, b):
 def test_an_empty_collection(spark):
     empty = spark.createDataFrame([], "zone long, feature string")
     assert [r.collection for r in geo.feature_collection(empty).collect()] == ['{"type":"FeatureCollection","features":[]}']
+
+
+def test_downstream_of_a_long_chain(spark, monkeypatch):
+    """A river of 10,000 nodes takes as many rounds as its length has binary digits, and one more."""
+    n, rounds = 10_000, []
+    kept = geo.materialised
+    monkeypatch.setattr(geo, "materialised", lambda df: rounds.append(1) or kept(df))
+    flows = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    flows = flows.unionByName(spark.createDataFrame([(20_000, 0), (30_000, 9_000), (None, 5), (5, None)], "src long, dst long"))
+    starts = spark.createDataFrame([("a", 20_000), ("b", 30_000), ("c", None), ("d", 77_777)], "region string, node long")
+    found = {r.region: r.n for r in geo.downstream_nodes(starts, flows).groupBy("region").agg(F.count("*").alias("n")).collect()}
+    assert found == {"a": n + 1, "b": 1001, "d": 1}
+    assert len(rounds) <= 2 + 2 * 15
+
+
+def test_downstream_equals_a_search(spark):
+    rng = random.Random(3)
+    for n, m in ((30, 30), (40, 90), (12, 4)):
+        flows = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        starts = {(r, rng.randrange(n)) for r in "pqr" for _ in range(2)}
+        want = set()
+        for r, v in starts:
+            seen, front = {v}, [v]
+            while front:
+                front = [w for u in front for s, w in flows if s == u and w not in seen and not seen.add(w)]
+            want |= {(r, u) for u in seen}
+        got = geo.downstream_nodes(spark.createDataFrame(sorted(starts), "region string, node int"), spark.createDataFrame(sorted(flows), "src int, dst int")).collect()
+        assert {(r.region, r.node) for r in got} == want and len(got) == len(want)

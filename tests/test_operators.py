@@ -1,10 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nitraflow.functions import scalars, weather
-from nitraflow.operators import catalog, county, quality, raster, soil
+from nitraflow.operators import catalog, county, geo, quality, raster, soil
 from nitraflow.plans import forecast
 
 
@@ -103,6 +104,47 @@ def test_forecast(spark):
     days = spark.createDataFrame([(f"s{s}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(20 if s % 2 else 1) + d % 3) for s in range(6) for d in range(20)], "site_uid string, date date, nitrate_con double")
     rain = days.select("site_uid", "date", (F.col("nitrate_con") / 2).alias("rain"))
     features = forecast.feature_table(days, rain, period=5)
-    model = forecast.fit_exceedance(features, ["nitrate_con", "rain"])
+    model = forecast.fit_exceedance(features, ["nitrate_con", "rain"], 5)
     out = {r.site_uid: r.exceeds_threshold for r in forecast.forecast_exceedance(features, model, days.where("site_uid <> 's0'").select("site_uid")).collect()}
     assert out == {f"s{s}": bool(s % 2) for s in range(1, 6)}
+
+
+def test_forecast_on_sites_it_has_not_seen(spark):
+    """Sites whose nitrate climbs at a rate that `rain` sets: the forecast is better than the base rate, and its days nearer than a constant's."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for site in range(120):
+        rain, level = float(rng.integers(0, 10)), float(rng.uniform(2, 9))
+        for day in range(40):
+            level = min(level + rng.normal(0.05 + 0.04 * rain, 0.15), 30) if level < 12 else 2.0
+            rows.append((f"s{site}", dt.date(2024, 1, 1) + dt.timedelta(days=day), float(level), rain))
+    days = spark.createDataFrame(rows, "site_uid string, date date, nitrate_con double, rain double")
+    labelled = forecast.feature_table(days.select("site_uid", "date", "nitrate_con"), days.select("site_uid", "date", "rain"), period=20)
+    train = labelled.where(F.substring("site_uid", 2, 3).cast("int") % 3 != 0)
+    model = forecast.fit_exceedance(train, ["nitrate_con", "rain"], 20)
+    # the day that is forecast from is the 20th: what follows is known
+    other = labelled.where((F.substring("site_uid", 2, 3).cast("int") % 3 == 0) & (F.col("date") <= dt.date(2024, 1, 20)))
+    told = {r.site_uid: r for r in forecast.forecast_exceedance(other, model).collect()}
+    truth = {r.site_uid: r for r in other.where(F.col("date") == dt.date(2024, 1, 20)).collect()}
+    assert len(told) == len(truth) == 40
+    y = np.array([bool(truth[s].exceeds) for s in told])
+    p = np.array([told[s].probability for s in told])
+    base = y.mean()
+    loss = lambda q: -np.mean(np.where(y, np.log(q), np.log(1 - q)))
+    assert loss(np.clip(p, 1e-4, 1 - 1e-4)) < 0.7 * loss(np.full(len(y), base))
+    assert all((r.eta_days is not None) == r.exceeds_threshold == (r.probability >= 0.5) for r in told.values())
+    both = [(told[s].eta_days, truth[s].eta_days) for s in told if told[s].eta_days and truth[s].eta_days]
+    middle = np.median([b for _, b in both])
+    assert len(both) > 8 and np.mean([abs(a - b) for a, b in both]) < 0.8 * np.mean([abs(middle - b) for _, b in both])
+
+
+def test_days_at_risk(spark):
+    days = spark.createDataFrame([("a", dt.date(2024, 1, d), v) for d, v in ((1, 1.0), (3, 12.0), (4, 2.0), (9, 3.0))], "site_uid string, date date, nitrate_con double")
+    rows = sorted((r.date.day, r.day, r.event) for r in forecast.days_at_risk(forecast.feature_table(days, period=4), 4).collect())
+    assert rows == [(1, 1, 0.0), (1, 2, 1.0), *[(3, k, 0.0) for k in (1, 2, 3, 4)], *[(4, k, 0.0) for k in (1, 2, 3, 4)]]
+
+
+def test_sites_in_a_region(spark):
+    region = geo.wkt_to_vertices(spark.createDataFrame([("r", "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))")], "zone string, wkt string"))
+    sites = spark.createDataFrame([("in", 1.0, 1.0), ("out", 9.0, 1.0), ("none", None, 1.0)], "site_uid string, longitude double, latitude double")
+    assert [r.site_uid for r in forecast.sites_in_region(sites, region).collect()] == ["in"]
