@@ -63,11 +63,20 @@ def to_geojson(vertices: DataFrame) -> DataFrame:
     return shapes.select("zone", F.to_json(feature).alias("feature"))
 
 
-def feature_collection(features: DataFrame) -> DataFrame:
-    """One row: the features of to_geojson as one GeoJSON text, in the order of their zones; without features an
-    empty collection. A map's selection is meant: the text is one value."""
+def from_geojson(features: DataFrame, feature: str = "feature") -> DataFrame:
+    """(zone, part, ring, ord, x, y) of MultiPolygon features as text: the vertices that to_geojson has written."""
+    shape = F.from_json(feature, "properties struct<zone: string>, geometry struct<coordinates: array<array<array<array<double>>>>>")
+    parts = features.select(shape.alias("s")).select(F.col("s.properties.zone").alias("zone"), F.posexplode("s.geometry.coordinates").alias("part", "p"))
+    rings = parts.select("zone", "part", F.posexplode("p").alias("ring", "r"))
+    return rings.select("zone", "part", "ring", F.posexplode("r").alias("ord", "v")).select("zone", "part", "ring", "ord", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+
+
+def feature_collection(features: DataFrame, by: str | None = None) -> DataFrame:
+    """The features of to_geojson as one GeoJSON text, in the order of their zones: one row, or one for each value of the column
+    `by`. A map's selection is meant: a text is one value. Without features and `by`, an empty collection."""
     held = F.transform(F.array_sort(F.collect_list(F.struct("zone", "feature"))), lambda f: f["feature"])
-    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(held, ","), F.lit("]}")).alias("collection"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(held, ","), F.lit("]}")).alias("collection")
+    return features.agg(text) if by is None else features.groupBy(by).agg(text)
 
 
 def buffer_point(df: DataFrame, lon: str, lat: str, deg: float = 0.01, corners: int = 64, wkt: str | None = None) -> DataFrame:

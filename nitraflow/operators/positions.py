@@ -47,8 +47,9 @@ def numbered(df: DataFrame, by: Sequence[str], out: str = "row_no") -> DataFrame
     """df with the position of each row in the order of the columns `by`, from 0; rows that agree in them stand next
     to each other in the order of their other columns' hash. Range-partitioned and sorted rows are stored
     once, so the numbers don't change when tasks run again."""
-    tie = F.xxhash64(*[c for c in df.columns if c not in by]) if len(by) < len(df.columns) else F.lit(0)
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], tie).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by], tie)
+    others = [c for c in df.columns if c not in by]
+    order = [F.col(c).asc_nulls_first() for c in by] + ([F.xxhash64(*others)] if others else [])
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return line_numbers(stored(ranged, "ordered"), out=out)
 
 

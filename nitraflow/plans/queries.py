@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nitraflow.functions import geo as geo_functions
 from nitraflow.functions import scalars, weather
 from nitraflow.functions.tables import materialised
-from nitraflow.operators import catalog, county, geo, positions, quality, raster, soil, timeseries
+from nitraflow.operators import catalog, county, geo, positions, profiles, quality, raster, soil, timeseries
 from nitraflow.plans import forecast, panel
 from nitraflow.sources import files, responses, schemas, sinks
 
@@ -375,7 +375,7 @@ SELECT k::INT AS ord, least(5000, n - 5000 * k)::BIGINT AS rows_found, true AS o
 def chunk_audit(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     path = _new_path(spark, "chunks")
-    sinks.write_chunks(orders, path, "orders.csv", 5000)
+    sinks.write_chunks(orders, path, "orders.csv", 5000, scan=True)
     manifest = files.read_manifest(spark, f"{path}/manifest")
     scan = spark.read.schema(orders.schema).option("header", True).csv(f"{path}/chunks")
     return quality.chunk_audit(scan, manifest).join(manifest.select("filename", "ord"), "filename").select("ord", "rows_found", "ok")
@@ -438,14 +438,18 @@ OR (x >= {_AT("x", 0.7)} AND y >= {_AT("y", 0.1)} AND y < {_AT("y", 0.9)} AND x
 _POINTS = "p AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y FROM embeddings)"
 
 
+_CORNERS = ((0, 0, 0.1, 0.1), (0, 0, 0.6, 0.1), (0, 0, 0.6, 0.7), (0, 0, 0.1, 0.7), (0, 1, 0.3, 0.3), (0, 1, 0.4, 0.3), (0, 1, 0.4, 0.5), (0, 1, 0.3, 0.5), (1, 0, 0.7, 0.1), (1, 0, 0.95, 0.1), (1, 0, 0.7, 0.9))
+_RING_ENDS = [c for c in _CORNERS if [d[:2] for d in _CORNERS].index(c[:2]) == _CORNERS.index(c)]
+_VERTICES = f"""va AS (SELECT zone, part, ring, row_number() OVER (PARTITION BY zone, part, ring ORDER BY k) - 1 AS ord, round(x1 + (x2 - x1) * u, 6) AS x, round(y1 + (y2 - y1) * v, 6) AS y
+  FROM z, (VALUES {", ".join(str((k, *c)) for k, c in enumerate((*_CORNERS, *_RING_ENDS)))}) c(k, part, ring, u, v))"""
+
+
 @query(f"WITH {_POINTS}, {_ZONES} SELECT vec_id AS point_id, zone FROM p, z WHERE {_INSIDE}")
 def point_in_zone(spark, sf_dir):
     points = _embedding_points(spark, sf_dir)
     return geo.point_in_zone(points, geo.wkt_to_edges(_embedding_zones(points)))
 
 
-_CORNERS = ((0, 0, 0.1, 0.1), (0, 0, 0.6, 0.1), (0, 0, 0.6, 0.7), (0, 0, 0.1, 0.7), (0, 1, 0.3, 0.3), (0, 1, 0.4, 0.3), (0, 1, 0.4, 0.5), (0, 1, 0.3, 0.5), (1, 0, 0.7, 0.1), (1, 0, 0.95, 0.1), (1, 0, 0.7, 0.9))
-_RING_ENDS = [c for c in _CORNERS if [d[:2] for d in _CORNERS].index(c[:2]) == _CORNERS.index(c)]
 _EDGES = "SELECT zone, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {} WINDOW w AS (PARTITION BY zone, part, ring ORDER BY ord) QUALIFY x2 IS NOT NULL"
 _SIDE = lambda s, p, k: f"sign(({s}.x2 - {s}.x1) * ({p}.y{k} - {s}.y1) - ({s}.y2 - {s}.y1) * ({p}.x{k} - {s}.x1))"
 _WITHIN = lambda v, e: f"SELECT v.zone AS own, e.zone AS other FROM (SELECT * FROM {v} WHERE ord = 0) v JOIN {e} e ON v.y >= least(e.y1, e.y2) AND v.y < greatest(e.y1, e.y2) WHERE e.x1 + (v.y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) > v.x GROUP BY v.zone, v.part, v.ring, e.zone HAVING count(*) % 2 = 1"
@@ -453,8 +457,7 @@ _WITHIN = lambda v, e: f"SELECT v.zone AS own, e.zone AS other FROM (SELECT * FR
 
 @query(f"""
 WITH {_POINTS}, {_ZONES},
-va AS (SELECT zone, part, ring, row_number() OVER (PARTITION BY zone, part, ring ORDER BY k) - 1 AS ord, round(x1 + (x2 - x1) * u, 6) AS x, round(y1 + (y2 - y1) * v, 6) AS y
-  FROM z, (VALUES {", ".join(str((k, *c)) for k, c in enumerate((*_CORNERS, *_RING_ENDS)))}) c(k, part, ring, u, v)),
+{_VERTICES},
 vb AS (SELECT vec_id AS zone, 0 AS part, 0 AS ring, ord, round(x + dx, 6) AS x, round(y + dy, 6) AS y FROM p, (VALUES (0, -0.02, -0.01), (1, 0.02, -0.01), (2, 0.02, 0.01), (3, -0.02, 0.01), (4, -0.02, -0.01)) c(ord, dx, dy)),
 ea AS ({_EDGES.format("va")}), eb AS ({_EDGES.format("vb")}),
 crossed AS (SELECT ea.zone AS a, eb.zone AS b FROM ea JOIN eb ON least(ea.x1, ea.x2) <= greatest(eb.x1, eb.x2) AND least(eb.x1, eb.x2) <= greatest(ea.x1, ea.x2) AND least(ea.y1, ea.y2) <= greatest(eb.y1, eb.y2)
@@ -513,19 +516,22 @@ def county_year_panel(spark, sf_dir):
     return panel.county_year_panel(base, urgent, rich, sellers)
 
 
-@query()
+@query(f"WITH {_POINTS}, {_ZONES}, {_VERTICES} SELECT zone::VARCHAR AS zone, part::INT AS part, ring::INT AS ring, ord::INT AS ord, x, y FROM va")
 def geojson_features(spark, sf_dir):
-    return geo.to_geojson(geo.wkt_to_vertices(_embedding_zones(_embedding_points(spark, sf_dir))))
+    path = _new_path(spark, "features")
+    geo.to_geojson(geo.wkt_to_vertices(_embedding_zones(_embedding_points(spark, sf_dir)))).select("feature").write.text(path)
+    return geo.from_geojson(spark.read.text(path), "value")
 
 
 @query("""
 WITH f AS (SELECT s_suppkey AS zone, '{"type":"Feature","properties":{"zone":"' || s_suppkey || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[[' || s_suppkey || '.0,0.5],[' || (s_suppkey + 1) || '.0,0.5],[' || (s_suppkey + 1) || '.0,2.5],[' || s_suppkey || '.0,0.5]]]]}}' AS feature FROM supplier)
-SELECT '{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY zone) || ']}' AS collection FROM f""")
+SELECT zone // 50 AS sheet, '{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY zone) || ']}' AS collection FROM f GROUP BY 1""")
 def geojson_collection(spark, sf_dir):
     k = lambda n: (F.col("s_suppkey") + n).cast("string")
     wkt = F.concat(F.lit("POLYGON(("), k(0), F.lit(" 0.5,"), k(1), F.lit(" 0.5,"), k(1), F.lit(" 2.5,"), k(0), F.lit(" 0.5))"))
     zones = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone"), wkt.alias("wkt"))
-    return geo.feature_collection(geo.to_geojson(geo.wkt_to_vertices(zones)))
+    features = geo.to_geojson(geo.wkt_to_vertices(zones)).withColumn("sheet", F.floor(F.col("zone") / 50))
+    return geo.feature_collection(features, "sheet")
 
 
 @query(f"""
@@ -759,14 +765,17 @@ def yearly_rasters(spark, sf_dir):
     return read.groupBy("year").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query("SELECT c_custkey::VARCHAR AS FIPS, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS value FROM customer")
+@query("""
+SELECT c_custkey::VARCHAR AS FIPS, CASE WHEN c_custkey % 5 = 0 THEN c_name || chr(10) || 'second line' WHEN c_custkey % 5 = 1 THEN 'the "' || c_name || '", so called' ELSE c_name END AS name,
+CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS value FROM customer""")
 def sheet_with_titles(spark, sf_dir):
-    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal").cast("string")))
-    # one file: a sheet is one value here, as it is one file where it comes from
-    sheet = _read(spark, sf_dir, "customer").agg(F.concat(F.lit("A title, with a comma\nFIPS,name,value\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    name = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"'), "c_name", F.lit('\nsecond line"'))).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit('"the ""'), "c_name", F.lit('"", so called"'))).otherwise(F.col("c_name"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name, F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal").cast("string")))
+    # sheets of up to 200 rows, a file each
+    sheets = _read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 200).alias("sheet")).agg(F.concat(F.lit("A title, with a comma\n\nFIPS,name,value\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
     path = _new_path(spark, "sheet")
-    sheet.write.text(path)
-    return files.read_sheet(spark, f"{path}/*.txt", 1, schemas.both(schemas.strings("FIPS", "name"), schemas.doubles("value")))
+    sheets.write.partitionBy("sheet").text(path)
+    return files.read_sheet(spark, f"{path}/*/*.txt", 2, schemas.both(schemas.strings("FIPS", "name"), schemas.doubles("value")))
 
 
 @query("SELECT s_suppkey::VARCHAR AS uid FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)")
@@ -777,11 +786,56 @@ def sites_of_interest(spark, sf_dir):
 
 
 @query("SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM customer JOIN orders ON o_custkey = c_custkey) WHERE k = 1")
-def sorted_by_date(spark, sf_dir):
+def first_order(spark, sf_dir):
     joined = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_orderdate")
     return catalog.first_per_group(joined, "c_custkey", ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
 
 
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_no FROM orders")
+def sorted_by_date(spark, sf_dir):
+    return positions.numbered(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def leading_columns(spark, sf_dir):
+    return county.leading_columns(_read(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), "c_custkey", 2)
+
+
+@query("""
+SELECT p_partkey, round_even(p_size * p_partkey / 1024.0, 1) AS size_kb, CASE WHEN p_retailprice > 999 THEN round(ln(1 + (p_retailprice - 1000)), 8) END AS log_price, p_brand || ',' || p_type AS names FROM part""")
+def small_expressions(spark, sf_dir):
+    price = F.col("p_retailprice") - 1000
+    return _read(spark, sf_dir, "part").select("p_partkey", scalars.size_kb(F.col("p_size") * F.col("p_partkey")).alias("size_kb"), F.round(scalars.log1p_or_null(price), 8).alias("log_price"), scalars.comma_list(F.col("p_brand"), F.col("p_type")).alias("names"))
+
+
+@query(f"WITH {_POINTS} SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN x END AS lon, CASE WHEN vec_id % 7 <> 0 THEN y END AS lat FROM p")
+def points_of_wkt(spark, sf_dir):
+    at = lambda c: F.format_string("%.6f", c)
+    wkt = F.concat(F.when(F.col("point_id") % 7 == 0, F.lit("LINESTRING (")).otherwise(F.lit(" POINT( ")), at(F.col("x")), F.lit(" "), at(F.col("y")), F.lit(" )"))
+    lon, lat = geo_functions.point_xy(wkt)
+    return _embedding_points(spark, sf_dir).select(F.col("point_id").alias("vec_id"), lon.alias("lon"), lat.alias("lat"))
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events")
+def common_keys(spark, sf_dir):
+    return county.common_keys(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), _read(spark, sf_dir, "events").select(F.col("user_id").alias("k")), "k")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, ceil(count(*) / 900)::BIGINT AS n_files, count(*)::BIGINT AS n_rows, count({v})::BIGINT AS n_values, true AS near FROM orders" for c, t, v in (("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "CASE WHEN o_custkey % 3 > 0 THEN 1 END"), ("o_totalprice", "double", "o_totalprice"))))
+def profile_by_chunk(spark, sf_dir):
+    """Chunks are profiled one by one; half of them in a first run, the others when the manifest has grown."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("o_custkey"), "o_totalprice")
+    path = _new_path(spark, "profiled")
+    sinks.write_chunks(orders, path, "orders.csv", 900, by=["o_orderkey"])
+    manifest = files.read_manifest(spark, f"{path}/manifest")
+    read = lambda paths: spark.read.schema(orders.schema).option("header", True).csv(paths)
+    nothing = spark.createDataFrame([], profiles.STATE)
+    state = materialised(profiles.refreshed_state(nothing, manifest.where("ord % 2 = 0"), f"{path}/chunks", read))
+    merged = profiles.merged_profile(profiles.refreshed_state(state, manifest, f"{path}/chunks", read))
+    exact = quality.distinct_counts(orders).withColumnRenamed("n_distinct", "exact")
+    return merged.join(exact, "column").select("column", "type", "n_files", "n_rows", "n_values", (F.abs(F.col("n_distinct") / F.col("exact") - 1) < 0.06).alias("near"))
+
+
 # ---------------------------------------------------------------- forecasts
 
 

@@ -78,8 +78,11 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, skip_rows: int, schema: T.StructType) -> DataFrame:
-    """A table whose header stands below skip_rows title rows. A sheet is one file of bounded size: its lines are
-    numbered by its one task, and every line after the header that isn't empty is a row; cells that a row lacks are null."""
-    cells = F.from_csv("line", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), {"mode": "PERMISSIVE"})
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    return lines.where((F.col("at") > skip_rows) & (F.trim("line") != "")).select(cells.alias("r")).select("r.*")
+    """Tables whose header stands below skip_rows title lines, one in each file of path. A sheet is a file of bounded
+    size; many of them are read side by side. A quoted cell may hold line breaks, commas and doubled quotes; every record after the header
+    that isn't blank is a row; cells that a row lacks are null."""
+    cells = F.from_csv("record", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), {"mode": "PERMISSIVE", "multiLine": "true", "escape": '"'})
+    below = F.regexp_replace("value", rf"^(?:[^\n]*\n){{{skip_rows}}}", "")
+    records = F.regexp_extract_all(below, F.lit(r'((?:[^"\n]++|"[^"]*+"?)++)'), F.lit(1))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(records).alias("at", "record"))
+    return rows.where((F.col("at") > 0) & (F.trim(F.translate("record", "\r", "")) != "")).withColumn("record", F.regexp_replace("record", "\r$", "")).select(cells.alias("r")).select("r.*")

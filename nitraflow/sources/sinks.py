@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nitraflow.functions.tables import stored
 from nitraflow.operators.positions import line_numbers, numbered
 
 from .schemas import MANIFEST
@@ -25,14 +26,14 @@ def write_by_site(df: DataFrame, root: str, site: str = "site_uid", salts: int =
     rows.repartition(*keys).write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy(site).parquet(root)
 
 
-def write_chunks(df: DataFrame, path: str, name: str, chunk_size: int = 500_000, by: Sequence[str] = ()) -> DataFrame:
+def write_chunks(df: DataFrame, path: str, name: str, chunk_size: int = 500_000, by: Sequence[str] = (), scan: bool = False) -> DataFrame:
     """CSV files of exactly chunk_size rows each but the last, in order, every one with a header; and the
     manifest as a one-row frame (also written below path/manifest), its chunks in order.
 
-    The order is that of the columns `by`, or without them that of the file scan df. A row goes to the task
-    of its chunk by its global position, so the chunks are full however many tasks read df. A table without rows gives
-    one file without rows."""
-    rows = numbered(df, by, "_row_no") if by else line_numbers(df, out="_row_no")
+    The order is that of the columns `by`; or, where df is a plain file scan, that of its files and their rows; or else that
+    of df's partitions, as an ordered frame has it. A row goes to the task of its chunk by its global position, so the
+    chunks are full however many tasks read df. A table without rows gives one file without rows."""
+    rows = numbered(df, by, "_row_no") if by else line_numbers(df if scan else stored(df, "ordered"), out="_row_no")
     last = rows.agg(F.max("_row_no")).first()[0]
     n_chunks = 1 if last is None else last // chunk_size + 1
     chunk = F.floor(F.col("_row_no") / chunk_size).cast("int")

@@ -71,7 +71,7 @@ def test_numbered_by_columns(spark):
 def test_chunks_are_full_and_in_order(spark, tmp_path, small_splits, rows, size):
     csv_files(tmp_path / "d", [rows // 3, rows - rows // 3])
     df = scan(spark, tmp_path / "d")
-    told = sinks.write_chunks(df, str(tmp_path / "out"), "d.csv", size).first()
+    told = sinks.write_chunks(df, str(tmp_path / "out"), "d.csv", size, scan=True).first()
     written = sorted((tmp_path / "out/chunks").glob("*.csv"))
     n_files = max(1, -(-rows // size))
     assert len(written) == n_files and told["total_rows"] == rows
@@ -87,9 +87,10 @@ def test_chunks_are_full_and_in_order(spark, tmp_path, small_splits, rows, size)
 
 def test_chunks_of_any_frame_in_the_order_of_columns(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"), F.lit("t").alias("b")).repartition(5)
-    sinks.write_chunks(df, str(tmp_path / "out"), "d.csv", 300, by=["a"])
-    parts = [pd.read_csv(f).a.tolist() for f in sorted((tmp_path / "out/chunks").glob("*.csv"))]
-    assert [len(p) for p in parts] == [300, 300, 300, 100] and sum(parts, []) == list(range(1000))
+    for label, frame, by in (("by", df, ["a"]), ("ordered", df.orderBy("a"), [])):
+        sinks.write_chunks(frame, str(tmp_path / label), "d.csv", 300, by)
+        parts = [pd.read_csv(f).a.tolist() for f in sorted((tmp_path / label / "chunks").glob("*.csv"))]
+        assert [len(p) for p in parts] == [300, 300, 300, 100] and sum(parts, []) == list(range(1000))
 
 
 def test_two_files_compared_without_a_key(spark, tmp_path, small_splits):

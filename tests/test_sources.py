@@ -41,6 +41,12 @@ def test_sheet_and_rasters(spark, tmp_path):
     (tmp_path / "t.csv").write_text('Title\nmore,title\n"FIPS",Name,Value\n"01001","A, b",5\n"01003",C,\n')
     rows = files.read_sheet(spark, str(tmp_path / "t.csv"), 2, schemas.both(schemas.strings("FIPS", "Name"), schemas.doubles("Value"))).collect()
     assert [tuple(r) for r in rows] == [("01001", "A, b", 5.0), ("01003", "C", None)]
+    (tmp_path / "q.csv").write_text('A title\n\nFIPS,Name,Value\r\n01,"A\nB, ""so"" called",1.5\r\n\r\n02,plain,2\n03,"ends\n\nlate",')
+    rows = files.read_sheet(spark, str(tmp_path / "q.csv"), 2, schemas.both(schemas.strings("FIPS", "Name"), schemas.doubles("Value"))).collect()
+    assert [tuple(r) for r in rows] == [("01", 'A\nB, "so" called', 1.5), ("02", "plain", 2.0), ("03", "ends\n\nlate", None)]
+    wide = "x," * 3000 + '"y\nz"'
+    (tmp_path / "w.csv").write_text("a\n" + "".join(f'{i},"{"word " * 5000}{chr(10)}b"\n' for i in range(20)) + wide + "\n")
+    assert files.read_sheet(spark, str(tmp_path / "w.csv"), 0, schemas.strings("a", "b")).count() == 21
     spark.createDataFrame([(0, 0, 1.0, 2.0, -99.0), (0, 1, 2.0, 2.0, 7.0)], schemas.PIXELS).write.parquet(str(tmp_path / "Surplus_N_2017.parquet"))
     found = files.read_yearly_rasters(spark, str(tmp_path / "Surplus_N_*.parquet"), nodata=-99.0).orderBy("col").collect()
     assert [(r.year, r.value) for r in found] == [(2017, None), (2017, 7.0)]
