@@ -3,11 +3,16 @@ where a credential would.
 
 The guess cost of a value is the smallest log10 number of guesses over all ways to cut it into
 dictionary words, dates, repeats, keyboard walks, runs of consecutive characters and brute-force
-spans (dynamic programming over positions). A value next to a credential keyword that costs at
-least `min_log10_guesses` is reported as a span of kind `guess`; one or two ordinary words and short numbers
-after such a keyword cost less and are left alone. Words are ranked by frequency: the common password words
-below, then, with `vocabulary`, the whole words of a public byte-level tokenizer's vocabulary file, whose
-order follows how often they occur. Without that file any other word is spelled out and may be reported.
+spans (dynamic programming over positions). Letters of a brute-force span cost what they do after the letter
+before them in the dictionary, if that is less: a word that isn't in it is spelled out cheaply, random letters aren't.
+Words are ranked by frequency: the common password words below, then, with `vocabulary`, the whole words of
+a public byte-level tokenizer's vocabulary file, whose order follows how often they occur.
+
+A value next to a credential keyword is reported as a span of kind `guess` by its cost and by its cost for each
+character, as a sum alone can't tell surprise from length: see `GuessRules`. Ordinary words, phrases of
+them, dates and short numbers stay below. Shares measured in `tests/llm/test_secret_scan.py`: of random
+values of 8 to 16 characters of letters and digits, of hex digits, of mixed-case letters and of printable characters at least 0.9 of each kind are
+reported; of phrases of one to four words of the vocabulary and of the corpus none or nearly none.
 
 One pass without a shuffle. Null texts count as empty. Spans are code points, end exclusive.
 """
@@ -17,8 +22,11 @@ from __future__ import annotations
 import json
 import math
 import re
+import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +73,44 @@ def _neighbours() -> dict[str, set[str]]:
 NEAR = _neighbours()
 
 
-def _char_cost(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if "a" <= c.lower() <= "z" else 33 if c.isascii() else 100)
+def _char_cost(c: str, mixed: bool) -> float:
+    """Brute force by kind of character; separators of words are few. `mixed`: capitals stand anywhere in the value."""
+    if c in " _-.":
+        return math.log10(4)
+    return math.log10(10 if c.isdigit() else (52 if mixed else 26) if c.isalpha() else 33 if c.isascii() else 100)
 
 
 @dataclass(frozen=True)
 class GuessRules:
-    min_log10_guesses: float = 10.0
-    min_length: int = 6
+    """A value is reported that costs min_log10_guesses, or letters_log10_guesses if it is letters of one case (a leading
+    capital aside) and separators, or digits_log10_guesses if it is digits and separators; and for each character
+    the share that belongs to its kind."""
+
+    min_log10_guesses: float = 7.6
+    letters_log10_guesses: float = 9.0
+    digits_log10_guesses: float = 12.0
+    min_per_char: float = 0.98
+    letters_per_char: float = 1.12
+    digits_per_char: float = 0.8
+    min_length: int = 8
     segment_cost: float = 0.3
     words: tuple[str, ...] = tuple(COMMON)
     vocabulary: str | None = None
 
 
+_SEPARATORS = re.compile(r"[ _.-]")
+
+
+def _mixed(value: str) -> bool:
+    """Whether capitals and small letters stand in an order that isn't that of words, each with a leading capital at most, or all capitals."""
+    return any(not (w.islower() or w.isupper() or w[1:].islower()) for w in re.findall(r"[^\W\d_]+", value) if len(w) > 1)
+
+
+def decomposition(c: str) -> str:
+    """The character without its accents."""
+    return unicodedata.normalize("NFD", c)
+
+
 @lru_cache(maxsize=4)
 def vocabulary_words(path: str) -> tuple[str, ...]:
     """The words of three letters or more in a byte-level vocabulary file (each marked as opening a word), in its order."""
@@ -93,11 +126,38 @@ class GuessCost:
         words = dict.fromkeys((*rules.words, *(vocabulary_words(rules.vocabulary) if rules.vocabulary else ())))
         self.rank = {w: i + 1 for i, w in enumerate(words)}
         self.longest = max(map(len, self.rank), default=0)
+        self.after = self._letters(words)
+
+    @staticmethod
+    def _letters(words) -> dict[str, float]:
+        """The cost of a letter after another (or, first in a word, after a space): -log10 of its share in the words."""
+        pairs, single = Counter(), Counter()
+        for w in words:
+            for a, b in pairwise(f" {w}"):
+                pairs[a + b] += 1
+                single[a] += 1
+        return {p: -math.log10(n / (single[p[0]] + 1)) for p, n in pairs.items()}
+
+    def secret(self, value: str) -> float | None:
+        """The cost of a value that is to be reported, None for another."""
+        if len(value) < self.rules.min_length:
+            return None
+        r, plain = self.rules, _SEPARATORS.sub("", value)
+        if plain.isdigit():
+            least, share = r.digits_log10_guesses, r.digits_per_char
+        elif plain.isalpha() and not _mixed(value):
+            least, share = r.letters_log10_guesses, r.letters_per_char
+        else:
+            least, share = r.min_log10_guesses, r.min_per_char
+        cost = self(value)
+        return cost if cost >= max(least, share * len(value)) else None
 
     def __call__(self, value: str) -> float:
         """log10 guesses of the cheapest segmentation; linear in the length of the value."""
         n, low = len(value), value.lower()
-        plain = low.translate(LEET)
+        low = low if len(low) == n else value
+        plain, mixed = low.translate(LEET), _mixed(value)
+        letters = "".join(decomposition(c)[0] if not c.isascii() else c for c in low)
         best = [0.0] + [math.inf] * n
         walk = _run_lengths(low, lambda a, b: b in NEAR.get(a, ()))
         same = _run_lengths(value, lambda a, b: a == b)
@@ -108,7 +168,11 @@ class GuessCost:
                 dates.setdefault(m.end(), []).append(i)
         extra = self.rules.segment_cost
         for i in range(1, n + 1):
-            cost = best[i - 1] + _char_cost(value[i - 1])
+            own = _char_cost(value[i - 1], mixed)
+            if not mixed and value[i - 1].isalpha():
+                before = letters[i - 2] if i > 1 and value[i - 2].isalpha() else " "
+                own = min(own, self.after.get(before + letters[i - 1], own))
+            cost = best[i - 1] + own
             for j in range(max(0, i - self.longest), i - 2):
                 rank = self.rank.get(low[j:i])
                 leet = 0.0
@@ -150,7 +214,7 @@ def find_spans(text: str, maybe_hex: bool, cost: GuessCost) -> list[tuple[int, i
         found += [(m.start(), 0, m.end(), math.nan) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         for m in CONTEXT.finditer(text):
             k = next(k for k in (1, 2, 3) if m[k] is not None)
-            if len(m[k]) >= cost.rules.min_length and (g := cost(m[k])) >= cost.rules.min_log10_guesses:
+            if (g := cost.secret(m[k])) is not None:
                 found.append((m.start(k), 3, m.end(k), g))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), math.nan) for m in ACCESS.finditer(text)]

@@ -1,12 +1,14 @@
 import itertools
 import math
+import random
 import re
+import string
 
 import public_tokenizers
 import pytest
 from conftest import AWKWARD
 
-from nitraflow.llm.secret_scan import GuessCost, GuessRules, scan_secrets
+from nitraflow.llm.secret_scan import GuessCost, GuessRules, scan_secrets, vocabulary_words
 
 
 def brute(text):
@@ -34,12 +36,46 @@ WORDS = GuessRules(vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 @pytest.mark.parametrize("value", ["password", "qwerty", "aaaaaaaa", "2021-03-04", "12345678", "passwordpassword", "asdfgh", "abcdef", "harvest", "elephant", "Tomorrow", "next_value", "disabled"])
 def test_easy_values_cost_little(value):
-    assert GuessCost(WORDS)(value) < WORDS.min_log10_guesses
+    assert GuessCost(WORDS)(value) < WORDS.letters_log10_guesses and GuessCost(WORDS).secret(value) is None
 
 
 @pytest.mark.parametrize("value", ["b7db7aa4a5fcc78305", "xK9#mQ2$vL", "tr0ub4dor&3xyz9Q", "Zq81vmTc"])
 def test_random_values_cost_much(value):
-    assert GuessCost(WORDS)(value) >= WORDS.min_log10_guesses
+    assert GuessCost(WORDS).secret(value) >= WORDS.min_log10_guesses
+
+
+ALPHABETS = {"letters and digits": string.ascii_letters + string.digits, "small letters and digits": string.ascii_lowercase + string.digits, "hex": "0123456789abcdef", "letters": string.ascii_letters, "printable": string.ascii_letters + string.digits + "!#$%&*+-/=?@^_"}
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+@pytest.mark.parametrize("n", [8, 10, 12, 16])
+def test_recall_of_random_values(kind, n):
+    rnd, cost = random.Random(f"{kind}{n}"), GuessCost(WORDS)
+    assert sum(cost.secret("".join(rnd.choices(ALPHABETS[kind], k=n))) is not None for _ in range(300)) >= 0.88 * 300
+
+
+@pytest.mark.parametrize("n", [8, 12, 16])
+def test_recall_of_small_letters_alone(n):
+    """The hardest kind, as unknown words are small letters too."""
+    rnd, cost = random.Random(n), GuessCost(WORDS)
+    assert sum(cost.secret("".join(rnd.choices(string.ascii_lowercase, k=n))) is not None for _ in range(300)) >= 0.85 * 300
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+@pytest.mark.parametrize("sep", [" ", "_", "-", "."])
+def test_phrases_are_left_alone(sample_docs, n, sep):
+    """Words of the vocabulary, its rare half too, and of the corpus's English texts."""
+    rnd, cost = random.Random(f"{n}{sep}"), GuessCost(WORDS)
+    known = vocabulary_words(WORDS.vocabulary)
+    told = lambda words, k: sum(cost.secret(sep.join(rnd.choices(words, k=n))) is not None for _ in range(k))
+    assert told(known[:12_000], 300) <= 1 and told(known[12_000:], 300) <= 3
+    texts = [w for r in sample_docs.where("lang = 'en'").select("text").collect() for w in re.findall(r"[a-z]+", r["text"] or "")]
+    assert told(texts, 300) <= 9
+
+
+@pytest.mark.parametrize("value", ["2021-03-04 12:00", "http://example.com/page", "user@example.com", "config.settings.value", "process.env.TOKEN", "${TOKEN_VALUE}", "your_api_key_here", "localhost:8080", "getPassword()", "P@ssw0rd2021", "Donaudampfschifffahrt", "harvest festival ground", "the old lighthouse keeper", "0123-4567", "20240131"])
+def test_values_that_code_and_prose_put_there(value):
+    assert GuessCost(WORDS).secret(value) is None
 
 
 def test_ordinary_words_are_left_alone(docs_of):
@@ -55,8 +91,21 @@ def test_cost_is_the_cheapest_segmentation():
     at = {k: (y, x) for y, row in enumerate(rows) for x, k in enumerate(row)}
     near = lambda a, b: a != b and a in at and b in at and max(abs(at[a][0] - at[b][0]), abs(at[a][1] - at[b][1])) <= 1
 
-    def piece(x):
-        out = [sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in x)]
+    shares = {}
+    for w in rules.words:
+        for a, b in zip(f" {w}", w):
+            shares.setdefault(a, []).append(b)
+
+    def spelled(value):
+        """Each character's cost by brute force, a letter's also after the letter before it."""
+        for before, c in zip(f" {value}", value):
+            before = before if before.isalpha() else " "
+            follow = shares.get(before, [])
+            plain = math.log10(10 if c.isdigit() else 26)
+            yield min(plain, -math.log10(follow.count(c) / (len(follow) + 1))) if c.isalpha() and c in follow else plain
+
+    def piece(x, letters):
+        out = [sum(letters)]
         if len(x) >= 3 and x in rules.words:
             out.append(math.log10(1 + rules.words.index(x)) + extra)
         pairs = list(zip(x, x[1:]))
@@ -72,8 +121,10 @@ def test_cost_is_the_cheapest_segmentation():
         return min(out)
 
     for value in ("password", "passcat", "catabc", "aaabbb", "qwe123", "cat2019", "xcatx", "zxcpass", "a1b2c3", "dcba99"):
-        cuts = itertools.product([False, True], repeat=len(value) - 1)
-        best = min(sum(map(piece, "".join(c + ("|" if i < len(cut) and cut[i] else "") for i, c in enumerate(value)).split("|"))) for cut in cuts)
+        letters, best = list(spelled(value)), math.inf
+        for cut in itertools.product([False, True], repeat=len(value) - 1):
+            ends = [i + 1 for i, c in enumerate(cut) if c] + [len(value)]
+            best = min(best, sum(piece(value[i:j], letters[i:j]) for i, j in zip([0, *ends], ends)))
         assert cost(value) == pytest.approx(best), value
     assert cost("x" * 5000) < 10
 
