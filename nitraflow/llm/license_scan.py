@@ -6,7 +6,8 @@ regression over hashed word unigrams and bigrams (sparse) gives each segment a w
 family and for the class `unknown`. It is trained on notices made from the templates below, embedded in
 ordinary words, against a bounded sample of corpus segments (`max_segments`) as unknown. Each family is
 judged by its odds against `unknown`, so a segment may hold several; the odds needed are calibrated on
-segments held out from the fit, so that at most `false_rate` of the ordinary ones would pass. A
+segments held out from the fit, so that at most `false_rate` of the ordinary ones would pass (within `threshold_range`, as
+templates confirm what passes). A
 prediction counts once a template of that family confirms it: enough of the template's word trigrams
 stand in the segment, or, for long templates, enough of the segment's in the template.
 
@@ -33,11 +34,19 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+        "The ASF licenses this file to You under the Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004",
+        "Apache License 2.0",
+        "Apache Software License",
+        "License: Apache",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "boost": (
         "Distributed under the Boost Software License, Version 1.0.",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Boost Software License",
         "SPDX-License-Identifier: BSL-1.0",
     ),
     "bsd": (
@@ -45,14 +54,28 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
+        "License: BSD",
+        "BSD License",
         "Released under the BSD License", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+        "Attribution-NonCommercial-NoDerivatives 4.0 International",
+        "CC BY-SA", "CC BY-NC",
+        "Creative Commons Attribution",
+        "Creative Commons License",
         "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/",
     ),
     "epl": (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE",
+        "Eclipse Public License",
         "Licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0",
     ),
     "gpl": (
@@ -61,15 +84,34 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "GNU General Public License",
+        "Affero General Public License",
+        "GNU GPL",
+        "License: GPL",
+        "License: GPLv2",
+        "License: GPLv3",
+        "under the GPL",
         "Released under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "ISC License",
+        "License: ISC",
         "Released under the ISC License", "SPDX-License-Identifier: ISC",
     ),
     "lgpl": (
         "licensed under the GNU Lesser General Public License",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, see",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "Lesser General Public License",
+        "Library General Public License",
+        "License: LGPL",
+        "GNU LGPL",
         "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only",
     ),
     "mit": (
@@ -77,13 +119,30 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "The MIT License (MIT)",
+        "MIT License Copyright (c)",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE",
+        "MIT License",
+        "License: MIT",
         "SPDX-License-Identifier: MIT",
     ),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
-    "public_domain": ("This work is released into the public domain", "This is free and unencumbered software released into the public domain", "dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense"),
+    "mpl": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+        "Mozilla Public License", "License: MPL",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "public_domain": (
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+        "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "This work is released into the public domain", "This is free and unencumbered software released into the public domain", "dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense",
+    ),
     "reserved": ("All rights reserved",),
     "zlib": (
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "The zlib License",
+        "zlib/libpng license",
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "SPDX-License-Identifier: Zlib",
     ),
 }
@@ -105,6 +164,7 @@ class LicenseSettings:
     rate: float = 0.5
     decay: float = 1e-5
     false_rate: float = 5e-3
+    threshold_range: tuple[float, float] = (0.02, 0.95)
     overlap: float = 0.6
     least_trigrams: int = 6
     seed: int = 3
@@ -162,7 +222,8 @@ def features(x: Segments, s: LicenseSettings) -> tuple[np.ndarray, np.ndarray]:
 class LicenseModel:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, threshold: float, settings: LicenseSettings) -> None:
         self.weights, self.bias, self.threshold, self.settings = weights, bias, threshold, settings
-        self.templates = [(f, np.unique(t)) for f in FAMILIES[1:] for text in TEMPLATES[f] if len(t := trigrams(_hashed(text)))]
+        # a template of two words is compared by its pair
+        self.templates = [(f, min(len(w), 3), np.unique(grams(w, min(len(w), 3)))) for f in FAMILIES[1:] for text in TEMPLATES[f] if len(w := _hashed(text)) > 1]
 
     def odds(self, x: Segments) -> np.ndarray:
         """For each segment and family the probability against `unknown` alone."""
@@ -175,15 +236,17 @@ class LicenseModel:
 
     def confirmed(self, words: np.ndarray, family: str) -> tuple[float, np.ndarray]:
         """The largest share of a template of the family whose trigrams stand in the segment, or of the
-        segment's trigrams, if it has several, that stand in a template; and where those begin."""
-        held = trigrams(words)
-        n, best, where = len(np.unique(held)), 0.0, np.zeros(0, np.int64)
-        for f, t in self.templates:
-            if f == family and n:
-                shared = np.isin(t, held).sum()
+        segment's trigrams, if it has several, that stand in a template; and where those of all templates begin that
+        share `overlap` or more."""
+        held = {k: grams(words, k) for k in (2, 3)}
+        n, best, where = len(np.unique(held[3])), 0.0, np.zeros(0, np.int64)
+        for f, k, t in self.templates:
+            if f == family and len(held[k]):
+                shared = np.isin(t, held[k]).sum()
                 share = max(shared / len(t), shared / n if shared >= self.settings.least_trigrams else 0.0)
-                if share > best:
-                    best, where = float(share), np.flatnonzero(np.isin(held, t))
+                best = max(best, float(share))
+                if share >= self.settings.overlap:
+                    where = np.union1d(where, np.flatnonzero(np.isin(held[k], t)))
         return best, where
 
 
@@ -193,10 +256,12 @@ def _hashed(text: str) -> np.ndarray:
     return span_hashes(data, starts, ends, LOWERED)
 
 
-def trigrams(words: np.ndarray) -> np.ndarray:
-    """Hashes of the word trigrams, in order."""
-    if len(words) < 3:
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of two or three words, in order."""
+    if len(words) < k:
         return words[:0]
+    if k == 2:
+        return mix(words[:-1] * U(7) + mix(words[1:] + U(1)))
     return mix(words[:-2] * U(9) + mix(words[1:-1]) * U(3) + mix(mix(words[2:])))
 
 
@@ -236,8 +301,8 @@ def fit_licenses(df: DataFrame, text: str = "text", settings: LicenseSettings |
 def train(ordinary: list[np.ndarray], s: LicenseSettings) -> LicenseModel:
     rng = np.random.default_rng(s.seed)
     known = LicenseModel(np.zeros((s.buckets + 1, len(FAMILIES))), np.zeros(len(FAMILIES)), 0.5, s)
-    every = np.unique(np.concatenate([t for _, t in known.templates]))
-    plain = [w for w in ordinary if not np.isin(trigrams(w), every).any()]  # licence notices of the corpus itself aren't `unknown`
+    every = np.unique(np.concatenate([t for *_, t in known.templates]))
+    plain = [w for w in ordinary if not any(np.isin(grams(w, k), every).any() for k in (2, 3))]  # licence notices of the corpus itself aren't `unknown`
     made, labels = [], []
     for i, family in enumerate(FAMILIES[1:], 1):
         for text in TEMPLATES[family]:
@@ -258,7 +323,7 @@ def train(ordinary: list[np.ndarray], s: LicenseSettings) -> LicenseModel:
     weights, bias = fit_sparse(*features(_stack(fit), s), y, s)
     model = LicenseModel(weights, bias, 0.5, s)
     if held:
-        model.threshold = float(max(0.5, np.quantile(model.odds(_stack(held)).max(1), 1 - s.false_rate)))
+        model.threshold = float(np.clip(np.quantile(model.odds(_stack(held)).max(1), 1 - s.false_rate), *s.threshold_range))
     return model
 
 
