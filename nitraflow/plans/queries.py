@@ -175,7 +175,7 @@ def duration_filter(spark, sf_dir):
 SELECT o_orderkey, o_totalprice, greatest((SELECT count(*) FROM orders) - 25, 0)::BIGINT AS n_more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
 def head_sample(spark, sf_dir):
     head, rest = catalog.head_with_rest(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 25)
-    return head.withColumn("one", F.lit(1)).join(rest.withColumn("one", F.lit(1)), "one").drop("one")
+    return head.crossJoin(F.broadcast(rest))  # one row
 
 
 @query("""
@@ -252,7 +252,7 @@ def intensity_long(spark, sf_dir):
     land = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("STCOFIPS"), (F.col("n_nationkey") % 4).cast("double").alias("area_land_km2"))
     long = county.intensity_long(county.intensity(farm, land, _YEARS).withColumnRenamed("fips-int", "k"), ["k"], value="intensity")
     long = materialised(_rounded(long, "intensity"))
-    return long.withColumn("one", F.lit(1)).join(county.value_range(long, "intensity").withColumn("one", F.lit(1)), "one").drop("one")
+    return long.crossJoin(F.broadcast(county.value_range(long, "intensity")))  # one row
 
 
 @query("""
