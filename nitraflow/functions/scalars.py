@@ -14,6 +14,14 @@ def share_of_area(area: Column, percent: Column) -> Column:
     return area * percent / 100
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double to so many digits as SQL engines in binary round it: the product with the power of ten to the nearest whole
+    number, halves away from zero. Spark's round goes by the shortest decimal text instead: 0.145, whose product is
+    14.499999999999998, it rounds to 0.15."""
+    power = 10.0**digits
+    return F.round(value * power) / power
+
+
 def size_kb(n_bytes: Column) -> Column:
     """To one digit, halves to even."""
     return F.bround(n_bytes / 1024, 1)

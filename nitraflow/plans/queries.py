@@ -42,7 +42,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    types = dict(df.dtypes)
+    return df.withColumns({c: scalars.rounded(F.col(c), digits) if types[c] == "double" else F.round(c, digits) for c in columns})
 
 
 # ---------------------------------------------------------------- time series
@@ -417,14 +418,15 @@ z AS (SELECT label AS zone, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS
 
 
 def _embedding_points(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"))
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label", scalars.rounded(F.col("embedding")[0].cast("double"), 6).alias("x"), scalars.rounded(F.col("embedding")[1].cast("double"), 6).alias("y"))
 
 
 def _embedding_zones(points: DataFrame) -> DataFrame:
     box = points.groupBy(F.col("label").alias("zone")).agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
 
     def ring(*corners: tuple[float, float]):
-        at = [F.concat_ws(" ", F.format_string("%.6f", F.col("x1") + (F.col("x2") - F.col("x1")) * u), F.format_string("%.6f", F.col("y1") + (F.col("y2") - F.col("y1")) * v)) for u, v in (*corners, corners[0])]
+        along = lambda axis, u: F.format_string("%.6f", scalars.rounded(F.col(f"{axis}1") + (F.col(f"{axis}2") - F.col(f"{axis}1")) * u, 6))
+        at = [F.concat_ws(" ", along("x", u), along("y", v)) for u, v in (*corners, corners[0])]
         return F.concat(F.lit("("), F.concat_ws(", ", *at), F.lit(")"))
 
     outer, hole = ring((0.1, 0.1), (0.6, 0.1), (0.6, 0.7), (0.1, 0.7)), ring((0.3, 0.3), (0.4, 0.3), (0.4, 0.5), (0.3, 0.5))
@@ -465,7 +467,7 @@ crossed AS (SELECT ea.zone AS a, eb.zone AS b FROM ea JOIN eb ON least(ea.x1, ea
 SELECT a AS region, b AS zone FROM crossed UNION SELECT own, other FROM ({_WITHIN("va", "eb")}) UNION SELECT other, own FROM ({_WITHIN("vb", "ea")})""")
 def areas_that_meet(spark, sf_dir):
     points = _embedding_points(spark, sf_dir)
-    corners = F.array(*[F.struct(F.lit(i).alias("ord"), F.round(F.col("x") + dx, 6).alias("x"), F.round(F.col("y") + dy, 6).alias("y")) for i, (dx, dy) in enumerate(((-0.02, -0.01), (0.02, -0.01), (0.02, 0.01), (-0.02, 0.01), (-0.02, -0.01)))])
+    corners = F.array(*[F.struct(F.lit(i).alias("ord"), scalars.rounded(F.col("x") + dx, 6).alias("x"), scalars.rounded(F.col("y") + dy, 6).alias("y")) for i, (dx, dy) in enumerate(((-0.02, -0.01), (0.02, -0.01), (0.02, 0.01), (-0.02, 0.01), (-0.02, -0.01)))])
     units = points.select(F.col("point_id").alias("zone"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(corners))
     return geo.area_map_units(units, geo.wkt_to_vertices(_embedding_zones(points)))
 
@@ -497,7 +499,7 @@ def surplus_panel(spark, sf_dir):
     points = _embedding_points(spark, sf_dir)
     code = F.lpad((F.col("label") % 60 + 1).cast("string"), 2, "0")
     counties = points.select("label").distinct().select(F.col("label").alias("GEOID"), code.alias("STATEFP"), *[F.concat(F.lit(f"{n} "), F.col("label").cast("string")).alias(n) for n in ("COUNTYFP", "NAME", "NAMELSAD")])
-    pixels = points.select((2020 + F.col("point_id") % 3).cast("int").alias("year"), F.round("y", 2).alias("x"), F.round("x", 1).alias("y"), F.col("x").alias("value"))
+    pixels = points.select((2020 + F.col("point_id") % 3).cast("int").alias("year"), scalars.rounded(F.col("y"), 2).alias("x"), scalars.rounded(F.col("x"), 1).alias("y"), F.col("x").alias("value"))
     return _rounded(panel.surplus_panel(pixels, geo.wkt_to_edges(_embedding_zones(points)), counties, county.state_table(spark)), "mean_surplus_kgha", "raw_sum", "total_kg_N")
 
 
