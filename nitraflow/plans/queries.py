@@ -482,7 +482,7 @@ FROM z CROSS JOIN (SELECT DISTINCT year FROM px) y LEFT JOIN i ON i.zone = z.zon
 def zonal_stats(spark, sf_dir):
     points = _embedding_points(spark, sf_dir)
     zones = _embedding_zones(points)
-    pixels = points.select((2020 + F.col("point_id") % 3).cast("int").alias("year"), F.round("x", 1).alias("py"), F.col("x").alias("value"), F.round("y", 2).alias("px")).select("year", F.col("px").alias("x"), F.col("py").alias("y"), "value")
+    pixels = points.select((2020 + F.col("point_id") % 3).cast("int").alias("year"), scalars.rounded(F.col("x"), 1).alias("py"), F.col("x").alias("value"), scalars.rounded(F.col("y"), 2).alias("px")).select("year", F.col("px").alias("x"), F.col("py").alias("y"), "value")
     stats = geo.zonal_stats(pixels, geo.wkt_to_edges(zones), zones.select("zone"))
     out = stats.select("zone", "year", F.col("mean").alias("mean_surplus_kgha"), F.col("sum").alias("raw_sum"), (F.col("sum") * raster.PIXEL_HECTARES).alias("total_kg_N"), F.col("count").alias("pixel_count"))
     return _rounded(out, "mean_surplus_kgha", "raw_sum", "total_kg_N")

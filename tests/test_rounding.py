@@ -16,7 +16,7 @@ def halves(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["surplus_panel", "point_in_zone", "zones_from_text", "geojson_features"])
+@pytest.mark.parametrize("name", ["zonal_stats", "surplus_panel", "point_in_zone", "zones_from_text", "geojson_features"])
 def test_halves_are_rounded_as_sql_does(spark, halves, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{halves}/embeddings.parquet'")
