@@ -46,8 +46,21 @@ def read_chunks(spark: SparkSession, root: str, manifest: DataFrame, schema: T.S
 
 
 def read_site(spark: SparkSession, root: str, uid: str) -> DataFrame:
-    """One site of a table partitioned by site; only its folder is read."""
-    return spark.read.parquet(root).where(F.col("site_uid") == F.lit(uid.strip()))
+    """One site of a table partitioned by site; only its folder is listed and read, however many sites there are. A site
+    without a folder has no rows."""
+    own = f"{root.rstrip('/')}/site_uid={_escaped(uid.strip())}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    there = uid.strip() != "" and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    found = spark.read.option("basePath", root).parquet(own if there else root)
+    # the site is text; left to inference, that of a folder read alone could become a number
+    schema = T.StructType([*(f for f in found.schema.fields if f.name != "site_uid"), T.StructField("site_uid", T.StringType())])
+    rows = spark.read.schema(schema).option("basePath", root).parquet(own if there else root)
+    return rows.where(F.col("site_uid") == F.lit(uid.strip()))
+
+
+def _escaped(value: str) -> str:
+    """A partition's value as Hive and Spark write it in a folder's name."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in value)
 
 
 def read_keyed_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:

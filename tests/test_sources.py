@@ -76,3 +76,13 @@ def test_sites_of_interest(spark, tmp_path):
     assert [r.uid for r in catalog.sites_with_data(sites, readings).collect()] == ["a"]
     sinks.write_sites_of_interest(sites, readings, str(tmp_path / "s"))
     assert spark.read.option("header", True).csv(str(tmp_path / "s")).count() == 1
+
+
+def test_only_the_folder_of_a_site_is_listed(spark, tmp_path):
+    names, root = ["05482300", "9903", "a/b c", "x=%1", "[q]*?{z}", 'it\'s "#"'], str(tmp_path / "by_site")
+    sinks.write_by_site(spark.createDataFrame([(n, float(i)) for i, n in enumerate(names)], "site_uid string, v double"), root)
+    assert files.read_site(spark, root, "absent").count() == 0 and files.read_site(spark, root, "").count() == 0
+    # a folder beside the sites that no listing of the whole root gets through
+    spark.createDataFrame([(1.0,)], "v double").write.parquet(f"{root}/other=1")
+    for i, n in enumerate(names):
+        assert [(r.site_uid, r.v) for r in files.read_site(spark, root, f"{n} ").collect()] == [(n, float(i))]
